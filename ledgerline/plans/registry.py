@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.model import SalesModel
-from ledgerline.plans import kpis, regional, seasonal
+from ledgerline.plans import cohorts, kpis, regional, rfm, seasonal
 from ledgerline.sources.standin import standin_model
 
 ModelJob = Callable[[SalesModel], DataFrame]
@@ -34,6 +34,19 @@ MODEL_JOBS: dict[str, ModelJob] = {
     "dow_hour_counts": seasonal.dow_hour_counts,
     "dow_hour_heatmap": seasonal.dow_hour_heatmap,
     "peak_month_by_category": seasonal.peak_month_by_category,
+    # A5 cohorts
+    "cohort_assignment": cohorts.cohort_assignment,
+    "cohort_activity": cohorts.cohort_activity,
+    "cohort_sizes": cohorts.cohort_sizes,
+    "cohort_retention": cohorts.cohort_retention,
+    # A6 RFM
+    "rfm_base": rfm.rfm_base,
+    "rfm_base_positive": rfm.rfm_base_positive,
+    "rfm_scores_ntile": rfm.rfm_scores_ntile,
+    "rfm_segments": rfm.rfm_segments,
+    "rfm_segment_summary": rfm.rfm_segment_summary,
+    "rfm_scores_quantile": rfm.rfm_scores_quantile,
+    "rfm_segment_rollup": rfm.rfm_segment_rollup,
 }
 
 
