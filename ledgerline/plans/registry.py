@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.model import SalesModel
-from ledgerline.plans import cohorts, kpis, regional, rfm, seasonal
+from ledgerline.plans import cohorts, forecast, kpis, regional, rfm, seasonal
 from ledgerline.sources.standin import standin_model
 
 ModelJob = Callable[[SalesModel], DataFrame]
@@ -47,6 +47,15 @@ MODEL_JOBS: dict[str, ModelJob] = {
     "rfm_segment_summary": rfm.rfm_segment_summary,
     "rfm_scores_quantile": rfm.rfm_scores_quantile,
     "rfm_segment_rollup": rfm.rfm_segment_rollup,
+    # A8 time series and forecast
+    "daily_revenue": forecast.daily_revenue,
+    "series_span": forecast.series_span,
+    "moving_average_forecast": forecast.moving_average_forecast,
+    "forecast_summary": forecast.forecast_summary,
+    "actual_vs_forecast": forecast.actual_vs_forecast,
+    "seasonal_forecast": forecast.seasonal_forecast,
+    "seasonality_weekly": forecast.seasonality_weekly,
+    "seasonality_yearly": forecast.seasonality_yearly,
 }
 
 
