@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.model import SalesModel
-from ledgerline.plans import cohorts, forecast, kpis, regional, rfm, seasonal
+from ledgerline.plans import cohorts, dashboard, forecast, kpis, regional, rfm, seasonal
 from ledgerline.sources.standin import standin_model
 
 ModelJob = Callable[[SalesModel], DataFrame]
@@ -56,6 +56,15 @@ MODEL_JOBS: dict[str, ModelJob] = {
     "seasonal_forecast": forecast.seasonal_forecast,
     "seasonality_weekly": forecast.seasonality_weekly,
     "seasonality_yearly": forecast.seasonality_yearly,
+    # A9 dashboard queries (default filter: whole date range, all states)
+    "date_bounds": dashboard.date_bounds,
+    "state_list": dashboard.state_list,
+    "kpi_cards": dashboard.kpi_cards,
+    "kpi_cards_dedup": dashboard.kpi_cards_dedup,
+    "monthly_revenue_filtered": dashboard.monthly_revenue_filtered,
+    "category_revenue_filtered": dashboard.category_revenue_filtered,
+    "state_revenue_filtered": dashboard.state_revenue_filtered,
+    "state_revenue_top10": dashboard.state_revenue_top10,
 }
 
 
