@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.model import SalesModel
-from ledgerline.plans import cohorts, dashboard, forecast, kpis, regional, rfm, seasonal
+from ledgerline.plans import clusters, cohorts, dashboard, forecast, ingest, kpis, regional, rfm, seasonal
 from ledgerline.sources.standin import standin_model
 
 ModelJob = Callable[[SalesModel], DataFrame]
 
 MODEL_JOBS: dict[str, ModelJob] = {
-    # A1 smoke join
+    # A1 ingest and audit
+    "row_count_audit": ingest.row_count_audit,
+    "schema_summary": ingest.schema_summary,
+    "ingest_tables": ingest.ingest_roundtrip,
     "sample_join_top5": kpis.sample_join_top5,
     # A2 KPIs
     "kpi_overall": kpis.kpi_overall,
@@ -47,12 +50,20 @@ MODEL_JOBS: dict[str, ModelJob] = {
     "rfm_segment_summary": rfm.rfm_segment_summary,
     "rfm_scores_quantile": rfm.rfm_scores_quantile,
     "rfm_segment_rollup": rfm.rfm_segment_rollup,
+    "save_rfm_segments": ingest.save_rfm_segments,
+    # A7 clustering and projection
+    "rfm_features": clusters.rfm_features,
+    "cluster_customers": clusters.cluster_customers,
+    "cluster_sweep": clusters.cluster_sweep,
+    "cluster_pca": clusters.cluster_pca,
+    "cluster_profiles": clusters.cluster_profiles,
     # A8 time series and forecast
     "daily_revenue": forecast.daily_revenue,
     "series_span": forecast.series_span,
     "moving_average_forecast": forecast.moving_average_forecast,
     "forecast_summary": forecast.forecast_summary,
     "actual_vs_forecast": forecast.actual_vs_forecast,
+    "save_forecast": ingest.save_forecast,
     "seasonal_forecast": forecast.seasonal_forecast,
     "seasonality_weekly": forecast.seasonality_weekly,
     "seasonality_yearly": forecast.seasonality_yearly,
