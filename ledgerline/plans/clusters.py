@@ -13,6 +13,8 @@ all pairs of customers).
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -30,6 +32,7 @@ SEED = 42
 N_INIT = 10
 MAX_ITER = 300
 TOL = 1e-4
+PARALLEL_STARTS = 4
 
 
 def standardise(df: DataFrame, raw: dict[str, Column]) -> DataFrame:
@@ -67,15 +70,19 @@ def _vectors(model: SalesModel) -> DataFrame:
     return cut_lineage(assembled.select("customer_id", "recency", "frequency", "monetary", "features"))
 
 
+def _fit_one(data: DataFrame, k: int, seed: int):
+    fitted = KMeans(k=k, seed=seed, maxIter=MAX_ITER, tol=TOL, featuresCol="features",
+                    predictionCol="raw_cluster").fit(data)
+    return fitted, fitted.summary.trainingCost
+
+
 def _best_kmeans(data: DataFrame, k: int, n_init: int, seed: int):
-    best = None
-    for s in range(seed, seed + n_init):
-        fitted = KMeans(k=k, seed=s, maxIter=MAX_ITER, tol=TOL, featuresCol="features",
-                        predictionCol="raw_cluster").fit(data)
-        cost = fitted.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (fitted, cost)
-    return best
+    """Fit ``n_init`` independent starts as concurrent Spark jobs; keep the lowest cost (ties go
+    to the earlier seed)."""
+    seeds = list(range(seed, seed + n_init))
+    with ThreadPoolExecutor(max_workers=min(PARALLEL_STARTS, n_init)) as pool:
+        results = list(pool.map(lambda s: _fit_one(data, k, s), seeds))
+    return min(results, key=lambda fc: fc[1])
 
 
 def _renumbered(fitted) -> list[int]:
