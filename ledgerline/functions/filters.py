@@ -43,6 +43,16 @@ class SalesFilter:
             pred = pred & (F.col(ts) < F.lit(f"{stop.isoformat()} 00:00:00").cast("timestamp_ntz"))
         return pred
 
+    def month_predicate(self, month: str = "order_month") -> Column:
+        """The same range on a first-of-month DATE column (for partition pruning)."""
+        pred = F.lit(True)
+        start, end = _as_date(self.start), _as_date(self.end)
+        if start is not None:
+            pred = pred & (F.col(month) >= F.lit(start.replace(day=1)))
+        if end is not None:
+            pred = pred & (F.col(month) <= F.lit(end.replace(day=1)))
+        return pred
+
     def state_predicate(self, state: str = "customer_state") -> Column:
         states = self.state_list
         return F.col(state).isin(states) if states else F.lit(True)

@@ -36,14 +36,15 @@ PARALLEL_STARTS = 4
 
 
 def standardise(df: DataFrame, raw: dict[str, Column]) -> DataFrame:
-    """Add ``z_<name>`` columns; mean and population std are scalar subqueries."""
-    stats = df.select(*[expr.alias(name) for name, expr in raw.items()])
+    """Add ``z_<name>`` columns. All means and population standard deviations come from one
+    aggregation, used as a single struct-valued scalar subquery."""
+    stats = df.select(*[expr.alias(name) for name, expr in raw.items()]).agg(F.struct(
+        *[F.avg(n).alias("mean_" + n) for n in raw],
+        *[F.stddev_pop(n).alias("std_" + n) for n in raw])).scalar()
     out = df
     for name, expr in raw.items():
-        mean = stats.agg(F.avg(name)).scalar()
-        std = stats.agg(F.stddev_pop(name)).scalar()
-        scale = F.coalesce(F.nullif(std, F.lit(0.0)), F.lit(1.0))
-        out = out.withColumn("z_" + name, (expr - mean) / scale)
+        scale = F.coalesce(F.nullif(stats["std_" + name], F.lit(0.0)), F.lit(1.0))
+        out = out.withColumn("z_" + name, (expr - stats["mean_" + name]) / scale)
     return out
 
 
