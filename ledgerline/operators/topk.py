@@ -11,9 +11,10 @@ from ledgerline.functions.money import round_ratio
 def share_of_total(df: DataFrame, value: str, out: str, digits: int = 2) -> DataFrame:
     """Add ``out`` = round(value * 100 / sum(value over all rows), digits).
 
-    The grand total is an uncorrelated scalar subquery over the same (already aggregated)
-    input: Spark runs it once and reuses the input's shuffle, and no row moves to one task."""
-    total = df.agg(F.sum(value)).scalar()
+    ``df`` must be a grouped result whose size is bounded by a vocabulary (categories, statuses):
+    the whole-frame window then moves at most that many rows to one task, and the expensive
+    input plan runs once. (A scalar subquery would re-run the item-level plan for the total.)"""
+    total = F.sum(value).over(Window.partitionBy())
     return df.withColumn(out, round_ratio(F.col(value), total, digits, scale=100))
 
 

@@ -32,7 +32,8 @@ SEED = 42
 N_INIT = 10
 MAX_ITER = 300
 TOL = 1e-4
-PARALLEL_STARTS = 4
+PARALLEL_STARTS = 10
+SWEEP_PARALLEL = 16
 
 
 def standardise(df: DataFrame, raw: dict[str, Column]) -> DataFrame:
@@ -49,7 +50,8 @@ def standardise(df: DataFrame, raw: dict[str, Column]) -> DataFrame:
 
 
 def rfm_feature_frame(model: SalesModel) -> DataFrame:
-    base = rfm_base_positive(model)
+    # Materialise the customer base once: the statistics and the features both read it.
+    base = cut_lineage(rfm_base_positive(model))
     feats = standardise(base, {
         "recency": F.col("recency").cast("double"),
         "frequency": F.log1p(F.col("frequency").cast("double")),
@@ -66,6 +68,8 @@ def rfm_features(model: SalesModel) -> DataFrame:
 
 
 def _vectors(model: SalesModel) -> DataFrame:
+    """Assembled feature vectors, checkpointed: every K-Means start and iteration reads these
+    files instead of re-evaluating the standardisation."""
     f = rfm_feature_frame(model)
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(f)
     return cut_lineage(assembled.select("customer_id", "recency", "frequency", "monetary", "features"))
@@ -112,9 +116,12 @@ def cluster_sweep(model: SalesModel, ks=range(2, 9), n_init: int = N_INIT) -> Da
     data = _vectors(model)
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="raw_cluster",
                                     distanceMeasure="squaredEuclidean")
+    jobs = [(k, s) for k in ks for s in range(SEED, SEED + n_init)]
+    with ThreadPoolExecutor(max_workers=min(SWEEP_PARALLEL, len(jobs))) as pool:
+        fits = list(pool.map(lambda ks_: (ks_[0], _fit_one(data, *ks_)), jobs))
     rows = []
     for k in ks:
-        fitted, cost = _best_kmeans(data, k, n_init, SEED)
+        fitted, cost = min((fc for kk, fc in fits if kk == k), key=lambda fc: fc[1])
         rows.append((int(k), float(cost), float(evaluator.evaluate(fitted.transform(data)))))
     return model.spark.createDataFrame(rows, "k int, inertia double, silhouette double")
 

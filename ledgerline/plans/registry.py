@@ -51,6 +51,7 @@ MODEL_JOBS: dict[str, ModelJob] = {
     "rfm_scores_quantile": rfm.rfm_scores_quantile,
     "rfm_segment_rollup": rfm.rfm_segment_rollup,
     "save_rfm_segments": ingest.save_rfm_segments,
+    "rfm_segment_rollup_saved": rfm.rfm_segment_rollup_saved,
     # A7 clustering and projection
     "rfm_features": clusters.rfm_features,
     "cluster_customers": clusters.cluster_customers,

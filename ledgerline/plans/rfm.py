@@ -159,9 +159,9 @@ def rfm_scores_quantile(model: SalesModel) -> DataFrame:
 
 
 def segment_rollup(scored: DataFrame) -> DataFrame:
-    """Per segment: customers, mean and total monetary (works on a saved ``rfm_segments`` table
-    too, where monetary may already be DOUBLE)."""
-    mon = F.col("monetary")
+    """Per segment: customers, mean and total monetary. Works on a saved ``rfm_segments`` table
+    too, where monetary is a cents-valued DOUBLE: it is summed as DECIMAL either way."""
+    mon = F.col("monetary").cast("decimal(38,2)")
     g = scored.groupBy("segment").agg(
         F.count(F.lit(1)).alias("customers"),
         F.sum(mon).alias("_m"), F.count(mon).alias("_mn"),
@@ -174,3 +174,9 @@ def segment_rollup(scored: DataFrame) -> DataFrame:
 
 def rfm_segment_rollup(model: SalesModel) -> DataFrame:
     return segment_rollup(_quantile_scored(model))
+
+
+def rfm_segment_rollup_saved(model: SalesModel) -> DataFrame:
+    """The dashboard panel: the same rollup read back from the written ``rfm_segments`` table."""
+    from ledgerline.plans.ingest import save_rfm_segments
+    return segment_rollup(save_rfm_segments(model))
