@@ -64,8 +64,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/ledgerline-tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: materialise ``df`` in the shared folder and drop its lineage,
-    so a lost executor re-reads files instead of recomputing (possibly nondeterministic) stages."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Materialise ``df`` as a Parquet table in the shared folder and continue from the files.
+
+    Later stages (and retries after a lost executor) re-read files instead of recomputing the
+    lineage, and values computed from physical layout (row ids) are fixed once. One write job;
+    ``DataFrame.checkpoint`` would run the plan once to count and again to write."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

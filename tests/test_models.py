@@ -79,3 +79,17 @@ def test_ingest_round_trip_types(spark, model_small):
     orders = spark.read.parquet(f"{dst}/orders")
     assert dict(orders.dtypes)["order_purchase_timestamp"] == "timestamp_ntz"
     assert orders.filter(F.col("order_purchase_timestamp").isNull()).count() == 0
+
+
+def test_daily_series_many_keys(spark, model_small):
+    per_state = forecast.daily_series(model_small, by="customer_state")
+    total = forecast.daily_series(model_small)
+    states = per_state.select("series_key").distinct().count()
+    assert states == model_small.customers.select("customer_state").distinct().count()
+    # per-state days add up to the total per day (each side rounded to cents once)
+    summed = per_state.groupBy("ds").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("k"))
+    off = summed.join(total.select("ds", F.col("y").alias("t")), "ds") \
+        .filter(F.abs(F.col("y") - F.col("t")) > F.col("k") * 0.005 + 0.005)
+    assert off.count() == 0
+    ma = forecast.moving_average_from_series(per_state, periods=7)
+    assert ma.select("series_key").distinct().count() == states
