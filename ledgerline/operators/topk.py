@@ -23,3 +23,9 @@ def top1_per_group(df: DataFrame, group: list[str], order: list[Column]) -> Data
     as a per-partition group limit, so each group keeps one candidate before the final window."""
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+
+
+def distinct_count(col: str, exact: bool = True, rsd: float = 0.01) -> Column:
+    """COUNT(DISTINCT col); ``exact=False`` opts in to HyperLogLog++ (``approx_count_distinct``,
+    relative standard deviation ``rsd``), which needs no shuffle by the counted key."""
+    return F.countDistinct(col) if exact else F.approx_count_distinct(col, rsd)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.money import round_ratio
 from ledgerline.model import SalesModel
-from ledgerline.plans.rfm import rfm_base_positive
+from ledgerline.plans.rfm import positive_base
 from ledgerline.session import cut_lineage
 
 FEATURES = ("z_recency", "z_frequency", "z_monetary")
@@ -49,9 +49,12 @@ def standardise(df: DataFrame, raw: dict[str, Column]) -> DataFrame:
     return out
 
 
-def rfm_feature_frame(model: SalesModel) -> DataFrame:
+def rfm_feature_frame(model: SalesModel, base: DataFrame | None = None) -> DataFrame:
+    """Standardised features over the positive-spend customer base (``base``: a materialised
+    :func:`~ledgerline.plans.rfm.positive_base`, shared when the caller also scores it)."""
     # Materialise the customer base once: the statistics and the features both read it.
-    base = cut_lineage(rfm_base_positive(model))
+    base = base if base is not None else cut_lineage(positive_base(model), "rfm-base")
+    base = base.withColumn("monetary", F.col("monetary").cast("double"))
     feats = standardise(base, {
         "recency": F.col("recency").cast("double"),
         "frequency": F.log1p(F.col("frequency").cast("double")),
@@ -67,10 +70,10 @@ def rfm_features(model: SalesModel) -> DataFrame:
                     *[(F.round(F.col(c) * 1e9, 0) / 1e9).alias(c) for c in FEATURES])
 
 
-def _vectors(model: SalesModel) -> DataFrame:
+def _vectors(model: SalesModel, base: DataFrame | None = None) -> DataFrame:
     """Assembled feature vectors, checkpointed: every K-Means start and iteration reads these
     files instead of re-evaluating the standardisation."""
-    f = rfm_feature_frame(model)
+    f = rfm_feature_frame(model, base)
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(f)
     return cut_lineage(assembled.select("customer_id", "recency", "frequency", "monetary", "features"))
 

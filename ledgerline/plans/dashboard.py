@@ -20,6 +20,7 @@ from ledgerline.functions.filters import SalesFilter
 from ledgerline.functions.money import mean_out, money_out, round_ratio
 from ledgerline.model import SalesModel
 from ledgerline.operators.facts import TS, delivered_order_totals
+from ledgerline.operators.topk import distinct_count
 from ledgerline.plans.kpis import category_totals
 from ledgerline.plans.regional import customer_rows_with_place
 
@@ -39,7 +40,7 @@ def _order_rows(model: SalesModel, flt: SalesFilter) -> DataFrame:
     return delivered_order_totals(model, flt)
 
 
-def kpi_cards(model: SalesModel, flt: SalesFilter = ALL) -> DataFrame:
+def kpi_cards(model: SalesModel, flt: SalesFilter = ALL, exact: bool = True) -> DataFrame:
     rows = _order_rows(model, flt)
     reviews = model.order_reviews.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("_rv_rows"),
@@ -50,7 +51,7 @@ def kpi_cards(model: SalesModel, flt: SalesFilter = ALL) -> DataFrame:
     fan = F.greatest(F.coalesce(F.col("_rv_rows"), F.lit(0)), F.lit(1))
     return j.agg(
         F.count(F.lit(1)).alias("orders"),
-        F.countDistinct("customer_id").alias("customers"),
+        distinct_count("customer_id", exact).alias("customers"),
         money_out(F.sum(F.col("gross") * fan)).alias("revenue"),
         mean_out(F.sum(F.col("gross") * fan), F.sum(F.col("gross_n") * fan)).alias("aov"),
         round_ratio(F.sum(F.col("item_rows") * F.col("_rv_sum")),
@@ -58,14 +59,14 @@ def kpi_cards(model: SalesModel, flt: SalesFilter = ALL) -> DataFrame:
     )
 
 
-def kpi_cards_dedup(model: SalesModel, flt: SalesFilter = ALL) -> DataFrame:
+def kpi_cards_dedup(model: SalesModel, flt: SalesFilter = ALL, exact: bool = True) -> DataFrame:
     rows = _order_rows(model, flt)
     reviews = model.order_reviews.groupBy("order_id").agg(
         F.avg("review_score").alias("_score"))
     j = rows.join(reviews, on="order_id", how="left")
     return j.agg(
         F.count(F.lit(1)).alias("orders"),
-        F.countDistinct("customer_id").alias("customers"),
+        distinct_count("customer_id", exact).alias("customers"),
         money_out(F.sum("gross")).alias("revenue"),
         mean_out(F.sum("gross"), F.sum("gross_n")).alias("aov"),
         (F.round(F.avg("_score") * 100, 0) / 100).alias("avg_rating"),

@@ -15,15 +15,15 @@ from ledgerline.functions.category import product_categories
 from ledgerline.functions.money import mean_out, money_out, round_ratio
 from ledgerline.model import SalesModel
 from ledgerline.operators.facts import TS, delivered_items, delivered_order_totals
-from ledgerline.operators.topk import share_of_total
+from ledgerline.operators.topk import distinct_count, share_of_total
 
 
-def kpi_overall(model: SalesModel) -> DataFrame:
+def kpi_overall(model: SalesModel, exact: bool = True) -> DataFrame:
     """Delivered orders with items: orders, customers, gross/net/freight revenue, gross mean."""
     rows = delivered_order_totals(model)
     return rows.agg(
         F.count(F.lit(1)).alias("total_orders"),
-        F.countDistinct("customer_id").alias("total_customers"),
+        distinct_count("customer_id", exact).alias("total_customers"),
         money_out(F.sum("gross")).alias("total_revenue"),
         mean_out(F.sum("gross"), F.sum("gross_n")).alias("avg_order_value"),
         money_out(F.sum("net")).alias("product_revenue"),
@@ -31,22 +31,23 @@ def kpi_overall(model: SalesModel) -> DataFrame:
     )
 
 
-def category_totals(model: SalesModel, fallback: str | None = "Unknown", flt=None) -> DataFrame:
+def category_totals(model: SalesModel, fallback: str | None = "Unknown", flt=None,
+                    exact: bool = True) -> DataFrame:
     """(category, orders, _rev, _n) over delivered item rows. One COUNT(DISTINCT order_id): Spark
     aggregates (category, order_id) map-side first, so a hot category still spreads by order."""
     items = delivered_items(model, flt)
     cats = product_categories(model.products, model.category_translation, fallback)
     return items.join(cats, on="product_id", how="inner").groupBy("category").agg(
-        F.countDistinct("order_id").alias("orders"),
+        distinct_count("order_id", exact).alias("orders"),
         F.sum("price").alias("_rev"),
         F.count("price").alias("_n"),
     )
 
 
-def category_revenue(model: SalesModel, limit: int = 15) -> DataFrame:
+def category_revenue(model: SalesModel, limit: int = 15, exact: bool = True) -> DataFrame:
     """Top categories by net revenue with mean price and share of *all* categories' revenue
     (the share is taken before the limit)."""
-    per_cat = category_totals(model)
+    per_cat = category_totals(model, exact=exact)
     per_cat = share_of_total(per_cat, "_rev", "revenue_pct")
     return per_cat.select(
         "category", "orders",
@@ -63,11 +64,11 @@ def sample_join_top5(model: SalesModel) -> DataFrame:
         .orderBy(F.desc("revenue"), F.asc_nulls_last("category")).limit(5)
 
 
-def payment_type_summary(model: SalesModel) -> DataFrame:
+def payment_type_summary(model: SalesModel, exact: bool = True) -> DataFrame:
     """Per payment type (all orders): distinct orders, mean and total payment."""
     p = model.order_payments
     return p.groupBy("payment_type").agg(
-        F.countDistinct("order_id").alias("num_orders"),
+        distinct_count("order_id", exact).alias("num_orders"),
         mean_out(F.sum("payment_value"), F.count("payment_value")).alias("avg_payment"),
         money_out(F.sum("payment_value")).alias("total_payment"),
     ).orderBy(F.desc("total_payment"), F.asc_nulls_last("payment_type"))

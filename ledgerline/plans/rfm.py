@@ -126,19 +126,35 @@ def rfm_segment_summary(model: SalesModel) -> DataFrame:
 
 # ---------------------------------------------------------- quantile scoring (qcut flavour)
 
-def _quantile_scored(model: SalesModel) -> DataFrame:
-    b = _customer_base(model).filter(F.col("monetary") > 0) \
+def positive_base(model: SalesModel) -> DataFrame:
+    """customer_id, recency, frequency, monetary (DECIMAL) for customers with spend > 0."""
+    return _customer_base(model).filter(F.col("monetary") > 0) \
         .select("customer_id", "recency", "frequency", "monetary")
+
+
+def _quantile_scored(model: SalesModel, base: DataFrame | None = None, approx: bool = False,
+                     accuracy: int = 10000) -> DataFrame:
+    """Quantile scores. ``approx=True`` opts in to ``percentile_approx`` edges for recency and
+    monetary (one pass, bounded memory, no sort; edges are data values, not interpolated)."""
+    b = base if base is not None else positive_base(model)
     cid = F.col("customer_id").asc()
     b = global_rank(b, [F.col("frequency").asc(), cid], rank_col="f_rank", count_col="_n")
     n = b.select("_n").limit(1).collect()
     if not n:
         raise ValueError("quantile scoring needs at least one customer")
     n = int(n[0][0])
-    b = global_rank(b.drop("_n"), [F.col("recency").asc(), cid], rank_col="_r_rank")
-    b = global_rank(b, [F.col("monetary").asc(), cid], rank_col="_m_rank")
-    r_edges = quantile_edges(b, "recency", "_r_rank", n)
-    m_edges = quantile_edges(b, "monetary", "_m_rank", n)
+    b = b.drop("_n")
+    probs = [0.0, *QUINTILES, 1.0]
+    if approx:
+        row = b.agg(F.percentile_approx(F.col("recency").cast("double"), probs, accuracy).alias("r"),
+                    F.percentile_approx(F.col("monetary").cast("double"), probs, accuracy).alias("m")
+                    ).first()
+        r_edges, m_edges = list(row["r"]), list(row["m"])
+    else:
+        b = global_rank(b, [F.col("recency").asc(), cid], rank_col="_r_rank")
+        b = global_rank(b, [F.col("monetary").asc(), cid], rank_col="_m_rank")
+        r_edges = quantile_edges(b, "recency", "_r_rank", n)
+        m_edges = quantile_edges(b, "monetary", "_m_rank", n)
     f_edges = quantile_edges(b, "f_rank", "f_rank", n)
     for what, e in (("recency", r_edges), ("monetary", m_edges), ("frequency rank", f_edges)):
         require_unique_edges(e, what)

@@ -12,14 +12,14 @@ from ledgerline.functions.category import product_categories
 from ledgerline.functions.money import mean_out, money_out
 from ledgerline.model import SalesModel
 from ledgerline.operators.facts import TS, delivered_items, delivered_order_totals
-from ledgerline.operators.topk import top1_per_group
+from ledgerline.operators.topk import distinct_count, top1_per_group
 
 
-def monthly_trend(model: SalesModel) -> DataFrame:
+def monthly_trend(model: SalesModel, exact: bool = True) -> DataFrame:
     rows = delivered_order_totals(model).withColumn("month", month_start(TS))
     return rows.groupBy("month").agg(
         F.count(F.lit(1)).alias("orders"),
-        F.countDistinct("customer_id").alias("customers"),
+        distinct_count("customer_id", exact).alias("customers"),
         money_out(F.sum("net")).alias("revenue"),
         mean_out(F.sum("net"), F.sum("net_n")).alias("aov"),
     ).orderBy("month")

@@ -57,3 +57,17 @@ def test_repeated_edges_raise(spark):
         require_unique_edges(edges, "v")
     # NTILE still assigns every row
     assert ntile(df, [F.col("v"), F.col("cid")], 5, "t").filter(F.col("t").isNull()).count() == 0
+
+
+def test_approx_options_close_to_exact(spark, model_check):
+    from ledgerline.plans import kpis, rfm
+    exact = kpis.kpi_overall(model_check).first()
+    approx = kpis.kpi_overall(model_check, exact=False).first()
+    assert abs(approx.total_customers - exact.total_customers) <= 0.05 * exact.total_customers
+    a = rfm._quantile_scored(model_check, approx=True).select("customer_id", "m_score", "r_score")
+    e = rfm._quantile_scored(model_check).select("customer_id", F.col("m_score").alias("m"),
+                                                F.col("r_score").alias("r"))
+    j = a.join(e, "customer_id")
+    assert j.count() == e.count()
+    agree = j.filter((F.col("m") == F.col("m_score")) & (F.col("r") == F.col("r_score"))).count()
+    assert agree >= 0.95 * j.count()
