@@ -23,9 +23,15 @@ def day_of(ts: Column | str) -> Column:
     return F.to_date(_col(ts))
 
 
+def midnight(day: Column | str) -> Column:
+    """A DATE as TIMESTAMP_NTZ at 00:00 (the output type of day columns)."""
+    return _col(day).cast("timestamp_ntz")
+
+
 def month_start(ts: Column | str) -> Column:
-    """First day of the month as DATE."""
-    return F.trunc(F.to_date(_col(ts)), "month")
+    """Midnight of the first day of the month, TIMESTAMP_NTZ (what a month truncation of a
+    timestamp yields). Built from the date, so no session time zone is involved."""
+    return F.trunc(F.to_date(_col(ts)), "month").cast("timestamp_ntz")
 
 
 def weekday_number(ts: Column | str) -> Column:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.calendar import month_start
+from ledgerline.functions.calendar import midnight, month_start
 from ledgerline.functions.filters import SalesFilter
 from ledgerline.functions.money import mean_out, money_out, round_ratio
 from ledgerline.model import SalesModel
@@ -29,7 +29,7 @@ ALL = SalesFilter()
 
 def date_bounds(model: SalesModel) -> DataFrame:
     day = F.to_date(TS)
-    return model.orders.agg(F.min(day).alias("min_d"), F.max(day).alias("max_d"))
+    return model.orders.agg(midnight(F.min(day)).alias("min_d"), midnight(F.max(day)).alias("max_d"))
 
 
 def state_list(model: SalesModel) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.functions.calendar import day_of, weekday_name, weekday_number
+from ledgerline.functions.calendar import day_of, midnight, weekday_name, weekday_number
 from ledgerline.functions.money import money_out, money_round
 from ledgerline.model import SalesModel
 from ledgerline.operators.facts import TS, delivered_order_totals
@@ -52,12 +52,14 @@ def daily_series(model: SalesModel, by: str | Column | None = None) -> DataFrame
 
 
 def daily_revenue(model: SalesModel) -> DataFrame:
-    return daily_series(model).select("ds", F.col("y").cast("double").alias("y")).orderBy("ds")
+    return daily_series(model).select(midnight("ds").alias("ds"), F.col("y").cast("double").alias("y")) \
+        .orderBy("ds")
 
 
 def series_span(model: SalesModel) -> DataFrame:
     return daily_series(model).agg(
-        F.count(F.lit(1)).alias("days"), F.min("ds").alias("first_day"), F.max("ds").alias("last_day"))
+        F.count(F.lit(1)).alias("days"), midnight(F.min("ds")).alias("first_day"),
+        midnight(F.max("ds")).alias("last_day"))
 
 
 # ------------------------------------------------------------------ moving-average forecast
@@ -89,7 +91,7 @@ def moving_average_from_series(series: DataFrame, periods: int = 90, window: int
 
 def moving_average_forecast(model: SalesModel, periods: int = 90) -> DataFrame:
     fc = moving_average_from_series(daily_series(model), periods)
-    return fc.select("ds", "yhat", "yhat_lower", "yhat_upper").orderBy("ds")
+    return fc.select(midnight("ds").alias("ds"), "yhat", "yhat_lower", "yhat_upper").orderBy("ds")
 
 
 def forecast_summary_of(actual: DataFrame, forecast: DataFrame) -> DataFrame:
@@ -101,7 +103,7 @@ def forecast_summary_of(actual: DataFrame, forecast: DataFrame) -> DataFrame:
         (F.round(F.sum("yhat") * 100, 0) / 100).alias("forecast_total"),
         (F.round(F.avg("yhat") * 100, 0) / 100).alias("forecast_daily_mean"),
         (F.round(F.max("yhat") * 100, 0) / 100).alias("peak_value"),
-        F.min_by("ds", F.struct(-F.col("yhat"), F.col("ds"))).alias("peak_date"),
+        midnight(F.min_by("ds", F.struct(-F.col("yhat"), F.col("ds")))).alias("peak_date"),
     )
 
 
@@ -130,7 +132,8 @@ def actual_vs_forecast_of(actual: DataFrame, forecast: DataFrame) -> DataFrame:
 def actual_vs_forecast(model: SalesModel, periods: int = 90) -> DataFrame:
     series = daily_series(model)
     fc = moving_average_from_series(series, periods)
-    return actual_vs_forecast_of(series, fc).drop("series_key").orderBy("ds")
+    return actual_vs_forecast_of(series, fc).drop("series_key") \
+        .withColumn("ds", midnight("ds")).orderBy("ds")
 
 
 # ------------------------------------------------------------------------- seasonal model
@@ -272,7 +275,7 @@ def score_seasonal(fit: DataFrame, periods: int = 90) -> DataFrame:
     scored = cal.select("series_key", "ds", trend.alias("trend"), yearly.alias("yearly"),
                         weekly.alias("weekly"), (F.col("sigma") * F.col("z") * scale).alias("_half"))
     yhat = F.col("trend") + F.col("yearly") + F.col("weekly")
-    return scored.select("series_key", "ds", yhat.alias("yhat"),
+    return scored.select("series_key", midnight("ds").alias("ds"), yhat.alias("yhat"),
                          (yhat - F.col("_half")).alias("yhat_lower"),
                          (yhat + F.col("_half")).alias("yhat_upper"),
                          "trend", "yearly", "weekly")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerline.functions.calendar import day_of
+from ledgerline.functions.calendar import day_of, midnight
 from ledgerline.model import SalesModel
 from ledgerline.operators.facts import TS, delivered_orders
 from ledgerline.session import scratch_path
@@ -25,7 +25,7 @@ def read_item_stream(spark: SparkSession, source_dir: str, schema, max_files: in
 
 def incremental_daily_revenue(items: DataFrame, model: SalesModel) -> DataFrame:
     """Streaming (ds, revenue_dec, item_rows) from a stream of order items."""
-    orders = delivered_orders(model).select("order_id", day_of(TS).alias("ds"))
+    orders = delivered_orders(model).select("order_id", midnight(day_of(TS)).alias("ds"))
     gross = items.select("order_id", (F.col("price") + F.col("freight_value")).alias("_g"))
     return gross.join(orders, on="order_id", how="inner").groupBy("ds").agg(
         F.sum("_g").alias("revenue_dec"), F.count(F.lit(1)).alias("item_rows"))
