@@ -46,3 +46,34 @@ def test_month_partitioned_orders_prune_and_agree(spark, model_small):
     plan = buf.getvalue()
     assert "PartitionFilters: [" in plan and "order_month" in plan
     assert isinstance(loaded, SalesModel)
+
+
+def test_bucketed_order_tables_skip_the_shuffle(spark, model_small):
+    src, dst = scratch_path(spark, "bk-csv"), scratch_path(spark, "bk-tables")
+    files = {}
+    for name, df in model_small.tables().items():
+        export_csv(df, f"{src}/{name}.csv")
+        files[name] = f"{name}.csv"
+    ingest_tables(spark, src, dst, files, buckets=4, table_prefix="bk_")
+    bucketed = load_model(spark, dst, delivered=model_small.delivered, table_prefix="bk_")
+    plain_dst = scratch_path(spark, "bk-plain")
+    ingest_tables(spark, src, plain_dst, files)
+    plain = load_model(spark, plain_dst, delivered=model_small.delivered)
+    assert sorted(kpis.kpi_overall(bucketed).collect()) == sorted(kpis.kpi_overall(plain).collect())
+    assert sorted(regional.state_revenue(bucketed).collect()) == \
+        sorted(regional.state_revenue(plain).collect())
+    # items -> order aggregate and the join with orders read co-bucketed files: no exchange on
+    # order_id (broadcasts disabled so the planner has to pick a partitioned join)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        from ledgerline.operators.facts import delivered_order_totals
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            delivered_order_totals(bucketed).explain("formatted")
+        plan = buf.getvalue()
+        assert "hashpartitioning(order_id" not in plan
+        assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
