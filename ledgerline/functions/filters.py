@@ -56,7 +56,3 @@ class SalesFilter:
     def state_predicate(self, state: str = "customer_state") -> Column:
         states = self.state_list
         return F.col(state).isin(states) if states else F.lit(True)
-
-    @property
-    def filters_states(self) -> bool:
-        return bool(self.state_list)

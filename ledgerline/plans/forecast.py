@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.functions.calendar import day_of, midnight, weekday_name, weekday_number
-from ledgerline.functions.money import money_out, money_round
+from ledgerline.functions.money import money_round
 from ledgerline.model import SalesModel
 from ledgerline.operators.facts import TS, delivered_order_totals
 

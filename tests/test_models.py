@@ -1,7 +1,5 @@
 """Planted-structure tests for the rows-only jobs (forecast, clustering) and the ingest path."""
 
-import math
-
 import pytest
 from pyspark.sql import functions as F
 
