@@ -17,11 +17,14 @@ purchase_times         order_id, order_purchase_timestamp: the clock used by hou
 
 Keys: ``order_id`` is unique in ``orders``; ``customer_id`` in ``customers``; ``product_id`` in
 ``products``. Money stays DECIMAL inside every job and is cast to DOUBLE only at the output.
+
+Tables are given either as DataFrames or as zero-argument factories; a factory runs on first
+use, so a job pays only for the tables it reads (building a DataFrame is analysed eagerly).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,23 +32,47 @@ LOGICAL_TABLES = (
     "orders", "order_items", "order_payments", "order_reviews", "customers",
     "products", "sellers", "category_translation", "geolocation",
 )
+OPTIONAL_TABLES = ("purchase_times",)
+
+TableSource = DataFrame | Callable[[], DataFrame]
 
 
-@dataclass(frozen=True)
 class SalesModel:
-    orders: DataFrame
-    order_items: DataFrame
-    order_payments: DataFrame
-    order_reviews: DataFrame
-    customers: DataFrame
-    products: DataFrame
-    category_translation: DataFrame
-    sellers: DataFrame
-    geolocation: DataFrame
-    purchase_times: DataFrame | None = None
-    # The status value that marks a completed sale.
-    delivered: str = "delivered"
-    extras: dict = field(default_factory=dict)
+    """The nine logical tables (+ optional clock), the delivered status value and extras
+    (shared materialisations such as a cached order fact)."""
+
+    def __init__(self, delivered: str = "delivered", extras: dict | None = None,
+                 **tables: TableSource | None):
+        unknown = set(tables) - set(LOGICAL_TABLES) - set(OPTIONAL_TABLES)
+        if unknown:
+            raise TypeError(f"unknown tables: {sorted(unknown)}")
+        missing = [t for t in LOGICAL_TABLES if tables.get(t) is None]
+        if missing:
+            raise TypeError(f"missing tables: {missing}")
+        self._sources = {k: v for k, v in tables.items() if v is not None}
+        self._built: dict[str, DataFrame] = {}
+        self.delivered = delivered
+        self.extras = dict(extras or {})
+
+    def table(self, name: str) -> DataFrame | None:
+        if name not in self._built:
+            source = self._sources.get(name)
+            if source is None:
+                return None
+            self._built[name] = source if isinstance(source, DataFrame) else source()
+        return self._built[name]
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {name: self.table(name) for name in LOGICAL_TABLES}
+
+    def replace(self, delivered: str | None = None, extras: dict | None = None,
+                **tables: TableSource) -> "SalesModel":
+        sources = {**self._sources, **self._built, **tables}
+        return SalesModel(delivered=self.delivered if delivered is None else delivered,
+                          extras=self.extras if extras is None else extras, **sources)
+
+    def with_tables(self, **tables: TableSource) -> "SalesModel":
+        return self.replace(**tables)
 
     @property
     def spark(self) -> SparkSession:
@@ -55,11 +82,13 @@ class SalesModel:
     def clock(self) -> DataFrame:
         return self.purchase_times if self.purchase_times is not None else self.orders
 
-    def table(self, name: str) -> DataFrame:
-        return getattr(self, name)
-
-    def tables(self) -> dict[str, DataFrame]:
-        return {name: self.table(name) for name in LOGICAL_TABLES}
-
-    def with_tables(self, **tables: DataFrame) -> "SalesModel":
-        return replace(self, **tables)
+    orders = property(lambda self: self.table("orders"))
+    order_items = property(lambda self: self.table("order_items"))
+    order_payments = property(lambda self: self.table("order_payments"))
+    order_reviews = property(lambda self: self.table("order_reviews"))
+    customers = property(lambda self: self.table("customers"))
+    products = property(lambda self: self.table("products"))
+    sellers = property(lambda self: self.table("sellers"))
+    category_translation = property(lambda self: self.table("category_translation"))
+    geolocation = property(lambda self: self.table("geolocation"))
+    purchase_times = property(lambda self: self.table("purchase_times"))

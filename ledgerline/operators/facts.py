@@ -19,8 +19,6 @@ Assumes the model's keys are unique (see :mod:`ledgerline.model`).
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from decimal import Decimal
 
 from pyspark.sql import DataFrame
@@ -115,14 +113,14 @@ def with_cached_order_fact(model: SalesModel) -> SalesModel:
     dashboard's result cache); release it with :func:`release_order_fact`."""
     from pyspark import StorageLevel
     fact = delivered_order_totals(model).persist(StorageLevel.MEMORY_AND_DISK)
-    return replace(model, extras={**model.extras, ORDER_FACT: fact})
+    return model.replace(extras={**model.extras, ORDER_FACT: fact})
 
 
 def release_order_fact(model: SalesModel) -> SalesModel:
     fact = model.extras.get(ORDER_FACT)
     if fact is not None:
         fact.unpersist()
-    return replace(model, extras={k: v for k, v in model.extras.items() if k != ORDER_FACT})
+    return model.replace(extras={k: v for k, v in model.extras.items() if k != ORDER_FACT})
 
 
 MEASURES = ("net", "net_n", "freight", "freight_n", "gross", "gross_n", "item_rows")

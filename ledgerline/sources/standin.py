@@ -28,70 +28,111 @@ from pyspark.sql import functions as F
 from ledgerline.model import SalesModel
 
 DELIVERED_STATUS = "F"
-RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+# Schemas of the driver's Parquet tables. Declaring them skips Spark's schema
+# inference (one footer-reading job per table) and keeps model construction lazy.
+RAW_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+              "value double, props string",
+}
+RAW_TABLES = tuple(RAW_SCHEMAS)
 
 
 def read_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(RAW_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def standin_model(spark: SparkSession, sf_dir: str) -> SalesModel:
-    raw = {name: read_raw(spark, sf_dir, name) for name in RAW_TABLES}
-    o, li, ev = raw["orders"], raw["lineitem"], raw["events"]
-
-    orders = o.select(
-        F.col("o_orderkey").alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
-        F.col("o_orderstatus").alias("order_status"),
-        F.col("o_orderdate").alias("order_purchase_timestamp"),
-    )
-    price = F.col("l_extendedprice").cast("decimal(12,2)")
-    order_items = li.select(
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_partkey").alias("product_id"),
-        price.alias("price"),
-        (price * F.col("l_tax").cast("decimal(4,2)")).cast("decimal(16,4)").alias("freight_value"),
-    )
-    order_payments = o.select(
-        F.col("o_orderkey").alias("order_id"),
-        F.col("o_orderpriority").alias("payment_type"),
-        F.col("o_totalprice").cast("decimal(12,2)").alias("payment_value"),
-    )
-    order_reviews = ev.select(
-        F.when(F.col("event_id") % 5 == 0, F.col("event_id") + 1)
-        .otherwise(F.col("event_id")).alias("order_id"),
-        (F.lit(1) + F.floor("value").cast("int") % 5).alias("review_score"),
-    )
-    nation = raw["nation"]
-    customers = raw["customer"].join(
-        nation, raw["customer"]["c_nationkey"] == nation["n_nationkey"], "inner"
-    ).select(
-        F.col("c_custkey").alias("customer_id"),
-        F.col("n_name").alias("customer_state"),
-        F.col("c_mktsegment").alias("customer_city"),
-    )
-    part = raw["part"]
-    products = part.select(
-        F.col("p_partkey").alias("product_id"),
-        F.when(F.col("p_size") == 50, F.lit(None).cast("string"))
-        .otherwise(F.col("p_brand")).alias("product_category_name"),
-    )
-    brand_no = F.substring("p_brand", 7, 100)
-    category_translation = part.filter(brand_no.cast("int") <= 20).select(
-        F.col("p_brand").alias("product_category_name"),
-        F.concat(F.lit("Category "), brand_no).alias("product_category_name_english"),
-    ).distinct()
-    geolocation = nation.join(raw["region"], nation["n_regionkey"] == raw["region"]["r_regionkey"]) \
-        .select("n_nationkey", "n_name", "n_regionkey", "r_name")
-    purchase_times = ev.select(
-        F.col("event_id").alias("order_id"),
-        F.col("ts").alias("order_purchase_timestamp"),
-    )
+    """The logical model over the raw tables; each table is built on first use."""
+    cache: dict[str, DataFrame] = {}
+
+    def raw(name: str) -> DataFrame:
+        if name not in cache:
+            cache[name] = read_raw(spark, sf_dir, name)
+        return cache[name]
+
+    def orders() -> DataFrame:
+        return raw("orders").select(
+            F.col("o_orderkey").alias("order_id"),
+            F.col("o_custkey").alias("customer_id"),
+            F.col("o_orderstatus").alias("order_status"),
+            F.col("o_orderdate").alias("order_purchase_timestamp"),
+        )
+
+    def order_items() -> DataFrame:
+        price = F.col("l_extendedprice").cast("decimal(12,2)")
+        return raw("lineitem").select(
+            F.col("l_orderkey").alias("order_id"),
+            F.col("l_partkey").alias("product_id"),
+            price.alias("price"),
+            (price * F.col("l_tax").cast("decimal(4,2)")).cast("decimal(16,4)").alias("freight_value"),
+        )
+
+    def order_payments() -> DataFrame:
+        return raw("orders").select(
+            F.col("o_orderkey").alias("order_id"),
+            F.col("o_orderpriority").alias("payment_type"),
+            F.col("o_totalprice").cast("decimal(12,2)").alias("payment_value"),
+        )
+
+    def order_reviews() -> DataFrame:
+        return raw("events").select(
+            F.when(F.col("event_id") % 5 == 0, F.col("event_id") + 1)
+            .otherwise(F.col("event_id")).alias("order_id"),
+            (F.lit(1) + F.floor("value").cast("int") % 5).alias("review_score"),
+        )
+
+    def customers() -> DataFrame:
+        c, n = raw("customer"), raw("nation")
+        return c.join(n, c["c_nationkey"] == n["n_nationkey"], "inner").select(
+            F.col("c_custkey").alias("customer_id"),
+            F.col("n_name").alias("customer_state"),
+            F.col("c_mktsegment").alias("customer_city"),
+        )
+
+    def products() -> DataFrame:
+        return raw("part").select(
+            F.col("p_partkey").alias("product_id"),
+            F.when(F.col("p_size") == 50, F.lit(None).cast("string"))
+            .otherwise(F.col("p_brand")).alias("product_category_name"),
+        )
+
+    def category_translation() -> DataFrame:
+        brand_no = F.substring("p_brand", 7, 100)
+        return raw("part").filter(brand_no.cast("int") <= 20).select(
+            F.col("p_brand").alias("product_category_name"),
+            F.concat(F.lit("Category "), brand_no).alias("product_category_name_english"),
+        ).distinct()
+
+    def geolocation() -> DataFrame:
+        n, r = raw("nation"), raw("region")
+        return n.join(r, n["n_regionkey"] == r["r_regionkey"]) \
+            .select("n_nationkey", "n_name", "n_regionkey", "r_name")
+
+    def purchase_times() -> DataFrame:
+        return raw("events").select(
+            F.col("event_id").alias("order_id"),
+            F.col("ts").alias("order_purchase_timestamp"),
+        )
+
     return SalesModel(
+        delivered=DELIVERED_STATUS,
         orders=orders, order_items=order_items, order_payments=order_payments,
         order_reviews=order_reviews, customers=customers, products=products,
-        category_translation=category_translation, sellers=raw["supplier"],
-        geolocation=geolocation, purchase_times=purchase_times, delivered=DELIVERED_STATUS,
+        category_translation=category_translation, sellers=lambda: raw("supplier"),
+        geolocation=geolocation, purchase_times=purchase_times,
     )
 
 
