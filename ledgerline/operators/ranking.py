@@ -6,8 +6,8 @@ rank is built the way a distributed sort is:
 1. ``orderBy`` range-partitions and sorts the rows (the ordering must be total -- callers append
    a unique key -- so heavy ties on the measure are spread across partitions by that key);
 2. ``monotonically_increasing_id`` numbers rows inside each sorted partition (high bits are the
-   partition index), and the result is checkpointed to the shared folder so that numbering is
-   fixed even if executors are lost and stages are retried;
+   partition index), and the result is checkpointed (reliably, to ``spark.checkpoint.dir``) so
+   that numbering is fixed even if executors are lost and stages are retried;
 3. per-partition row counts (one row per partition) are prefix-summed into offsets and joined back
    as a broadcast (its size is bounded by the partition count, not by the data);
 4. ``rank = offset + position in partition``; n is a scalar subquery over the counts.

@@ -70,7 +70,7 @@ def rfm_features(model: SalesModel) -> DataFrame:
                     *[(F.round(F.col(c) * 1e9, 0) / 1e9).alias(c) for c in FEATURES])
 
 
-def _vectors(model: SalesModel, base: DataFrame | None = None) -> DataFrame:
+def feature_vectors(model: SalesModel, base: DataFrame | None = None) -> DataFrame:
     """Assembled feature vectors, checkpointed: every K-Means start and iteration reads these
     files instead of re-evaluating the standardisation."""
     f = rfm_feature_frame(model, base)
@@ -110,13 +110,13 @@ def assign_clusters(data: DataFrame, k: int = 4, n_init: int = N_INIT, seed: int
 
 
 def cluster_customers(model: SalesModel, k: int = 4, n_init: int = N_INIT) -> DataFrame:
-    data = _vectors(model)
+    data = feature_vectors(model)
     return assign_clusters(data, k, n_init).select("customer_id", "recency", "frequency", "monetary", "cluster")
 
 
 def cluster_sweep(model: SalesModel, ks=range(2, 9), n_init: int = N_INIT) -> DataFrame:
     """Elbow data: for each k, the best start's inertia and its (squared-Euclidean) silhouette."""
-    data = _vectors(model)
+    data = feature_vectors(model)
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="raw_cluster",
                                     distanceMeasure="squaredEuclidean")
     jobs = [(k, s) for k in ks for s in range(SEED, SEED + n_init)]
@@ -132,7 +132,7 @@ def cluster_sweep(model: SalesModel, ks=range(2, 9), n_init: int = N_INIT) -> Da
 def cluster_pca(model: SalesModel, k: int = 4, n_init: int = N_INIT) -> DataFrame:
     """Two principal components of the standardised features per customer, with the explained
     variance ratios. Each component's sign is fixed so its largest loading is positive."""
-    data = assign_clusters(_vectors(model), k, n_init)
+    data = assign_clusters(feature_vectors(model), k, n_init)
     pca = PCA(k=2, inputCol="features", outputCol="pcs").fit(data)
     loadings = pca.pc.toArray()
     signs = [1.0 if loadings[abs(loadings[:, j]).argmax(), j] >= 0 else -1.0 for j in range(2)]

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ledgerline.model import SalesModel
-from ledgerline.plans.clusters import assign_clusters, _vectors
+from ledgerline.plans.clusters import assign_clusters, feature_vectors
 from ledgerline.plans.forecast import moving_average_forecast
-from ledgerline.plans.rfm import _quantile_scored, positive_base
+from ledgerline.plans.rfm import quantile_scored, positive_base
 from ledgerline.session import cut_lineage, scratch_path
 from ledgerline.sources.csv_ingest import ingest_tables, row_count_audit, schema_summary
 from ledgerline.sources.tables import export_csv, write_table
@@ -38,8 +38,8 @@ def save_rfm_segments(model: SalesModel, path: str | None = None, k: int = 4,
                       n_init: int = 10) -> DataFrame:
     """Replace ``rfm_segments`` (quantile scores, segment label and K-Means cluster)."""
     base = cut_lineage(positive_base(model), "rfm-base")  # shared by scores and features
-    scored = _quantile_scored(model, base)
-    clusters = assign_clusters(_vectors(model, base), k, n_init).select("customer_id", "cluster")
+    scored = quantile_scored(model, base)
+    clusters = assign_clusters(feature_vectors(model, base), k, n_init).select("customer_id", "cluster")
     table = scored.join(clusters, on="customer_id", how="inner").select(
         "customer_id", "recency", "frequency", scored["monetary"].cast("double").alias("monetary"),
         "r_score", "f_score", "m_score", "rfm_score", "segment", "cluster")

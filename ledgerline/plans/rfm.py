@@ -132,7 +132,7 @@ def positive_base(model: SalesModel) -> DataFrame:
         .select("customer_id", "recency", "frequency", "monetary")
 
 
-def _quantile_scored(model: SalesModel, base: DataFrame | None = None, approx: bool = False,
+def quantile_scored(model: SalesModel, base: DataFrame | None = None, approx: bool = False,
                      accuracy: int = 10000) -> DataFrame:
     """Quantile scores. ``approx=True`` opts in to ``percentile_approx`` edges for recency and
     monetary (one pass, bounded memory, no sort; edges are data values, not interpolated)."""
@@ -169,7 +169,7 @@ def _quantile_scored(model: SalesModel, base: DataFrame | None = None, approx: b
 
 
 def rfm_scores_quantile(model: SalesModel) -> DataFrame:
-    s = _quantile_scored(model)
+    s = quantile_scored(model)
     return s.select("customer_id", "recency", "frequency", money_out("monetary").alias("monetary"),
                     "r_score", "f_score", "m_score", "rfm_score", "segment")
 
@@ -189,7 +189,7 @@ def segment_rollup(scored: DataFrame) -> DataFrame:
 
 
 def rfm_segment_rollup(model: SalesModel) -> DataFrame:
-    return segment_rollup(_quantile_scored(model))
+    return segment_rollup(quantile_scored(model))
 
 
 def rfm_segment_rollup_saved(model: SalesModel) -> DataFrame:

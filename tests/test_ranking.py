@@ -64,8 +64,8 @@ def test_approx_options_close_to_exact(spark, model_check):
     exact = kpis.kpi_overall(model_check).first()
     approx = kpis.kpi_overall(model_check, exact=False).first()
     assert abs(approx.total_customers - exact.total_customers) <= 0.05 * exact.total_customers
-    a = rfm._quantile_scored(model_check, approx=True).select("customer_id", "m_score", "r_score")
-    e = rfm._quantile_scored(model_check).select("customer_id", F.col("m_score").alias("m"),
+    a = rfm.quantile_scored(model_check, approx=True).select("customer_id", "m_score", "r_score")
+    e = rfm.quantile_scored(model_check).select("customer_id", F.col("m_score").alias("m"),
                                                 F.col("r_score").alias("r"))
     j = a.join(e, "customer_id")
     assert j.count() == e.count()
