@@ -25,6 +25,27 @@ SESSION_DEFAULTS = {
 }
 
 
+# Sizing for large inputs (applied by the platform's session, or via ``build_session(extra=...)``):
+# ~128 MiB scan splits, a high initial shuffle width that AQE coalesces to ~128 MiB partitions, and
+# skew splitting for hot keys. ``shuffle_partitions_for`` derives the initial shuffle width.
+CLUSTER_SETTINGS = {
+    "spark.sql.files.maxPartitionBytes": str(128 << 20),
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+}
+
+
+def shuffle_partitions_for(shuffle_bytes: int, target_bytes: int = 256 << 20,
+                           floor: int = 200, cap: int = 100_000) -> int:
+    """Initial shuffle width from the bytes a job is expected to shuffle (after map-side
+    combining, usually a fraction of the input): ~target_bytes per reducer, capped because map
+    output metadata grows with mappers x reducers; AQE then merges small partitions."""
+    return min(cap, max(floor, -(-int(shuffle_bytes) // target_bytes)))
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "ledgerline", extra: dict | None = None) -> SparkSession:
     master = master or os.environ.get("LEDGERLINE_MASTER", "local[8]")
