@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import StorageLevel
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -84,13 +86,21 @@ def _fit_one(data: DataFrame, k: int, seed: int):
     return fitted, fitted.summary.trainingCost
 
 
+def _fit_all(data: DataFrame, jobs: list[tuple[int, int]], parallel: int):
+    """Fit K-Means for each (k, seed) as concurrent Spark jobs over one shared in-memory copy of
+    the (checkpointed) features, released afterwards; otherwise every fit caches its own copy."""
+    data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(jobs)))) as pool:
+            return list(pool.map(lambda ks: (ks[0], _fit_one(data, *ks)), jobs))
+    finally:
+        data.unpersist()
+
+
 def _best_kmeans(data: DataFrame, k: int, n_init: int, seed: int):
-    """Fit ``n_init`` independent starts as concurrent Spark jobs; keep the lowest cost (ties go
-    to the earlier seed)."""
-    seeds = list(range(seed, seed + n_init))
-    with ThreadPoolExecutor(max_workers=min(PARALLEL_STARTS, n_init)) as pool:
-        results = list(pool.map(lambda s: _fit_one(data, k, s), seeds))
-    return min(results, key=lambda fc: fc[1])
+    """Fit ``n_init`` independent starts; keep the lowest cost (ties go to the earlier seed)."""
+    fits = _fit_all(data, [(k, s) for s in range(seed, seed + n_init)], PARALLEL_STARTS)
+    return min((fc for _, fc in fits), key=lambda fc: fc[1])
 
 
 def _renumbered(fitted) -> list[int]:
@@ -119,9 +129,7 @@ def cluster_sweep(model: SalesModel, ks=range(2, 9), n_init: int = N_INIT) -> Da
     data = feature_vectors(model)
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="raw_cluster",
                                     distanceMeasure="squaredEuclidean")
-    jobs = [(k, s) for k in ks for s in range(SEED, SEED + n_init)]
-    with ThreadPoolExecutor(max_workers=min(SWEEP_PARALLEL, len(jobs))) as pool:
-        fits = list(pool.map(lambda ks_: (ks_[0], _fit_one(data, *ks_)), jobs))
+    fits = _fit_all(data, [(k, s) for k in ks for s in range(SEED, SEED + n_init)], SWEEP_PARALLEL)
     rows = []
     for k in ks:
         fitted, cost = min((fc for kk, fc in fits if kk == k), key=lambda fc: fc[1])

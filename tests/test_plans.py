@@ -60,3 +60,10 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.columns == ["category", "orders", "revenue", "avg_price", "revenue_pct"]
     assert 0 < df.count() <= 15
+
+
+def test_shuffle_width_helper():
+    from ledgerline.session import shuffle_partitions_for
+    assert shuffle_partitions_for(10 << 20) == 200
+    assert shuffle_partitions_for(25 * (1 << 40)) == 100_000
+    assert shuffle_partitions_for(1 << 40) == 4096
