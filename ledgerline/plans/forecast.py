@@ -29,15 +29,26 @@ from pyspark.sql import types as T
 from ledgerline.functions.calendar import day_of, midnight, weekday_name, weekday_number
 from ledgerline.functions.money import money_round
 from ledgerline.model import SalesModel
-from ledgerline.operators.facts import TS, delivered_order_totals
+from ledgerline.functions.category import product_categories
+from ledgerline.operators.facts import TS, delivered_items, delivered_order_totals
 
 TOTAL_SERIES = "total"
 EPOCH = "1970-01-01"
 
 
+CATEGORY = "category"
+
+
 def daily_series(model: SalesModel, by: str | Column | None = None) -> DataFrame:
-    """(series_key, ds, y) with y the DECIMAL gross revenue rounded to cents. ``by`` is a column
-    of the order rows (customer_id, ...) or of ``customers`` (customer_state, customer_city)."""
+    """(series_key, ds, y) with y the DECIMAL gross revenue rounded to cents. ``by`` is None (one
+    total series), ``"category"`` (item grain, label as in the category jobs), a column of the
+    order rows (customer_id, ...) or of ``customers`` (customer_state, customer_city)."""
+    if isinstance(by, str) and by == CATEGORY:
+        items = delivered_items(model, order_columns=(TS,))
+        cats = product_categories(model.products, model.category_translation)
+        rows = items.join(cats, on="product_id", how="inner")
+        return rows.groupBy(F.col(CATEGORY).alias("series_key"), day_of(TS).alias("ds")) \
+            .agg(money_round(F.sum(F.col("price") + F.col("freight_value"))).alias("y"))
     rows = delivered_order_totals(model)
     if by is None:
         key = F.lit(TOTAL_SERIES)
@@ -290,6 +301,11 @@ def seasonal_forecast(model: SalesModel, periods: int = 90, by: str | None = Non
     return seasonal_forecast_of(daily_series(model, by), periods)
 
 
+def seasonal_forecast_by_state(model: SalesModel, periods: int = 90) -> DataFrame:
+    """One model per customer state, fitted together (series_key = state)."""
+    return seasonal_forecast(model, periods, by="customer_state")
+
+
 def weekly_effects(fit: DataFrame) -> DataFrame:
     """Weekly term per weekday (Sunday = 0), in revenue units."""
     sunday = F.lit("1970-01-04").cast("date")

@@ -66,6 +66,7 @@ MODEL_JOBS: dict[str, ModelJob] = {
     "actual_vs_forecast": forecast.actual_vs_forecast,
     "save_forecast": ingest.save_forecast,
     "seasonal_forecast": forecast.seasonal_forecast,
+    "seasonal_forecast_by_state": forecast.seasonal_forecast_by_state,
     "seasonality_weekly": forecast.seasonality_weekly,
     "seasonality_yearly": forecast.seasonality_yearly,
     # A9 dashboard queries (default filter: whole date range, all states)

@@ -91,3 +91,19 @@ def test_daily_series_many_keys(spark, model_small):
     assert off.count() == 0
     ma = forecast.moving_average_from_series(per_state, periods=7)
     assert ma.select("series_key").distinct().count() == states
+
+
+def test_daily_series_by_category_adds_up(spark, model_small):
+    per_cat = forecast.daily_series(model_small, by="category")
+    total = forecast.daily_series(model_small)
+    summed = per_cat.groupBy("ds").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("k"))
+    off = summed.join(total.select("ds", F.col("y").alias("t")), "ds") \
+        .filter(F.abs(F.col("y") - F.col("t")) > F.col("k") * 0.005 + 0.005)
+    assert off.count() == 0
+    assert summed.count() == total.count()
+
+
+def test_many_series_forecast_runs(spark, model_small):
+    out = forecast.seasonal_forecast_by_state(model_small, periods=10)
+    states = model_small.customers.select("customer_state").distinct().count()
+    assert out.select("series_key").distinct().count() == states
