@@ -31,6 +31,7 @@ from ledgerline.functions.money import money_round
 from ledgerline.model import SalesModel
 from ledgerline.functions.category import product_categories
 from ledgerline.operators.facts import TS, delivered_items, delivered_order_totals
+from ledgerline.session import cut_lineage
 
 TOTAL_SERIES = "total"
 EPOCH = "1970-01-01"
@@ -202,7 +203,11 @@ def gram_by_series(series: DataFrame) -> DataFrame:
         F.greatest(F.datediff("last_ds", "first_ds"), F.lit(1)).alias("span"),
         F.when(F.col("_ymax") > 0, F.col("_ymax")).otherwise(F.lit(1.0)).alias("scale"),
     )
-    rows = series.join(stats, on="series_key", how="inner")
+    # The Gram products are CPU-heavy per row while the daily table is small: spread its rows
+    # over all cores by (series, day) -- a dominant series is split too -- and let the
+    # Summarizer combine per-partition partial sums per series.
+    rows = series.join(stats, on="series_key", how="inner") \
+        .repartition(_cores(series), "series_key", "ds")
     x = design(_epoch_day(F.col("ds")), _epoch_day(F.col("first_ds")), F.col("span"))
     z = F.array(*x, (F.col("y").cast("double") / F.col("scale")))
     zz = rows.select("series_key", z.alias("_z"))
@@ -235,38 +240,48 @@ def _ridge(gram_upper: np.ndarray, n: int, penalties: np.ndarray) -> tuple[np.nd
 def _solve_batches(batches, level: float):
     z = NormalDist().inv_cdf(0.5 + level / 2.0)
     trend_free = np.r_[np.full(2, 1e-9), np.full(N_CHANGEPOINTS, 1e9), np.full(N_YEARLY + N_WEEKLY, 1e-6)]
+    tau = np.r_[np.full(2, TREND_PRIOR), np.full(N_CHANGEPOINTS, CHANGEPOINT_PRIOR),
+                np.full(N_YEARLY + N_WEEKLY, SEASONALITY_PRIOR)]
     for pdf in batches:
-        out = []
-        for row in pdf.itertuples(index=False):
-            upper = np.asarray(row.gram, dtype=float)
-            n = int(row.n)
+        betas, sigmas = [], []
+        for upper, n in zip(pdf["gram"], pdf["n"]):
+            upper, n = np.asarray(upper, dtype=float), int(n)
             # Pass 1: trend without changepoints, light seasonality -> noise variance.
             _, rss1 = _ridge(upper, n, trend_free)
-            sigma2 = rss1 / max(n - (2 + N_YEARLY + N_WEEKLY), 1)
-            sigma2 = max(sigma2, 1e-12)
-            tau = np.r_[np.full(2, TREND_PRIOR), np.full(N_CHANGEPOINTS, CHANGEPOINT_PRIOR),
-                        np.full(N_YEARLY + N_WEEKLY, SEASONALITY_PRIOR)]
+            sigma2 = max(rss1 / max(n - (2 + N_YEARLY + N_WEEKLY), 1), 1e-12)
+            # Pass 2: MAP with Gaussian priors, penalty sigma^2 / tau^2 per coefficient.
             beta, rss = _ridge(upper, n, sigma2 / tau ** 2)
-            sigma = math.sqrt(rss / max(n - 2, 1))
-            out.append((row.series_key, beta.tolist(), float(sigma), float(z)))
-        yield pd.DataFrame(out, columns=["series_key", "beta", "sigma", "z"])
+            betas.append(beta.tolist())
+            sigmas.append(math.sqrt(rss / max(n - 2, 1)))
+        yield pd.DataFrame({
+            "series_key": pdf["series_key"], "beta": betas, "sigma": sigmas, "z": z,
+            "first_ds": pdf["first_ds"], "last_ds": pdf["last_ds"], "span": pdf["span"],
+            "scale": pdf["scale"],
+        })
 
 
-COEF_SCHEMA = T.StructType([
+FIT_SCHEMA = T.StructType([
     T.StructField("series_key", T.StringType()),
     T.StructField("beta", T.ArrayType(T.DoubleType())),
     T.StructField("sigma", T.DoubleType()),
     T.StructField("z", T.DoubleType()),
+    T.StructField("first_ds", T.DateType()),
+    T.StructField("last_ds", T.DateType()),
+    T.StructField("span", T.IntegerType()),
+    T.StructField("scale", T.DoubleType()),
 ])
 
 
 def fit_seasonal(series: DataFrame, level: float = INTERVAL_LEVEL) -> DataFrame:
-    """One row per series: coefficients (scaled units), sigma, z, and the series' calendar."""
-    gram = gram_by_series(series)
-    coefs = gram.select("series_key", "gram", "n").mapInPandas(
-        lambda it: _solve_batches(it, level), schema=COEF_SCHEMA)
-    return coefs.join(gram.select("series_key", "first_ds", "last_ds", "span", "scale"),
-                      on="series_key", how="inner")
+    """One row per series: coefficients (scaled units), sigma, z, and the series' calendar.
+    The result is one row per series; it is checkpointed so the scorers that read it (forecast,
+    weekly and yearly effects) never recompute the Gram aggregation."""
+    # The daily series (one row per series and day) feeds both the per-series statistics and
+    # the Gram rows; materialise it once so the order/item pipeline below it runs once.
+    series = cut_lineage(series.select("series_key", "ds", "y"))
+    gram = gram_by_series(series).select("series_key", "gram", "n", "first_ds", "last_ds",
+                                         "span", "scale")
+    return cut_lineage(gram.mapInPandas(lambda it: _solve_batches(it, level), schema=FIT_SCHEMA))
 
 
 def _dot(x: list[Column], beta: Column, lo: int, hi: int) -> Column:
@@ -276,8 +291,13 @@ def _dot(x: list[Column], beta: Column, lo: int, hi: int) -> Column:
     return total
 
 
+def _cores(df: DataFrame) -> int:
+    return max(1, df.sparkSession.sparkContext.defaultParallelism)
+
+
 def score_seasonal(fit: DataFrame, periods: int = 90) -> DataFrame:
-    cal = fit.select("*", F.explode(F.sequence("first_ds", F.date_add("last_ds", periods))).alias("ds"))
+    cal = fit.select("*", F.explode(F.sequence("first_ds", F.date_add("last_ds", periods))).alias("ds")) \
+        .repartition(_cores(fit), "series_key", "ds")
     x = design(_epoch_day(F.col("ds")), _epoch_day(F.col("first_ds")), F.col("span"))
     beta, scale = F.col("beta"), F.col("scale")
     trend = _dot(x, beta, 0, N_TREND) * scale
