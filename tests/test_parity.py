@@ -54,3 +54,15 @@ def test_dashboard_filters_match_oracle(spark, model_check, job, start, end, sta
     want = run_oracle(dashboard_sql(start, end, states)[job], SF_CHECK)
     ok, msg = compare(got, want)
     assert ok, msg
+
+
+@pytest.mark.parametrize("name", ["orders_by_hour", "dow_hour_heatmap", "monthly_trend",
+                                  "cohort_retention", "daily_revenue", "date_bounds"])
+def test_calendar_jobs_do_not_depend_on_session_time_zone(spark, name):
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        got = QUERIES[name](spark, SF_SMALL).toPandas()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ok, msg = compare(got, run_oracle(ORACLE[name], SF_SMALL))
+    assert ok, msg
