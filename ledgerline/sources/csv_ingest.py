@@ -38,8 +38,15 @@ TYPED_COLUMNS = {
 }
 
 
-def _read_csv(spark: SparkSession, path: str) -> DataFrame:
+# Tables whose text fields may contain quoted line breaks (free-text review comments). Multi-line
+# parsing cannot split a file across tasks, so it is enabled only where records need it.
+MULTILINE_TABLES = ("order_reviews",)
+
+
+def _read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """RFC 4180 CSV: header row, '"' quotes escaped by doubling, no type inference."""
     return spark.read.option("header", True).option("inferSchema", False) \
+        .option("quote", '"').option("escape", '"').option("multiLine", multiline) \
         .option("mode", "PERMISSIVE").csv(path)
 
 
@@ -50,7 +57,7 @@ def read_csv_tables(spark: SparkSession, data_dir: str,
     for table, name in files.items():
         path = f"{data_dir.rstrip('/')}/{name}"
         try:
-            frames[table] = _read_csv(spark, path)
+            frames[table] = _read_csv(spark, path, multiline=table in MULTILINE_TABLES)
         except AnalysisException as exc:
             if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
                 missing.append(path)

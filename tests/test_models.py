@@ -107,3 +107,23 @@ def test_many_series_forecast_runs(spark, model_small):
     out = forecast.seasonal_forecast_by_state(model_small, periods=10)
     states = model_small.customers.select("customer_state").distinct().count()
     assert out.select("series_key").distinct().count() == states
+
+
+def test_csv_quoting_and_multiline_reviews(spark, tmp_path):
+    reviews = tmp_path / "reviews.csv"
+    reviews.write_text('review_id,order_id,review_score,review_comment_message\n'
+                       'r1,o1,5,"great, fast"\n'
+                       'r2,o2,1,"said ""never again""\nsecond line"\n'
+                       'r3,o3,4,\n')
+    orders = tmp_path / "orders.csv"
+    orders.write_text('order_id,customer_id,order_status,order_purchase_timestamp\n'
+                      'o1,c1,delivered,2017-10-02 10:56:33\n'
+                      'o2,c2,"shipped",bad-date\n')
+    frames = read_csv_tables(spark, str(tmp_path), {"order_reviews": "reviews.csv",
+                                                    "orders": "orders.csv"})
+    rv = {r.review_id: r for r in frames["order_reviews"].collect()}
+    assert len(rv) == 3 and rv["r2"].review_comment_message == 'said "never again"\nsecond line'
+    assert rv["r2"].review_score == 1 and rv["r3"].review_comment_message is None
+    od = {r.order_id: r for r in frames["orders"].collect()}
+    assert str(od["o1"].order_purchase_timestamp) == "2017-10-02 10:56:33"
+    assert od["o2"].order_purchase_timestamp is None and od["o2"].order_status == "shipped"
