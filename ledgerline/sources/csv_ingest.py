@@ -69,6 +69,8 @@ def read_csv_tables(spark: SparkSession, data_dir: str,
 
 
 def _typed(table: str, df: DataFrame) -> DataFrame:
+    # a UTF-8 byte-order mark at the start of a file would otherwise stick to the first header
+    df = df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns])
     casts = TYPED_COLUMNS.get(table, {})
     return df.select(*[F.col(c).try_cast(casts[c]).alias(c) if c in casts else F.col(c)
                        for c in df.columns])

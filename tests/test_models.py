@@ -127,3 +127,12 @@ def test_csv_quoting_and_multiline_reviews(spark, tmp_path):
     od = {r.order_id: r for r in frames["orders"].collect()}
     assert str(od["o1"].order_purchase_timestamp) == "2017-10-02 10:56:33"
     assert od["o2"].order_purchase_timestamp is None and od["o2"].order_status == "shipped"
+
+
+def test_csv_header_byte_order_mark(spark, tmp_path):
+    f = tmp_path / "translation.csv"
+    f.write_bytes("﻿product_category_name,product_category_name_english\nbeleza,health_beauty\n"
+                  .encode("utf-8"))
+    df = read_csv_tables(spark, str(tmp_path), {"category_translation": "translation.csv"})
+    assert df["category_translation"].columns == ["product_category_name",
+                                                  "product_category_name_english"]
