@@ -131,7 +131,7 @@ def test_csv_quoting_and_multiline_reviews(spark, tmp_path):
 
 def test_csv_header_byte_order_mark(spark, tmp_path):
     f = tmp_path / "translation.csv"
-    f.write_bytes("﻿product_category_name,product_category_name_english\nbeleza,health_beauty\n"
+    f.write_bytes("\ufeffproduct_category_name,product_category_name_english\nbeleza,health_beauty\n"
                   .encode("utf-8"))
     df = read_csv_tables(spark, str(tmp_path), {"category_translation": "translation.csv"})
     assert df["category_translation"].columns == ["product_category_name",
