@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import chat, decontaminate, simhash, url_filter
+from ledgerline.llm import chat, decontaminate, quality, simhash, url_filter
 
 LLM_QUERIES = {
     "op2_chat_examples": chat.op2_chat_examples,
     "op3_simhash_groups": simhash.op3_simhash_groups,
     "op6_benchmark_leaks": decontaminate.op6_benchmark_leaks,
     "op8_url_vocabulary": url_filter.op8_url_vocabulary,
+    "op9_quality_divergence": quality.op9_quality_divergence,
 }
 
 LLM_ORACLE = {
