@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import chat, decontaminate, quality, simhash, url_filter
+from ledgerline.llm import chat, decontaminate, prefix_parse, quality, simhash, substring, url_filter
 
 LLM_QUERIES = {
     "op2_chat_examples": chat.op2_chat_examples,
     "op3_simhash_groups": simhash.op3_simhash_groups,
+    "op5_repeated_bytes": prefix_parse.op5_repeated_bytes,
     "op6_benchmark_leaks": decontaminate.op6_benchmark_leaks,
     "op8_url_vocabulary": url_filter.op8_url_vocabulary,
     "op9_quality_divergence": quality.op9_quality_divergence,
+    "op10_repeated_passages": substring.op10_repeated_passages,
 }
 
 LLM_ORACLE = {
