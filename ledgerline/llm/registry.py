@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import chat, decontaminate, prefix_parse, quality, simhash, substring, url_filter
+from ledgerline.llm import (chat, cube_mix, decontaminate, prefix_parse, quality, simhash, substring, url_filter,
+                            warc)
 
 LLM_QUERIES = {
+    "op1_cube_mix": cube_mix.op1_cube_mix,
     "op2_chat_examples": chat.op2_chat_examples,
     "op3_simhash_groups": simhash.op3_simhash_groups,
     "op5_repeated_bytes": prefix_parse.op5_repeated_bytes,
     "op6_benchmark_leaks": decontaminate.op6_benchmark_leaks,
+    "op7_warc_index": warc.op7_warc_index,
     "op8_url_vocabulary": url_filter.op8_url_vocabulary,
     "op9_quality_divergence": quality.op9_quality_divergence,
     "op10_repeated_passages": substring.op10_repeated_passages,
@@ -17,5 +20,6 @@ LLM_QUERIES = {
 LLM_ORACLE = {
     "op2_chat_examples": chat.ORACLE,
     "op6_benchmark_leaks": decontaminate.ORACLE,
+    "op7_warc_index": warc.ORACLE,
     "op8_url_vocabulary": url_filter.ORACLE,
 }
