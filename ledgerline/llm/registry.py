@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import (chat, cube_mix, decontaminate, prefix_parse, quality, simhash, substring, url_filter,
-                            warc)
+from ledgerline.llm import (chat, cube_mix, decontaminate, prefix_parse, quality, secret_scan, simhash, substring,
+                            url_filter, warc)
 
 LLM_QUERIES = {
     "op1_cube_mix": cube_mix.op1_cube_mix,
     "op2_chat_examples": chat.op2_chat_examples,
     "op3_simhash_groups": simhash.op3_simhash_groups,
+    "op4_secret_findings": secret_scan.op4_secret_findings,
     "op5_repeated_bytes": prefix_parse.op5_repeated_bytes,
     "op6_benchmark_leaks": decontaminate.op6_benchmark_leaks,
     "op7_warc_index": warc.op7_warc_index,
