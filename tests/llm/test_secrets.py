@@ -1,0 +1,49 @@
+"""Secret scan: held-out accuracy, planted findings, redaction."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerline.llm import secret_scan
+from tests.llm.samples import documents, edge_docs, empty_docs
+
+HEX = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    part = F.pmod(F.xxhash64("before", "candidate"), F.lit(4))
+    found = secret_scan.labelled_findings(spark)
+    return secret_scan.train_forest(found.filter(part > 0)), found.filter(part == 0)
+
+
+def test_held_out_accuracy(forest):
+    scored = secret_scan.score(forest[1], forest[0])
+    right = scored.filter((F.col("label") == 1) == F.col("is_secret")).count()
+    assert right / scored.count() > 0.97
+
+
+def test_planted(spark, forest):
+    texts = [(1, f'set token = "{HEX}" now', [True]), (2, f"commit {HEX}\nparent", [False]), (3, "the unverantwortungslosigkeit word", [False]),
+             (4, f'x api_key: "AKIA{HEX[:20].upper()}" y secret=\'{HEX}\' z', [True, True]), (5, "see /usr/local/lib/python/site for it", [False]), (6, None, [])]
+    df = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
+    rows = secret_scan.score(secret_scan.candidates(df, ["doc_id"]), forest[0]).orderBy("doc_id", "nth").collect()
+    for i, _, verdicts in texts:
+        assert [r["is_secret"] for r in rows if r["doc_id"] == i] == verdicts, i
+
+
+def test_redaction_keeps_the_rest(spark, forest):
+    one = f'set token = "{HEX}" and uuid 0749582c-df78-c956-b544-79bc99d47022 and token = "{HEX[::-1]}"'
+    df = edge_docs(spark).unionByName(spark.createDataFrame([(99, one), (99, one)], "doc_id long, text string"), allowMissingColumns=True)
+    out = secret_scan.redact(df, forest[0])
+    assert out.columns == df.columns
+    want = one.replace(HEX, "[SECRET]").replace(HEX[::-1], "[SECRET]")
+    assert [r["text"] for r in out.filter("doc_id = 99").collect()] == [want, want]
+    other = "doc_id is null or doc_id <> 99"
+    assert sorted(map(str, out.filter(other).collect())) == sorted(map(str, df.filter(other).collect()))
+
+
+def test_empty_and_native(spark, forest):
+    assert secret_scan.candidates(empty_docs(spark), ["doc_id"]).count() == 0
+    assert secret_scan.redact(empty_docs(spark), forest[0]).count() == 0
+    plan = secret_scan.score(secret_scan.candidates(documents(spark), ["doc_id"]), forest[0])._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
