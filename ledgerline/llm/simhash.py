@@ -38,6 +38,7 @@ SHINGLE = 3
 MAX_BITS = 2
 JOIN_LIMIT = 16
 CHUNK = 1 << 16
+BROADCAST_ROWS = 500_000  # of (key, count): about 20 MB
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -78,14 +79,12 @@ def segments(max_bits: int) -> list[tuple[int, int]]:
 
 
 def variants(fp: Column, max_bits: int) -> Column:
-    """Array of (slot, value): slot numbers the wiped bit; value is the rest of its segment."""
+    """Array of keys: the number of the wiped bit (the slot) above 32 bits that hold the rest of its segment."""
     out = []
     for low, width in segments(max_bits):
-        mask = ((1 << width) - 1) << low
-        for bit in range(low, low + width):
-            keep = mask & ~(1 << bit)
-            out.append(F.struct(F.lit(bit).cast("int").alias("slot"),
-                                fp.bitwiseAND(F.lit(_signed(keep)).cast("bigint")).alias("value")))
+        part = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+        for bit in range(width):
+            out.append(part.bitwiseAND(F.lit(~(1 << bit)).cast("bigint")).bitwiseOR(F.lit((low + bit) << 32).cast("bigint")))
     return F.array(*out)
 
 
@@ -107,17 +106,19 @@ def first_shared_slot(diff: Column, max_bits: int) -> Column:
 def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, join_limit: int = JOIN_LIMIT) -> DataFrame:
     """Links (a, b), a < b, over the distinct ``fp`` values of ``fps``, whose closure
     is that of all pairs within ``max_bits`` bits."""
-    if max_bits % 2:
-        raise ValueError("max_bits must be even")  # the ball radius is half of it
-    keys = fps.select("fp", F.explode(variants(F.col("fp"), max_bits)).alias("v")).select("fp", "v.slot", "v.value")
-    sizes = written(keys.groupBy("slot", "value").agg(F.count("*").alias("n")).filter("n > 1"), "variants")
-    shared = written(keys.join(sizes, ["slot", "value"]), "shared")
+    if max_bits < 2 or max_bits % 2:
+        raise ValueError("max_bits must be even and positive")  # the ball radius is half of it
+    keys = fps.select("fp", F.explode(variants(F.col("fp"), max_bits)).alias("key"))
+    sizes = written(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "variants")
+    # few variants are shared: where their table is small it goes to the keys, otherwise both are shuffled
+    found = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
+    shared = written(keys.join(found, "key"), "shared")
     small = shared.filter(F.col("n") <= join_limit)
     a, b = small.alias("a"), small.alias("b")
     diff = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    pairs = a.join(b, (F.col("a.slot") == F.col("b.slot")) & (F.col("a.value") == F.col("b.value"))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key"))
                    & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(diff) <= max_bits)
-                   & (first_shared_slot(diff, max_bits) == F.col("a.slot")))
+                   & (first_shared_slot(diff, max_bits) == F.shiftrightunsigned("a.key", 32)))
     joined = pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
     crowded = shared.filter(F.col("n") > join_limit).select("fp").distinct()
     return joined.unionByName(ball_links(crowded, max_bits // 2))
