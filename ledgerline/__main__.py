@@ -26,6 +26,8 @@ def main(argv: list[str] | None = None) -> int:
     ing.add_argument("--buckets", type=int, default=None)
     ing.add_argument("--orders-by-month", action="store_true")
     ing.add_argument("--bucket-prefix", default="sales_")
+    ing.add_argument("--infer", action="store_true", help="type undeclared columns too")
+    ing.add_argument("--rejects", default=None, help="folder for rows with unreadable values")
     run = sub.add_parser("run", help="run jobs over ingested tables, write results")
     run.add_argument("table_dir")
     run.add_argument("out_dir")
@@ -39,15 +41,26 @@ def main(argv: list[str] | None = None) -> int:
         print("\n".join(MODEL_JOBS))
         return 0
 
-    from ledgerline.session import build_session
-    from ledgerline.sources.csv_ingest import ingest_tables, load_model
+    from pyspark import cloudpickle
+
+    import ledgerline
+    from ledgerline.session import build_session, clear_scratch
+    cloudpickle.register_pickle_by_value(ledgerline)  # executors need no copy of the package
     spark = build_session()
+    try:
+        return run_command(spark, args)
+    finally:
+        clear_scratch(spark)
+
+
+def run_command(spark, args) -> int:
+    from ledgerline.sources.csv_ingest import ingest_tables, load_model
     if args.cmd == "ingest":
         audit = ingest_tables(spark, args.csv_dir, args.table_dir, buckets=args.buckets,
                               orders_by_month=args.orders_by_month,
-                              table_prefix=args.bucket_prefix)
-        for row in audit.collect():  # nine rows
-            print(f"{row.tbl:24s} {row.rows:>12,}")
+                              table_prefix=args.bucket_prefix, infer=args.infer, rejects=args.rejects)
+        for row in audit.collect():  # one row per column
+            print(f"{row.tbl:24s} {row.col:32s} {row.rows:>12,} rows {row.nulls:>12,} nulls  {row.total or ''}")
         return 0
 
     model = load_model(spark, args.table_dir, delivered=args.delivered,

@@ -19,7 +19,7 @@ ALL_STATES = "All"
 def _as_date(value) -> dt.date | None:
     if value is None or isinstance(value, dt.date):
         return value if not isinstance(value, dt.datetime) else value.date()
-    return dt.date.fromisoformat(str(value)[:10])
+    return dt.date.fromisoformat(str(value))  # anything but a whole ISO date is an error
 
 
 @dataclass(frozen=True)
@@ -33,6 +33,11 @@ class SalesFilter:
         states = list(self.states or ())
         return [] if (not states or ALL_STATES in states) else states
 
+    @property
+    def selects(self) -> bool:
+        """Whether anything is filtered at all."""
+        return self.start is not None or self.end is not None or bool(self.state_list)
+
     def date_predicate(self, ts: str = "order_purchase_timestamp") -> Column:
         pred = F.lit(True)
         start, end = _as_date(self.start), _as_date(self.end)

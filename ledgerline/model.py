@@ -28,6 +28,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+# The logical table names (the column names above are fixed too).
 LOGICAL_TABLES = (
     "orders", "order_items", "order_payments", "order_reviews", "customers",
     "products", "sellers", "category_translation", "geolocation",

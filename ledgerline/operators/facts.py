@@ -35,17 +35,21 @@ ORDER_FACT = "order_fact"
 MONTH_PARTITION = "order_month"
 
 
-def delivered_orders(model: SalesModel, flt: SalesFilter | None = None) -> DataFrame:
+def delivered_orders(model: SalesModel, flt: SalesFilter | None = None, place: tuple[str, ...] = ()) -> DataFrame:
     """(order_id, customer_id, order_purchase_timestamp) of delivered orders, with the date part
     of ``flt`` applied on the scan and its state part as a semi join on customers. When the
-    orders table is stored partitioned by purchase month, the range also prunes partitions."""
+    orders table is stored partitioned by purchase month, the range also prunes partitions.
+    ``place`` adds columns of the customer; the same join then filters and widens."""
     orders = model.orders.filter(F.col("order_status") == F.lit(model.delivered))
     if flt is not None:
         orders = orders.filter(flt.date_predicate(TS))
         if MONTH_PARTITION in model.orders.columns:
             orders = orders.filter(flt.month_predicate(MONTH_PARTITION))
     orders = orders.select("order_id", "customer_id", TS)
-    if flt is not None:
+    if place:
+        customers = model.customers if flt is None else model.customers.filter(flt.state_predicate("customer_state"))
+        orders = orders.join(customers.select("customer_id", *place), on="customer_id", how="inner")
+    elif flt is not None:
         orders = restrict_to_customers(orders, model, flt)
     return orders
 
@@ -57,9 +61,22 @@ def restrict_to_customers(df: DataFrame, model: SalesModel, flt: SalesFilter) ->
     return df.join(customers, on="customer_id", how="left_semi")
 
 
-def _scale(df: DataFrame, col: str) -> int | None:
-    t = df.schema[col].dataType
-    return t.scale if isinstance(t, DecimalType) and t.precision <= 18 else None
+# Most digits of one amount at the common scale. 14 digits leave room in 64 bits for 40,000 items an
+# order. 16 leave room for 460 of the largest possible ones; beyond that ANSI arithmetic stops with an
+# error (never a wrong sum), so they are used only where ANSI mode is on.
+UNIT_DIGITS, UNIT_DIGITS_ANSI = 14, 16
+
+
+def _unit_scales(items: DataFrame, *cols: str) -> list[int] | None:
+    """The scales of the money columns if every amount, written at the largest of them, has few
+    enough digits to be summed as an integer; otherwise None."""
+    types = [items.schema[c].dataType for c in cols]
+    if not all(isinstance(t, DecimalType) for t in types):
+        return None
+    ansi = items.sparkSession.conf.get("spark.sql.ansi.enabled", "false") == "true"
+    common = max(t.scale for t in types)
+    most = max(t.precision - t.scale + common for t in types)
+    return [t.scale for t in types] if most <= (UNIT_DIGITS_ANSI if ansi else UNIT_DIGITS) else None
 
 
 def order_totals(items: DataFrame) -> DataFrame:
@@ -67,15 +84,16 @@ def order_totals(items: DataFrame) -> DataFrame:
     counts each mean needs, plus the number of item rows.
 
     This is the widest aggregation of every job (one input row per item). DECIMAL sums run on
-    BigDecimal buffers, so amounts are summed as exact integers in units of the smallest money
-    step (a single order's total cannot overflow 64 bits) and turned back into DECIMAL per order."""
-    sp, sf = _scale(items, "price"), _scale(items, "freight_value")
-    if sp is None or sf is None:
+    BigDecimal buffers, so where the types leave room in 64 bits for a hundred thousand items an order, amounts are
+    summed as exact integers in units of the smallest money step and turned back into DECIMAL per order."""
+    scales = _unit_scales(items, "price", "freight_value")
+    if scales is None:
         gross = F.col("price") + F.col("freight_value")
         sums = [F.sum("price").alias("net"), F.sum("freight_value").alias("freight"),
                 F.sum(gross).alias("gross")]
         post = ["net", "freight", "gross"]
     else:
+        sp, sf = scales
         sg = max(sp, sf)
         units = lambda c, s: (F.col(c) * F.lit(10 ** s)).cast("bigint")
         sums = [F.sum(units("price", sp)).alias("_net_u"),
@@ -96,16 +114,31 @@ def order_totals(items: DataFrame) -> DataFrame:
                       "item_rows")
 
 
-def delivered_order_totals(model: SalesModel, flt: SalesFilter | None = None) -> DataFrame:
-    """Delivered orders that have at least one item, one row per order (inner-join semantics).
-    Served from the model's cached order fact when one is attached."""
+def delivered_order_totals(model: SalesModel, flt: SalesFilter | None = None, place: tuple[str, ...] = ()) -> DataFrame:
+    """Delivered orders that have at least one item, one row per order (inner-join semantics), with the customer
+    columns ``place``. Served from the model's cached order fact when one is attached."""
     cached = model.extras.get(ORDER_FACT)
     if cached is not None:
-        if flt is None:
-            return cached
-        return restrict_to_customers(cached.filter(flt.date_predicate(TS)), model, flt)
-    totals = order_totals(model.order_items.select("order_id", "price", "freight_value"))
-    return delivered_orders(model, flt).join(totals, on="order_id", how="inner")
+        if flt is not None:
+            cached = cached.filter(flt.date_predicate(TS))
+        if place:
+            customers = model.customers if flt is None else model.customers.filter(flt.state_predicate("customer_state"))
+            return cached.join(customers.select("customer_id", *place), on="customer_id", how="inner")
+        return cached if flt is None else restrict_to_customers(cached, model, flt)
+    orders = delivered_orders(model, flt, place)
+    return orders.join(order_totals(_items_of(model, orders, flt)), on="order_id", how="inner")
+
+
+def _items_of(model: SalesModel, orders: DataFrame, flt: SalesFilter | None) -> DataFrame:
+    """The items to aggregate: all of them, or those of the filtered ``orders`` when a filter selects
+    something. Restricting them first keeps a dashboard click from aggregating and shuffling the whole item table;
+    items stored by purchase month are read for the filtered months only."""
+    items = model.order_items
+    if flt is None or not flt.selects:
+        return items.select("order_id", "price", "freight_value")
+    if MONTH_PARTITION in items.columns:
+        items = items.filter(flt.month_predicate(MONTH_PARTITION))
+    return items.select("order_id", "price", "freight_value").join(orders.select("order_id"), on="order_id", how="left_semi")
 
 
 def with_cached_order_fact(model: SalesModel) -> SalesModel:
@@ -144,7 +177,10 @@ def delivered_items(model: SalesModel, flt: SalesFilter | None = None,
     """Item rows of delivered orders. Without extra order columns this is a semi join (the
     orders side only filters); otherwise an inner join on the unique order key."""
     orders = delivered_orders(model, flt)
-    items = model.order_items.select("order_id", "product_id", "price", "freight_value")
+    items = model.order_items
+    if flt is not None and flt.selects and MONTH_PARTITION in items.columns:
+        items = items.filter(flt.month_predicate(MONTH_PARTITION))
+    items = items.select("order_id", "product_id", "price", "freight_value")
     if not order_columns:
         return items.join(orders.select("order_id"), on="order_id", how="left_semi")
     return items.join(orders.select("order_id", *order_columns), on="order_id", how="inner")

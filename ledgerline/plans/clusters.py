@@ -14,6 +14,7 @@ all pairs of customers).
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
@@ -34,6 +35,8 @@ N_INIT = 10
 MAX_ITER = 300
 TOL = 1e-4
 PARALLEL_STARTS = 10
+LAYOUT_PARTITIONS = 16
+LAYOUT_ROWS = 1_000_000
 SWEEP_PARALLEL = 16
 
 
@@ -72,11 +75,21 @@ def rfm_features(model: SalesModel) -> DataFrame:
 
 
 def feature_vectors(model: SalesModel, base: DataFrame | None = None) -> DataFrame:
-    """Assembled feature vectors, checkpointed: every K-Means start and iteration reads these
-    files instead of re-evaluating the standardisation."""
+    """Assembled feature vectors in a fixed layout, checkpointed: every K-Means start and iteration
+    reads these files instead of re-evaluating the standardisation.
+
+    K-Means draws its first centres partition by partition, so the layout decides the answer. Rows are dealt by
+    customer_id into ``LAYOUT_PARTITIONS`` partitions (more only by a factor of two per ``LAYOUT_ROWS`` rows each) and sorted
+    inside: the same customers give the same layout whatever the session's shuffle width."""
+    base = base if base is not None else cut_lineage(positive_base(model), "rfm-base")
     f = rfm_feature_frame(model, base)
-    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(f)
-    return cut_lineage(assembled.select("customer_id", "recency", "frequency", "monetary", "features"))
+    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(f) \
+        .select("customer_id", "recency", "frequency", "monetary", *FEATURES, "features")
+    parts, rows = LAYOUT_PARTITIONS, base.count()
+    while rows > parts * LAYOUT_ROWS:
+        parts *= 2
+    laid = assembled.repartition(parts, "customer_id").sortWithinPartitions("customer_id")
+    return cut_lineage(laid.select("customer_id", "recency", "frequency", "monetary", "features"))
 
 
 def _fit_one(data: DataFrame, k: int, seed: int):
@@ -85,15 +98,24 @@ def _fit_one(data: DataFrame, k: int, seed: int):
     return fitted, fitted.summary.trainingCost
 
 
+@contextmanager
+def cached(data: DataFrame):
+    """``data`` in memory for the block; nested uses share the outer one's copy."""
+    mine = data.storageLevel == StorageLevel.NONE
+    if mine:
+        data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield
+    finally:
+        if mine:
+            data.unpersist()
+
+
 def _fit_all(data: DataFrame, jobs: list[tuple[int, int]], parallel: int):
     """Fit K-Means for each (k, seed) as concurrent Spark jobs over one shared in-memory copy of
     the (checkpointed) features, released afterwards; otherwise every fit caches its own copy."""
-    data.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(jobs)))) as pool:
-            return list(pool.map(lambda ks: (ks[0], _fit_one(data, *ks)), jobs))
-    finally:
-        data.unpersist()
+    with cached(data), ThreadPoolExecutor(max_workers=max(1, min(parallel, len(jobs)))) as pool:
+        return list(pool.map(lambda ks: (ks[0], _fit_one(data, *ks)), jobs))
 
 
 def _best_kmeans(data: DataFrame, k: int, n_init: int, seed: int):
@@ -128,11 +150,14 @@ def cluster_sweep(model: SalesModel, ks=range(2, 9), n_init: int = N_INIT) -> Da
     data = feature_vectors(model)
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="raw_cluster",
                                     distanceMeasure="squaredEuclidean")
-    fits = _fit_all(data, [(k, s) for k in ks for s in range(SEED, SEED + n_init)], SWEEP_PARALLEL)
-    rows = []
-    for k in ks:
+
+    def row(k: int, fits) -> tuple:
         fitted, cost = min((fc for kk, fc in fits if kk == k), key=lambda fc: fc[1])
-        rows.append((int(k), float(cost), float(evaluator.evaluate(fitted.transform(data)))))
+        return int(k), float(cost), float(evaluator.evaluate(fitted.transform(data)))
+
+    with cached(data), ThreadPoolExecutor(max_workers=PARALLEL_STARTS) as pool:
+        fits = _fit_all(data, [(k, s) for k in ks for s in range(SEED, SEED + n_init)], SWEEP_PARALLEL)
+        rows = list(pool.map(lambda k: row(k, fits), ks))
     return model.spark.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
@@ -165,5 +190,20 @@ def profiles_of(clustered: DataFrame) -> DataFrame:
                     round_ratio("_m", "_mn", 2).alias("avg_monetary")).orderBy("cluster")
 
 
+def cluster_totals(model: SalesModel, k: int = 4, n_init: int = 1) -> DataFrame:
+    """Customers and money over all clusters, and how many clusters there are: must equal the positive base."""
+    data = cluster_customers(model, k, n_init)
+    return data.agg(F.count(F.lit(1)).alias("customers"), F.count_distinct("cluster").alias("clusters"),
+                    F.sum(F.col("monetary").cast("decimal(38,2)")).cast("double").alias("monetary"))
+
+
+def feature_variance(model: SalesModel) -> DataFrame:
+    """Explained variance ratios of the three principal components of the standardised features, largest first
+    (six places)."""
+    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rfm_feature_frame(model))
+    pca = PCA(k=3, inputCol="features", outputCol="pcs").fit(data)
+    return model.spark.createDataFrame([(i + 1, round(float(v), 6)) for i, v in enumerate(pca.explainedVariance)], "component int, ratio double")
+
+
 def cluster_profiles(model: SalesModel, k: int = 4, n_init: int = N_INIT) -> DataFrame:
     return profiles_of(cluster_customers(model, k, n_init))

@@ -22,10 +22,12 @@ from ledgerline.model import SalesModel
 from ledgerline.operators.facts import TS, delivered_order_totals
 from ledgerline.operators.topk import distinct_count
 from ledgerline.plans.kpis import category_totals
-from ledgerline.plans.regional import customer_rows_with_place
 
 ALL = SalesFilter()
 
+# The registered filtered variants: one year, three states.
+YEAR_AND_STATES = SalesFilter("1997-01-01", "1997-12-31", ("NATION_1", "NATION_7", "NATION_20"))
+
 
 def date_bounds(model: SalesModel) -> DataFrame:
     day = F.to_date(TS)
@@ -89,10 +91,10 @@ def category_revenue_filtered(model: SalesModel, flt: SalesFilter = ALL,
 
 
 def state_revenue_filtered(model: SalesModel, flt: SalesFilter = ALL) -> DataFrame:
-    rows = customer_rows_with_place(model, flt)
+    rows = delivered_order_totals(model, flt, place=("customer_state",))
     return rows.groupBy(F.col("customer_state").alias("state")).agg(
         money_out(F.sum("gross")).alias("revenue"),
-        F.sum("orders").alias("orders"),
+        F.count(F.lit(1)).alias("orders"),
     ).orderBy(F.desc("revenue"), F.asc_nulls_last("state"))
 
 

@@ -9,7 +9,8 @@
   regression with Gaussian priors (changepoints 0.05, seasonality 10) on y scaled by max |y|.
   The heavy part, the Gram matrix [X y]^T [X y], is one distributed aggregation per series
   (MLlib ``Summarizer``); each series then needs only a 54 x 54 solve, done on its single
-  aggregated row. Intervals are analytic: yhat +- z * sigma at a stated level (default 80 %).
+  aggregated row. Intervals are analytic: yhat +- z * sigma at a stated level (default 80 %), sigma being at least
+  0.5 % of the largest value. Series too short for a part of the model go without it (``_left_out``).
   The trend prior is Gaussian rather than Laplace, so results differ from sampling-based tools.
 
 A series is bounded by its calendar span (one row per day), whatever the order volume.
@@ -78,7 +79,7 @@ def series_span(model: SalesModel) -> DataFrame:
 
 def moving_average_from_series(series: DataFrame, periods: int = 90, window: int = 30,
                                low: float = 0.8, high: float = 1.2) -> DataFrame:
-    """(series_key, ds, yhat, yhat_lower, yhat_upper) from (series_key, ds, y DECIMAL)."""
+    """(series_key, ds, yhat, yhat_lower, yhat_upper, is_future) from (series_key, ds, y DECIMAL)."""
     recent = Window.partitionBy("series_key").orderBy(F.desc("ds"))
     tail = series.withColumn("_k", F.row_number().over(recent)).filter(F.col("_k") <= window)
     level = tail.groupBy("series_key").agg(
@@ -96,8 +97,9 @@ def moving_average_from_series(series: DataFrame, periods: int = 90, window: int
         F.col("_mean").alias("yhat"),
         (F.col("_mean") * F.lit(low)).alias("yhat_lower"),
         (F.col("_mean") * F.lit(high)).alias("yhat_upper"),
+        F.lit(True).alias("is_future"),
     )
-    history = series.select("series_key", "ds", F.col("y").cast("double").alias("yhat"))
+    history = series.select("series_key", "ds", F.col("y").cast("double").alias("yhat"), F.lit(False).alias("is_future"))
     return history.unionByName(future, allowMissingColumns=True)
 
 
@@ -106,12 +108,27 @@ def moving_average_forecast(model: SalesModel, periods: int = 90) -> DataFrame:
     return fc.select(midnight("ds").alias("ds"), "yhat", "yhat_lower", "yhat_upper").orderBy("ds")
 
 
-def forecast_summary_of(actual: DataFrame, forecast: DataFrame) -> DataFrame:
-    """Over forecast rows after the last actual day of their series: total, mean, peak value and
-    the first day reaching the peak (rounded to cents)."""
-    last = actual.groupBy("series_key").agg(F.max("ds").alias("_last_actual"))
-    fut = forecast.join(last, on="series_key", how="inner").filter(F.col("ds") > F.col("_last_actual"))
-    return fut.groupBy("series_key").agg(
+METHODS = ("moving_average", "seasonal")
+
+
+def forecast_from_series(series: DataFrame, method: str = "moving_average", periods: int = 90) -> DataFrame:
+    """(series_key, ds, yhat, yhat_lower, yhat_upper, is_future) of every series by one of ``METHODS``."""
+    if method == "moving_average":
+        return moving_average_from_series(series, periods)
+    if method == "seasonal":
+        return seasonal_forecast_of(series, periods).withColumn("ds", F.to_date("ds"))
+    raise ValueError(f"method must be one of {METHODS}, not {method!r}")
+
+
+def total_forecast(model: SalesModel, method: str = "moving_average", periods: int = 90) -> DataFrame:
+    """The total series' forecast. The daily series is materialised once, so items are read once."""
+    return forecast_from_series(cut_lineage(daily_series(model), "daily"), method, periods)
+
+
+def forecast_summary_of(forecast: DataFrame) -> DataFrame:
+    """Over the future rows of each series: total, mean, peak value and the first day reaching
+    the peak (rounded to cents)."""
+    return forecast.filter("is_future").groupBy("series_key").agg(
         (F.round(F.sum("yhat") * 100, 0) / 100).alias("forecast_total"),
         (F.round(F.avg("yhat") * 100, 0) / 100).alias("forecast_daily_mean"),
         (F.round(F.max("yhat") * 100, 0) / 100).alias("peak_value"),
@@ -119,19 +136,20 @@ def forecast_summary_of(actual: DataFrame, forecast: DataFrame) -> DataFrame:
     )
 
 
-def forecast_summary(model: SalesModel, periods: int = 90) -> DataFrame:
-    series = daily_series(model)
-    fc = moving_average_from_series(series, periods)
-    return forecast_summary_of(series, fc).drop("series_key")
+def forecast_summary(model: SalesModel, periods: int = 90, method: str = "moving_average") -> DataFrame:
+    return forecast_summary_of(total_forecast(model, method, periods)).drop("series_key")
+
+
+def forecast_summary_seasonal(model: SalesModel) -> DataFrame:
+    """The summary of the seasonal model's forecast."""
+    return forecast_summary(model, method="seasonal")
 
 
 def actual_vs_forecast_of(actual: DataFrame, forecast: DataFrame) -> DataFrame:
     """Actuals and the forecast side by side per day; band only after the last actual day."""
-    last = actual.groupBy("series_key").agg(F.max("ds").alias("_last_actual"))
     act = actual.select("series_key", "ds", F.col("y").cast("double").alias("actual"))
-    joined = act.join(forecast, on=["series_key", "ds"], how="full_outer") \
-        .join(last, on="series_key", how="inner")
-    future = F.col("ds") > F.col("_last_actual")
+    joined = act.join(forecast, on=["series_key", "ds"], how="full_outer")
+    future = F.coalesce("is_future", F.lit(False))
     return joined.select(
         "series_key", "ds", "actual",
         F.when(~future, F.col("yhat")).alias("fitted"),
@@ -141,10 +159,9 @@ def actual_vs_forecast_of(actual: DataFrame, forecast: DataFrame) -> DataFrame:
     )
 
 
-def actual_vs_forecast(model: SalesModel, periods: int = 90) -> DataFrame:
-    series = daily_series(model)
-    fc = moving_average_from_series(series, periods)
-    return actual_vs_forecast_of(series, fc).drop("series_key") \
+def actual_vs_forecast(model: SalesModel, periods: int = 90, method: str = "moving_average") -> DataFrame:
+    series = cut_lineage(daily_series(model), "daily")
+    return actual_vs_forecast_of(series, forecast_from_series(series, method, periods)).drop("series_key") \
         .withColumn("ds", midnight("ds")).orderBy("ds")
 
 
@@ -161,6 +178,14 @@ SEASONALITY_PRIOR = 10.0
 TREND_PRIOR = 5.0
 INTERVAL_LEVEL = 0.80
 
+# Least noise of a series, as a share of its largest value: keeps the priors in force and the band
+# positive where a series is fitted exactly (constant, linear or short ones).
+NOISE_FLOOR = 0.005
+# Parts of the model that a series must be long enough for; shorter ones go without them.
+MIN_ROWS_SLOPE = 3
+MIN_SPAN_WEEKLY = 14
+MIN_SPAN_YEARLY = 365
+
 N_TREND = 2 + N_CHANGEPOINTS
 N_YEARLY = 2 * YEARLY_ORDER
 N_WEEKLY = 2 * WEEKLY_ORDER
@@ -207,7 +232,7 @@ def gram_by_series(series: DataFrame) -> DataFrame:
     # over all cores by (series, day) -- a dominant series is split too -- and let the
     # Summarizer combine per-partition partial sums per series.
     rows = series.join(stats, on="series_key", how="inner") \
-        .repartition(_cores(series), "series_key", "ds")
+        .repartition(_spread(series, series.count()), "series_key", "ds")
     x = design(_epoch_day(F.col("ds")), _epoch_day(F.col("first_ds")), F.col("span"))
     z = F.array(*x, (F.col("y").cast("double") / F.col("scale")))
     zz = rows.select("series_key", z.alias("_z"))
@@ -226,35 +251,56 @@ def gram_by_series(series: DataFrame) -> DataFrame:
     return summed.join(stats, on="series_key", how="inner")
 
 
-def _ridge(gram_upper: np.ndarray, n: int, penalties: np.ndarray) -> tuple[np.ndarray, float]:
+def _ridge(m: np.ndarray, penalties: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Coefficients, residual sum of squares and effective parameters of a ridge fit from [X y]^T [X y]."""
     k = N_FEATURES
-    m = np.zeros((k + 1, k + 1))
-    m[np.triu_indices(k + 1)] = gram_upper
-    m = m + np.triu(m, 1).T
     g, b, yy = m[:k, :k], m[:k, k], m[k, k]
-    beta = np.linalg.solve(g + np.diag(penalties), b)
+    solved = np.linalg.solve(g + np.diag(penalties), np.column_stack([b, g]))
+    beta = solved[:, 0]
     rss = max(yy - 2.0 * beta @ b + beta @ g @ beta, 0.0)
-    return beta, rss
+    return beta, rss, float(np.trace(solved[:, 1:]))
 
 
-def _solve_batches(batches, level: float):
-    z = NormalDist().inv_cdf(0.5 + level / 2.0)
-    trend_free = np.r_[np.full(2, 1e-9), np.full(N_CHANGEPOINTS, 1e9), np.full(N_YEARLY + N_WEEKLY, 1e-6)]
+def _left_out(n: int, span: int) -> np.ndarray:
+    """Which coefficients a series of ``n`` rows over ``span`` days is too short for: the slope under 3 rows,
+    changepoints while rows don't outnumber the parameters, weekly terms under two weeks, yearly ones under a year."""
+    out = np.zeros(N_FEATURES, bool)
+    out[1] = n < MIN_ROWS_SLOPE
+    out[2:N_TREND] = n <= N_FEATURES
+    out[N_TREND:N_TREND + N_YEARLY] = span < MIN_SPAN_YEARLY
+    out[N_TREND + N_YEARLY:] = span + 1 < MIN_SPAN_WEEKLY or n < MIN_SPAN_WEEKLY
+    return out
+
+
+def solve_series(upper: np.ndarray, n: int, span: int) -> tuple[np.ndarray, float]:
+    """(coefficients, sigma) in scaled units from the upper triangle of [X y]^T [X y]."""
+    k = N_FEATURES
+    m = np.zeros((k + 1, k + 1))
+    m[np.triu_indices(k + 1)] = upper
+    m = m + np.triu(m, 1).T
+    out = _left_out(n, span)
+    # Pass 1: trend without changepoints, light seasonality -> noise variance.
+    free = np.r_[np.full(2, 1e-9), np.full(N_CHANGEPOINTS, 1e9), np.full(N_YEARLY + N_WEEKLY, 1e-6)]
+    free[out] = 1e9
+    _, rss, used = _ridge(m, free)
+    sigma2 = max(rss / max(n - used, 1.0), NOISE_FLOOR ** 2)
+    # Pass 2: MAP with Gaussian priors, penalty sigma^2 / tau^2 per coefficient.
     tau = np.r_[np.full(2, TREND_PRIOR), np.full(N_CHANGEPOINTS, CHANGEPOINT_PRIOR),
                 np.full(N_YEARLY + N_WEEKLY, SEASONALITY_PRIOR)]
+    penalties = sigma2 / tau ** 2
+    penalties[out] = 1e9
+    beta, rss, used = _ridge(m, penalties)
+    beta[out] = 0.0
+    return beta, math.sqrt(max(rss / max(n - used, 1.0), NOISE_FLOOR ** 2))
+
+
+def _solve_batches(batches, level: float):
+    z = NormalDist().inv_cdf(0.5 + level / 2.0)
     for pdf in batches:
-        betas, sigmas = [], []
-        for upper, n in zip(pdf["gram"], pdf["n"]):
-            upper, n = np.asarray(upper, dtype=float), int(n)
-            # Pass 1: trend without changepoints, light seasonality -> noise variance.
-            _, rss1 = _ridge(upper, n, trend_free)
-            sigma2 = max(rss1 / max(n - (2 + N_YEARLY + N_WEEKLY), 1), 1e-12)
-            # Pass 2: MAP with Gaussian priors, penalty sigma^2 / tau^2 per coefficient.
-            beta, rss = _ridge(upper, n, sigma2 / tau ** 2)
-            betas.append(beta.tolist())
-            sigmas.append(math.sqrt(rss / max(n - 2, 1)))
+        fits = [solve_series(np.asarray(upper, dtype=float), int(n), int(span))
+                for upper, n, span in zip(pdf["gram"], pdf["n"], pdf["span"])]
         yield pd.DataFrame({
-            "series_key": pdf["series_key"], "beta": betas, "sigma": sigmas, "z": z,
+            "series_key": pdf["series_key"], "beta": [b.tolist() for b, _ in fits], "sigma": [s for _, s in fits], "z": z,
             "first_ds": pdf["first_ds"], "last_ds": pdf["last_ds"], "span": pdf["span"],
             "scale": pdf["scale"],
         })
@@ -291,25 +337,31 @@ def _dot(x: list[Column], beta: Column, lo: int, hi: int) -> Column:
     return total
 
 
-def _cores(df: DataFrame) -> int:
-    return max(1, df.sparkSession.sparkContext.defaultParallelism)
+ROWS_PER_TASK = 20_000
+
+
+def _spread(df: DataFrame, rows: int) -> int:
+    """Partitions for CPU-heavy work on ``rows`` small rows: every core, and more as the rows grow."""
+    return max(1, df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
 
 
 def score_seasonal(fit: DataFrame, periods: int = 90) -> DataFrame:
+    rows = fit.agg(F.sum(F.datediff("last_ds", "first_ds") + 1 + periods)).first()[0] or 0
     cal = fit.select("*", F.explode(F.sequence("first_ds", F.date_add("last_ds", periods))).alias("ds")) \
-        .repartition(_cores(fit), "series_key", "ds")
+        .repartition(_spread(fit, rows), "series_key", "ds")
     x = design(_epoch_day(F.col("ds")), _epoch_day(F.col("first_ds")), F.col("span"))
     beta, scale = F.col("beta"), F.col("scale")
     trend = _dot(x, beta, 0, N_TREND) * scale
     yearly = _dot(x, beta, N_TREND, N_TREND + N_YEARLY) * scale
     weekly = _dot(x, beta, N_TREND + N_YEARLY, N_FEATURES) * scale
     scored = cal.select("series_key", "ds", trend.alias("trend"), yearly.alias("yearly"),
-                        weekly.alias("weekly"), (F.col("sigma") * F.col("z") * scale).alias("_half"))
+                        weekly.alias("weekly"), (F.col("sigma") * F.col("z") * scale).alias("_half"),
+                        (F.col("ds") > F.col("last_ds")).alias("is_future"))
     yhat = F.col("trend") + F.col("yearly") + F.col("weekly")
     return scored.select("series_key", midnight("ds").alias("ds"), yhat.alias("yhat"),
                          (yhat - F.col("_half")).alias("yhat_lower"),
                          (yhat + F.col("_half")).alias("yhat_upper"),
-                         "trend", "yearly", "weekly")
+                         "trend", "yearly", "weekly", "is_future")
 
 
 def seasonal_forecast_of(series: DataFrame, periods: int = 90,
@@ -318,7 +370,17 @@ def seasonal_forecast_of(series: DataFrame, periods: int = 90,
 
 
 def seasonal_forecast(model: SalesModel, periods: int = 90, by: str | None = None) -> DataFrame:
-    return seasonal_forecast_of(daily_series(model, by), periods)
+    return seasonal_forecast_of(daily_series(model, by), periods).drop("is_future")
+
+
+def series_moments(model: SalesModel) -> DataFrame:
+    """What the seasonal fit is computed from, per customer state: rows, span, scale, and three of the summed products (y,
+    t times y, y squared; scaled, to six places)."""
+    gram = gram_by_series(cut_lineage(daily_series(model, "customer_state"), "daily"))
+    width = N_FEATURES + 1
+    at = {"sum_y": width, "sum_ty": 2 * width - 1, "sum_yy": width * (width + 1) // 2}  # 1-based, upper triangle by rows
+    return gram.select("series_key", F.col("n").cast("bigint").alias("n"), F.col("span").cast("bigint").alias("span"), "scale",
+                       *[(F.round(F.element_at("gram", k) * 1e6, 0) / 1e6).alias(name) for name, k in at.items()])
 
 
 def seasonal_forecast_by_state(model: SalesModel, periods: int = 90) -> DataFrame:

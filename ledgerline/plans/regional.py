@@ -15,8 +15,8 @@ from ledgerline.model import SalesModel
 from ledgerline.operators.facts import customer_totals, delivered_order_totals
 
 
-def customer_rows_with_place(model: SalesModel, flt=None) -> DataFrame:
-    cust = customer_totals(delivered_order_totals(model, flt))
+def customer_rows_with_place(model: SalesModel) -> DataFrame:
+    cust = customer_totals(delivered_order_totals(model))
     place = model.customers.select("customer_id", "customer_state", "customer_city")
     return cust.join(place, on="customer_id", how="inner")
 

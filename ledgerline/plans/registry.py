@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,7 @@ MODEL_JOBS: dict[str, ModelJob] = {
     # A1 ingest and audit
     "row_count_audit": ingest.row_count_audit,
     "schema_summary": ingest.schema_summary,
+    "key_audit": ingest.key_audit,
     "ingest_tables": ingest.ingest_roundtrip,
     "sample_join_top5": kpis.sample_join_top5,
     # A2 KPIs
@@ -51,13 +53,16 @@ MODEL_JOBS: dict[str, ModelJob] = {
     "rfm_scores_quantile": rfm.rfm_scores_quantile,
     "rfm_segment_rollup": rfm.rfm_segment_rollup,
     "save_rfm_segments": ingest.save_rfm_segments,
-    "rfm_segment_rollup_saved": rfm.rfm_segment_rollup_saved,
+    "rfm_scores_saved": ingest.save_rfm_scores,
+    "rfm_segment_rollup_saved": ingest.rfm_segment_rollup_saved,
     # A7 clustering and projection
     "rfm_features": clusters.rfm_features,
     "cluster_customers": clusters.cluster_customers,
     "cluster_sweep": clusters.cluster_sweep,
     "cluster_pca": clusters.cluster_pca,
     "cluster_profiles": clusters.cluster_profiles,
+    "cluster_totals": clusters.cluster_totals,
+    "feature_variance": clusters.feature_variance,
     # A8 time series and forecast
     "daily_revenue": forecast.daily_revenue,
     "series_span": forecast.series_span,
@@ -67,6 +72,8 @@ MODEL_JOBS: dict[str, ModelJob] = {
     "save_forecast": ingest.save_forecast,
     "seasonal_forecast": forecast.seasonal_forecast,
     "seasonal_forecast_by_state": forecast.seasonal_forecast_by_state,
+    "forecast_summary_seasonal": forecast.forecast_summary_seasonal,
+    "series_moments": forecast.series_moments,
     "seasonality_weekly": forecast.seasonality_weekly,
     "seasonality_yearly": forecast.seasonality_yearly,
     # A9 dashboard queries (default filter: whole date range, all states)
@@ -81,6 +88,13 @@ MODEL_JOBS: dict[str, ModelJob] = {
 }
 
 
+# The same dashboard queries with a real date range and state list.
+FILTERED_JOBS = ("kpi_cards", "kpi_cards_dedup", "monthly_revenue_filtered", "category_revenue_filtered",
+                 "state_revenue_filtered")
+for _name in FILTERED_JOBS:
+    MODEL_JOBS[f"{_name}_year_states"] = partial(MODEL_JOBS[_name], flt=dashboard.YEAR_AND_STATES)
+
+
 def _bind(job: ModelJob) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return job(standin_model(spark, sf_dir))

@@ -155,7 +155,7 @@ def quantile_scored(model: SalesModel, base: DataFrame | None = None, approx: bo
         b = global_rank(b, [F.col("monetary").asc(), cid], rank_col="_m_rank")
         r_edges = quantile_edges(b, "recency", "_r_rank", n)
         m_edges = quantile_edges(b, "monetary", "_m_rank", n)
-    f_edges = quantile_edges(b, "f_rank", "f_rank", n)
+    f_edges = [1 + (n - 1) * p for p in probs]  # quantiles of the ranks 1..n are known
     for what, e in (("recency", r_edges), ("monetary", m_edges), ("frequency rank", f_edges)):
         require_unique_edges(e, what)
     mon = F.col("monetary").cast("double")
@@ -190,9 +190,3 @@ def segment_rollup(scored: DataFrame) -> DataFrame:
 
 def rfm_segment_rollup(model: SalesModel) -> DataFrame:
     return segment_rollup(quantile_scored(model))
-
-
-def rfm_segment_rollup_saved(model: SalesModel) -> DataFrame:
-    """The dashboard panel: the same rollup read back from the written ``rfm_segments`` table."""
-    from ledgerline.plans.ingest import save_rfm_segments
-    return segment_rollup(save_rfm_segments(model))

@@ -1,13 +1,13 @@
 """Session construction and the shared scratch folder.
 
 Jobs never create their own session; they use ``df.sparkSession``. ``build_session`` is for
-tests, the bench and local runs. On a cluster, ``spark.checkpoint.dir`` names a shared folder;
-we read it from the session and only invent a local one when it is unset (tests).
+tests, the bench and the command line. ``spark.checkpoint.dir`` names a folder all executors share;
+we read it from the session and only invent a local one when it is unset and the master is local.
 """
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -20,41 +20,22 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
 
 
-# Sizing for large inputs (applied by the platform's session, or via ``build_session(extra=...)``):
-# ~128 MiB scan splits, a high initial shuffle width that AQE coalesces to ~128 MiB partitions, and
-# skew splitting for hot keys. ``shuffle_partitions_for`` derives the initial shuffle width.
-CLUSTER_SETTINGS = {
-    "spark.sql.files.maxPartitionBytes": str(128 << 20),
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
-    "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
-}
-
-
-def shuffle_partitions_for(shuffle_bytes: int, target_bytes: int = 256 << 20,
-                           floor: int = 200, cap: int = 100_000) -> int:
-    """Initial shuffle width from the bytes a job is expected to shuffle (after map-side
-    combining, usually a fraction of the input): ~target_bytes per reducer, capped because map
-    output metadata grows with mappers x reducers; AQE then merges small partitions."""
-    return min(cap, max(floor, -(-int(shuffle_bytes) // target_bytes)))
-
-
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "ledgerline", extra: dict | None = None) -> SparkSession:
-    master = master or os.environ.get("LEDGERLINE_MASTER", "local[8]")
-    builder = SparkSession.builder.master(master).appName(app_name)
-    for key, value in SESSION_DEFAULTS.items():
-        builder = builder.config(key, value)
-    builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
-    builder = builder.config("spark.driver.memory", os.environ.get("LEDGERLINE_DRIVER_MEM", "8g"))
-    for key, value in (extra or {}).items():
+    """A session with ``SESSION_DEFAULTS``. Master, memory and shuffle width are the caller's
+    (``spark-submit``, the environment) unless given here."""
+    builder = SparkSession.builder.appName(app_name)
+    if master:
+        builder = builder.master(master)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for key, value in {**SESSION_DEFAULTS, **(extra or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -63,22 +44,33 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and written tables.
+    """The application's folder for checkpoints and written tables, inside the shared folder.
 
-    Order: the SparkContext's directory, then ``spark.checkpoint.dir`` from the session config,
-    then (tests / laptops only, when nothing is configured) a fresh local folder.
-    """
+    Order: the SparkContext's directory, then ``spark.checkpoint.dir`` from the session config.
+    With neither, a local master gets a fresh local folder (tests, laptops); on a cluster that
+    would be a different disk on each machine, so it is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="ledgerline-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's checkpoints and scratch tables. Call it when no DataFrame that
+    reads them is needed any more; saved tables (:mod:`ledgerline.sources.tables`) stay."""
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")

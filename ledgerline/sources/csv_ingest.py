@@ -1,9 +1,10 @@
 """CSV ingest of the nine source tables into typed Parquet tables, and the load/audit around it.
 
-Files are read with their header and *without* schema inference (inference is an extra full pass
-over every file); the columns the jobs use get declared types via ``try_cast`` (unparsable text
-becomes NULL instead of failing the load), every other column stays a string. All inputs are
-checked first and a single error names every missing one.
+Files are read with their header as text; the columns the jobs use get declared types, ``infer=True`` also types the
+others as Spark infers them, and every other column stays text. Types never lose anything: a column's
+values are checked first, in one aggregate per table, money takes the scale its text needs, and a value that can't be read as
+its type stops the load with the count of such values per column (or, on request, goes to a reject table as
+whole rows). All inputs are checked first and a single error names every missing one.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.model import LOGICAL_TABLES, SalesModel
 
@@ -29,35 +31,44 @@ CSV_FILES = {
     "geolocation": "olist_geolocation_dataset.csv",
 }
 
-# Declared types of the columns the jobs read; everything else is kept as text.
+MONEY = "money"  # DECIMAL with the scale the column's text needs (two places at least)
+
+# Declared types of the columns the jobs read.
 TYPED_COLUMNS = {
     "orders": {"order_purchase_timestamp": "timestamp_ntz"},
-    "order_items": {"price": "decimal(12,2)", "freight_value": "decimal(12,2)"},
-    "order_payments": {"payment_value": "decimal(12,2)"},
+    "order_items": {"price": MONEY, "freight_value": MONEY},
+    "order_payments": {"payment_value": MONEY},
     "order_reviews": {"review_score": "int"},
 }
 
+# Unique keys the jobs rely on (see ledgerline.model).
+UNIQUE_KEYS = {"orders": "order_id", "customers": "customer_id", "products": "product_id"}
 
 # Tables whose text fields may contain quoted line breaks (free-text review comments). Multi-line
-# parsing cannot split a file across tasks, so it is enabled only where records need it.
+# parsing cannot split a file across tasks, so it is enabled only where records need it, and such a
+# table should come as many files.
 MULTILINE_TABLES = ("order_reviews",)
 
 
-def _read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """RFC 4180 CSV: header row, '"' quotes escaped by doubling, no type inference."""
-    return spark.read.option("header", True).option("inferSchema", False) \
+def _read_csv(spark: SparkSession, path: str, multiline: bool = False, infer: bool = False) -> DataFrame:
+    """RFC 4180 CSV: header row, '"' quotes escaped by doubling. A record that does not fit the header is an error."""
+    df = spark.read.option("header", True).option("inferSchema", infer) \
         .option("quote", '"').option("escape", '"').option("multiLine", multiline) \
-        .option("mode", "PERMISSIVE").csv(path)
+        .option("mode", "FAILFAST" if not infer else "PERMISSIVE").csv(path)
+    # a UTF-8 byte-order mark at the start of a file would otherwise stick to the first header
+    return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
 
 
-def read_csv_tables(spark: SparkSession, data_dir: str,
-                    files: dict[str, str] | None = None) -> dict[str, DataFrame]:
+def read_csv_tables(spark: SparkSession, data_dir: str, files: dict[str, str] | None = None,
+                    infer: bool = False, rejects: str | None = None) -> dict[str, DataFrame]:
+    """The typed tables. ``rejects``: a folder that takes the rows with unreadable values, as text, one
+    Parquet table per source table; without it such rows stop the load."""
     files = files or CSV_FILES
     frames, missing = {}, []
     for table, name in files.items():
         path = f"{data_dir.rstrip('/')}/{name}"
         try:
-            frames[table] = _read_csv(spark, path, multiline=table in MULTILINE_TABLES)
+            frames[table] = _read_csv(spark, path, table in MULTILINE_TABLES)
         except AnalysisException as exc:
             if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
                 missing.append(path)
@@ -65,56 +76,99 @@ def read_csv_tables(spark: SparkSession, data_dir: str,
                 raise
     if missing:
         raise FileNotFoundError("Missing input files: " + ", ".join(missing))
-    return {t: _typed(t, df) for t, df in frames.items()}
+    out = {}
+    for table, df in frames.items():
+        types = dict(TYPED_COLUMNS.get(table, {}))
+        if infer:
+            guessed = _read_csv(spark, f"{data_dir.rstrip('/')}/{files[table]}", table in MULTILINE_TABLES, infer=True)
+            types = {**{f.name: f.dataType.simpleString() for f in guessed.schema if not isinstance(f.dataType, T.StringType)}, **types}
+        out[table] = _typed(table, df, types, rejects)
+    return out
 
 
-def _typed(table: str, df: DataFrame) -> DataFrame:
-    # a UTF-8 byte-order mark at the start of a file would otherwise stick to the first header
-    df = df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns])
-    casts = TYPED_COLUMNS.get(table, {})
-    return df.select(*[F.col(c).try_cast(casts[c]).alias(c) if c in casts else F.col(c)
-                       for c in df.columns])
+NUMBER = r"^\s*[+-]?([0-9]+)?(\.([0-9]*))?\s*$"
+
+
+def _unreadable(col: str, kind: str) -> Column:
+    """Text that is there but can't be read as its type without loss."""
+    if kind == MONEY:
+        return F.col(col).isNotNull() & ~(F.col(col).rlike(NUMBER) & F.col(col).rlike("[0-9]"))
+    return F.col(col).isNotNull() & F.col(col).try_cast(kind).isNull()
+
+
+def _typed(table: str, df: DataFrame, types: dict[str, str], rejects: str | None) -> DataFrame:
+    types = {c: t for c, t in types.items() if c in df.columns}
+    if not types:
+        return df
+    checks = []
+    for c, kind in types.items():
+        checks.append(F.count_if(_unreadable(c, kind)).alias(f"bad_{c}"))
+        if kind == MONEY:
+            whole = F.length(F.regexp_replace(F.regexp_extract(c, NUMBER, 1), "^0+", ""))
+            checks += [F.max(whole).alias(f"whole_{c}"), F.max(F.length(F.regexp_extract(c, NUMBER, 3))).alias(f"scale_{c}")]
+    found = df.agg(*checks).first()
+    bad = {c: found[f"bad_{c}"] for c in types if found[f"bad_{c}"]}
+    if bad and not rejects:
+        raise ValueError(f"{table}: values that can't be read as declared: " + ", ".join(f"{c} {n}" for c, n in bad.items()))
+    if bad:
+        wrong = reduce(Column.__or__, [_unreadable(c, types[c]) for c in bad])
+        df.filter(wrong).write.mode("overwrite").parquet(f"{rejects.rstrip('/')}/{table}")
+        df = df.filter(~wrong)
+    casts = {}
+    for c, kind in types.items():
+        if kind == MONEY:
+            whole, scale = found[f"whole_{c}"] or 0, max(2, found[f"scale_{c}"] or 0)
+            if whole + scale > 38:
+                raise ValueError(f"{table}.{c}: amounts need {whole + scale} digits; 38 are possible")
+            kind = f"decimal({min(38, max(12, whole + scale))},{scale})"
+        casts[c] = kind
+    return df.select(*[F.trim(c).cast(casts[c]).alias(c) if c in casts else F.col(f"`{c}`") for c in df.columns])
 
 
 # Tables keyed by order: bucketing them alike lets the item -> order aggregate and the joins on
 # order_id run without any shuffle.
 ORDER_KEYED = ("orders", "order_items", "order_payments", "order_reviews")
+MONTH = "order_month"
 
 
 def ingest_tables(spark: SparkSession, data_dir: str, out_dir: str,
                   files: dict[str, str] | None = None,
                   orders_by_month: bool = False, buckets: int | None = None,
-                  table_prefix: str = "sales_") -> DataFrame:
+                  table_prefix: str = "sales_", infer: bool = False, rejects: str | None = None) -> DataFrame:
     """Replace each table under ``out_dir/<table>`` with the typed CSV contents; return the
-    row-count audit of what was written.
+    audit of what was written (:func:`column_audit_of`).
 
-    ``orders_by_month``: store orders partitioned by purchase month, so date-range jobs read only
+    ``orders_by_month``: store orders and their items partitioned by purchase month, so date-range jobs read only
     the months they need. ``buckets``: store the order-keyed tables bucketed (and sorted) by
     ``order_id`` into that many buckets, registered as external catalog tables
     ``<table_prefix><table>`` over ``out_dir``; read them back with :func:`load_model` and the
-    same prefix."""
-    frames = read_csv_tables(spark, data_dir, files)
+    same prefix. ``infer`` and ``rejects``: see :func:`read_csv_tables`."""
+    frames = read_csv_tables(spark, data_dir, files, infer, rejects)
     base = out_dir.rstrip("/")
+    if orders_by_month and "orders" in frames:
+        month = F.trunc(F.to_date("order_purchase_timestamp"), "month").alias(MONTH)
+        months = frames["orders"].select("order_id", month)
+        frames["orders"] = frames["orders"].select("*", month)
+        if "order_items" in frames:
+            frames["order_items"] = frames["order_items"].join(months, on="order_id", how="left")
     for table, df in frames.items():
         path = f"{base}/{table}"
-        if table == "orders" and orders_by_month:
-            df = df.withColumn("order_month", F.trunc(F.to_date("order_purchase_timestamp"), "month"))
         writer = df.write.mode("overwrite")
-        if table == "orders" and orders_by_month:
-            writer = writer.partitionBy("order_month")
+        if MONTH in df.columns:
+            writer = writer.partitionBy(MONTH)
         if buckets and table in ORDER_KEYED:
             writer.bucketBy(buckets, "order_id").sortBy("order_id").option("path", path) \
                 .saveAsTable(f"{table_prefix}{table}")
         else:
             writer.parquet(path)
-    return row_count_audit_of(_open_tables(spark, base, list(frames), table_prefix if buckets else None))
+    return column_audit_of(_open_tables(spark, base, list(frames), table_prefix if buckets else None))
 
 
 def _open_tables(spark: SparkSession, table_dir: str, names, table_prefix: str | None):
     out = {}
     for name in names:
-        if table_prefix and name in ORDER_KEYED and spark.catalog.tableExists(f"{table_prefix}{name}"):
-            out[name] = spark.table(f"{table_prefix}{name}")
+        if table_prefix and name in ORDER_KEYED:
+            out[name] = spark.table(f"{table_prefix}{name}")  # an absent table is an error, not a lost layout
         else:
             out[name] = spark.read.parquet(f"{table_dir.rstrip('/')}/{name}")
     return out
@@ -138,6 +192,27 @@ def row_count_audit(model: SalesModel) -> DataFrame:
     return row_count_audit_of(model.tables())
 
 
+def column_audit_of(tables: dict[str, DataFrame]) -> DataFrame:
+    """(tbl, col, rows, nulls, total): one row per column; ``total`` is the exact sum of a DECIMAL
+    column as text at four places or its own scale, null for other types. One aggregate per table."""
+    parts = []
+    for name, df in tables.items():
+        fields = [f for f in df.schema if f.name != MONTH]
+        total = lambda f: F.sum(f.name).cast(T.DecimalType(38, max(4, f.dataType.scale))).cast("string") \
+            if isinstance(f.dataType, T.DecimalType) else F.lit(None).cast("string")
+        each = F.array(*[F.struct(F.lit(f.name).alias("col"), F.count(F.lit(1)).alias("rows"),
+                                  F.count_if(F.col(f"`{f.name}`").isNull()).alias("nulls"), total(f).alias("total")) for f in fields])
+        parts.append(df.agg(each.alias("each")).select(F.lit(name).alias("tbl"), F.explode("each").alias("e")).select("tbl", "e.*"))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def key_audit(model: SalesModel) -> DataFrame:
+    """(tbl, key, rows, distinct_keys, null_keys): the jobs need rows = distinct_keys for each of these tables."""
+    parts = [model.table(t).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(k).alias("distinct_keys"), F.count_if(F.col(k).isNull()).alias("null_keys"))
+             .select(F.lit(t).alias("tbl"), F.lit(k).alias("key"), "rows", "distinct_keys", "null_keys") for t, k in UNIQUE_KEYS.items()]
+    return reduce(DataFrame.unionAll, parts)
+
+
 def schema_summary(model: SalesModel) -> DataFrame:
     """(table, rows, columns) for all nine logical tables."""
     parts = [df.agg(F.count(F.lit(1)).alias("rows"))

@@ -1,25 +1,76 @@
-"""Table sinks: replace a named table with a DataFrame and read it back.
+"""Named result tables: replace by name, reopen by name from any later session.
 
-Tables live under the shared checkpoint folder unless a path is given, so a later process (or a
-retried stage) reads files rather than recomputing the lineage.
+A table is a folder ``<root>/<name>`` with one folder per version and a small ``_current`` file that
+names the version in force. Replacing writes the new version in full first and then switches the file
+by an atomic rename, so readers see the old or the new table, a failed write changes nothing, and a table may
+be replaced by a plan that reads it. The version before the last one is kept for plans that still read it; older ones go.
+
+The root is ``spark.ledgerline.tables.dir`` if set, otherwise ``ledgerline`` in the session's warehouse folder
+(shared by all executors).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+ROOT_SETTING = "spark.ledgerline.tables.dir"
+
+
+def table_root(spark: SparkSession) -> str:
+    return spark.conf.get(ROOT_SETTING, None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/ledgerline"
+
+
+def _fs(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop
+    p = hadoop.fs.Path(path)
+    return hadoop, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _folder(spark: SparkSession, name: str, root: str | None) -> str:
+    return f"{(root or table_root(spark)).rstrip('/')}/{name}"
+
+
+def current_version(spark: SparkSession, name: str, root: str | None = None) -> str | None:
+    """The version in force, or None."""
+    _, path, fs = _fs(spark, f"{_folder(spark, name, root)}/_current")
+    if not fs.exists(path):
+        return None
+    stream = fs.open(path)
+    try:
+        return stream.readLine()
+    finally:
+        stream.close()
+
 
-from ledgerline.session import scratch_path
+def open_table(spark: SparkSession, name: str, root: str | None = None) -> DataFrame:
+    version = current_version(spark, name, root)
+    if version is None:
+        raise FileNotFoundError(f"no saved table {name} under {root or table_root(spark)}")
+    return spark.read.parquet(f"{_folder(spark, name, root)}/{version}")
 
 
-def write_table(df: DataFrame, name: str, path: str | None = None,
-                partition_by: list[str] | None = None) -> DataFrame:
-    spark = df.sparkSession
-    target = path or scratch_path(spark, name)
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(target)
-    return spark.read.parquet(target)
+def write_table(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
+    """Replace the table ``name`` with ``df`` and reopen it."""
+    spark, folder = df.sparkSession, _folder(df.sparkSession, name, root)
+    before = current_version(spark, name, root)
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{version}")
+    hadoop, fresh, fs = _fs(spark, f"{folder}/_next-{version}")
+    out = fs.create(fresh, True)
+    out.writeBytes(version + "\n")
+    out.close()
+    option = getattr(hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(option, 1)
+    options[0] = option.OVERWRITE
+    context = hadoop.fs.FileContext.getFileContext(fresh.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(fresh), fs.makeQualified(hadoop.fs.Path(f"{folder}/_current")), options)
+    for status in fs.listStatus(hadoop.fs.Path(folder)):
+        old = status.getPath().getName()
+        if old.startswith("v-") and old not in (version, before):
+            fs.delete(status.getPath(), True)
+    return open_table(spark, name, root)
 
 
 def export_csv(df: DataFrame, path: str) -> str:

@@ -11,9 +11,12 @@ SF_CHECK = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from ledgerline.session import build_session
-    session = build_session(master="local[4]", shuffle_partitions=8)
+    folder = tmp_path_factory.mktemp("spark")
+    session = build_session(master="local[4]", shuffle_partitions=8, extra={
+        "spark.driver.memory": "8g", "spark.checkpoint.dir": str(folder / "shared"),
+        "spark.ledgerline.tables.dir": str(folder / "tables"), "spark.sql.warehouse.dir": str(folder / "warehouse")})
     yield session
     session.stop()
 

@@ -3,7 +3,7 @@
 Compares row count, column names and an order-insensitive fingerprint of the values, the way
 the external correctness gate does. Usage::
 
-    python -m ledgerline.plans.parity /root/testdata/sf0.01 [job ...]
+    python -m tests.parity /root/testdata/sf0.01 [job ...]
 """
 
 from __future__ import annotations
@@ -65,7 +65,6 @@ def compare(spark_pd: pd.DataFrame, oracle_pd: pd.DataFrame) -> tuple[bool, str]
 
 
 def check(spark, sf_dir: str, names: list[str] | None = None, verbose: bool = True) -> dict:
-    sys.path.insert(0, __file__.rsplit("/ledgerline/", 1)[0])
     import __spark_entry__ as entry
     queries, oracle = entry.queries(), entry.oracle_sql()
     results = {}

@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from ledgerline.plans.oracle import dashboard_sql
-from ledgerline.plans.parity import compare, run_oracle
+from tests.parity import compare, run_oracle
 from ledgerline.plans import dashboard
 from ledgerline.functions.filters import SalesFilter
 from tests.conftest import SF_CHECK, SF_SMALL

@@ -62,8 +62,26 @@ def test_entry_smoke(spark):
     assert 0 < df.count() <= 15
 
 
-def test_shuffle_width_helper():
-    from ledgerline.session import shuffle_partitions_for
-    assert shuffle_partitions_for(10 << 20) == 200
-    assert shuffle_partitions_for(25 * (1 << 40)) == 100_000
-    assert shuffle_partitions_for(1 << 40) == 4096
+def test_filters_reach_the_items_before_they_are_aggregated(model_small):
+    flt = SalesFilter("1997-01-01", "1997-01-31", ("NATION_1",))
+    for job in (dashboard.state_revenue_filtered, dashboard.kpi_cards, dashboard.monthly_revenue_filtered):
+        plan = job(model_small, flt)._jdf.queryExecution().optimizedPlan().toString()
+        items = plan[plan.index("l_orderkey"):] if "l_orderkey" in plan else ""
+        lines = plan.splitlines()
+        scan = next(k for k, x in enumerate(lines) if "l_extendedprice" in x and "Relation" in x)
+        above = lines[:scan]
+        semi = max(k for k, x in enumerate(above) if "LeftSemi" in x)
+        agg = max(k for k, x in enumerate(above) if "Aggregate [" in x and "l_orderkey" in x or "Aggregate [order_id" in x)
+        assert agg < semi, plan  # the semi join stands below the per-order aggregate
+        assert items
+
+
+def test_customers_are_scanned_once(model_small):
+    flt = SalesFilter("1997-01-01", "1997-01-31", ("NATION_1",))
+    plan = dashboard.state_revenue_filtered(model_small, flt)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("c_nationkey:int,c_mktsegment") <= 1
+
+
+def test_dates_are_read_whole():
+    with pytest.raises(ValueError):
+        SalesFilter("1997-01-01 and more").date_predicate()
