@@ -188,7 +188,7 @@ def test_named_tables(spark, tmp_path):
         tables.write_table(spark.range(2).select(F.raise_error(F.lit("no"))), "t", root)
     assert tables.open_table(spark, "t", root).count() == 5
     tables.write_table(spark.range(1), "t", root)
-    assert len([p for p in tmp_path.glob("t/v-*")]) == 2 + 1  # current, the one before, and the failed one's rest
+    assert len(list(tmp_path.glob("t/v-*"))) == 2  # the current one and the one before
 
 
 def test_segment_panel_only_reads(spark, model_small, tmp_path):
