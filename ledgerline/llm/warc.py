@@ -37,6 +37,7 @@ from ledgerline.session import scratch_path
 ARCHIVE_BYTES = 64 << 20
 RANGE_BYTES = 8 << 20
 GAP_BYTES = 64 << 10
+TASK_BYTES = 16 << 20  # compressed bytes read by a task, about
 DATE = "2024-01-01T00:00:00Z"
 INDEX = ("file string, offset bigint, length bigint, url string, page_id bigint, record_type string, "
          "refers_to bigint, payload_digest string, payload_bytes bigint")
@@ -143,7 +144,9 @@ def read_records(index: DataFrame, range_bytes: int = RANGE_BYTES, gap_bytes: in
     """
     target = arrow_schema(index.sparkSession, RECORD)
     stretch = F.floor(F.col("offset") / range_bytes)
-    placed = index.select("file", "offset", "length").repartition("file", stretch).sortWithinPartitions("file", "offset")
+    # tasks by the bytes to read, not by the size of the index rows
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
+    placed = index.select("file", "offset", "length").repartition(tasks, "file", stretch).sortWithinPartitions("file", "offset")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
