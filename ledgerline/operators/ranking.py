@@ -19,6 +19,7 @@ quantile reach the driver.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,6 +60,38 @@ def ntile(df: DataFrame, order: list[Column], k: int, out: str) -> DataFrame:
     return ranked.withColumn(out, ntile_of_rank(F.col("_rank"), F.col("_n"), k)).drop("_rank", "_n")
 
 
+def rows_at_ranks(df: DataFrame, wanted: dict[str, list[int]], key: str) -> dict[str, dict[int, tuple]]:
+    """{measure: {rank: (measure value, key value)}} for the wanted 1-based ranks of each measure, in the order
+    (measure, key). Only the two columns are sorted; the measures are ranked at the same time; one row per wanted rank reaches the
+    driver."""
+    def one(measure: str) -> dict[int, tuple]:
+        ranks = sorted(set(wanted[measure]))
+        if not ranks:
+            return {}
+        ranked = global_rank(df.select(measure, key), [F.col(measure).asc(), F.col(key).asc()], rank_col="_rank")
+        return {r["_rank"]: (r[measure], r[key]) for r in ranked.filter(F.col("_rank").isin(ranks)).collect()}
+
+    with ThreadPoolExecutor(max_workers=max(1, len(wanted))) as pool:
+        return dict(zip(wanted, pool.map(one, wanted)))
+
+
+def tile_starts(n: int, k: int) -> list[int]:
+    """The ranks at which the tiles 2..k of NTILE(k) over n rows begin (tiles without rows have none)."""
+    size, more = divmod(n, k)
+    starts = [1 + t * size + min(t, more) for t in range(1, k)]
+    return [r for r in starts if r <= n]
+
+
+def at_or_above(df: DataFrame, measure: str, key: str, bounds: list[tuple]) -> Column:
+    """How many of the boundary rows (measure, key) a row reaches in the order (measure, key)."""
+    here = F.struct(F.col(measure).alias("m"), F.col(key).alias("k"))
+    total = F.lit(0)
+    for value, row_key in bounds:
+        bound = F.struct(F.lit(value).cast(df.schema[measure].dataType).alias("m"), F.lit(row_key).cast(df.schema[key].dataType).alias("k"))
+        total = total + F.when(here >= bound, 1).otherwise(0)
+    return total
+
+
 QUINTILES = (0.2, 0.4, 0.6, 0.8)
 
 
@@ -74,20 +107,29 @@ def _quantile_positions(n: int, probs) -> list[tuple[float, int, int, float]]:
     return out
 
 
+def interpolated(values: dict[int, float], n: int, probs=(0.0,) + QUINTILES + (1.0,)) -> list[float]:
+    """Linear-interpolation quantiles from the values at the ranks of :func:`quantile_ranks`."""
+    edges = []
+    for _, lo, hi, frac in _quantile_positions(n, probs):
+        a, b = values[lo], values[hi]
+        edges.append(a if lo == hi else a + (b - a) * frac)
+    return edges
+
+
+def quantile_ranks(n: int, probs=(0.0,) + QUINTILES + (1.0,)) -> list[int]:
+    """The ranks that linear interpolation needs."""
+    return sorted({r for _, lo, hi, _ in _quantile_positions(n, probs) for r in (lo, hi)})
+
+
 def quantile_edges(ranked: DataFrame, value: str, rank_col: str, n: int,
                    probs=(0.0,) + QUINTILES + (1.0,)) -> list[float]:
     """Exact linear-interpolation quantiles of ``value`` from a ranked frame (n rows)."""
     if n <= 0:
         return []
-    spots = _quantile_positions(n, probs)
-    wanted = sorted({r for _, lo, hi, _ in spots for r in (lo, hi)})
+    wanted = quantile_ranks(n, probs)
     picked = dict(ranked.filter(F.col(rank_col).isin(wanted))
                   .select(rank_col, F.col(value).cast("double")).collect())
-    edges = []
-    for _, lo, hi, frac in spots:
-        a, b = picked[lo], picked[hi]
-        edges.append(a if lo == hi else a + (b - a) * frac)
-    return edges
+    return interpolated(picked, n, probs)
 
 
 def count_edges_below(value: Column, interior_edges: list[float]) -> Column:

@@ -13,6 +13,8 @@ Both run on :mod:`ledgerline.operators.ranking`, never on a single-partition win
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +23,10 @@ from ledgerline.functions.money import money_out, money_round, round_ratio
 from ledgerline.model import SalesModel
 from ledgerline.operators.facts import TS, customer_totals, delivered_order_totals
 from ledgerline.operators.ranking import (
-    QUINTILES, count_edges_below, global_rank, ntile, quantile_edges, require_unique_edges,
+    QUINTILES, at_or_above, count_edges_below, interpolated, quantile_ranks, require_unique_edges,
+    rows_at_ranks, tile_starts,
 )
+from ledgerline.session import cut_lineage
 
 CANT_LOSE_SQL = "Cant Lose Them"
 CANT_LOSE_PY = "Can't Lose Them"
@@ -80,13 +84,14 @@ def rfm_base_positive(model: SalesModel) -> DataFrame:
 # ---------------------------------------------------------------- NTILE scoring (SQL flavour)
 
 def _ntile_scores(model: SalesModel) -> DataFrame:
-    b = _customer_base(model).select(
-        "customer_id", F.col("recency").alias("recency_days"), "frequency", "monetary")
-    cid = F.col("customer_id").asc()
-    b = ntile(b, [F.col("recency_days").asc(), cid], 5, "_r")
-    b = ntile(b, [F.col("frequency").asc(), cid], 5, "f_score")
-    b = ntile(b, [F.col("monetary").asc(), cid], 5, "m_score")
-    return b.withColumn("r_score", (F.lit(6) - F.col("_r")).cast("bigint")).drop("_r")
+    """Scores by comparison with the four customers at which the fifths of each measure begin."""
+    b = cut_lineage(_customer_base(model).select(
+        "customer_id", F.col("recency").alias("recency_days"), "frequency", "monetary"), "rfm-base")
+    starts = tile_starts(b.count(), 5)
+    found = rows_at_ranks(b, {m: starts for m in ("recency_days", "frequency", "monetary")}, "customer_id")
+    fifth = lambda m: (F.lit(1) + at_or_above(b, m, "customer_id", [found[m][r] for r in starts])).cast("bigint")
+    return b.select("*", fifth("frequency").alias("f_score"), fifth("monetary").alias("m_score"),
+                    (F.lit(6) - fifth("recency_days")).cast("bigint").alias("r_score"))
 
 
 def rfm_scores_ntile(model: SalesModel) -> DataFrame:
@@ -136,33 +141,33 @@ def quantile_scored(model: SalesModel, base: DataFrame | None = None, approx: bo
                      accuracy: int = 10000) -> DataFrame:
     """Quantile scores. ``approx=True`` opts in to ``percentile_approx`` edges for recency and
     monetary (one pass, bounded memory, no sort; edges are data values, not interpolated)."""
-    b = base if base is not None else positive_base(model)
-    cid = F.col("customer_id").asc()
-    b = global_rank(b, [F.col("frequency").asc(), cid], rank_col="f_rank", count_col="_n")
-    n = b.select("_n").limit(1).collect()
+    b = base if base is not None else cut_lineage(positive_base(model), "rfm-base")
+    n = b.count()
     if not n:
         raise ValueError("quantile scoring needs at least one customer")
-    n = int(n[0][0])
-    b = b.drop("_n")
     probs = [0.0, *QUINTILES, 1.0]
+    f_edges = [1 + (n - 1) * p for p in probs]  # quantiles of the ranks 1..n are known
+    above = [math.floor(e) + 1 for e in f_edges[1:-1]]  # the first rank beyond each inner edge
+    wanted = {"frequency": [r for r in above if r <= n]}
+    if not approx:
+        wanted |= {"recency": quantile_ranks(n, probs), "monetary": quantile_ranks(n, probs)}
+    found = rows_at_ranks(b, wanted, "customer_id")
     if approx:
         row = b.agg(F.percentile_approx(F.col("recency").cast("double"), probs, accuracy).alias("r"),
                     F.percentile_approx(F.col("monetary").cast("double"), probs, accuracy).alias("m")
                     ).first()
         r_edges, m_edges = list(row["r"]), list(row["m"])
     else:
-        b = global_rank(b, [F.col("recency").asc(), cid], rank_col="_r_rank")
-        b = global_rank(b, [F.col("monetary").asc(), cid], rank_col="_m_rank")
-        r_edges = quantile_edges(b, "recency", "_r_rank", n)
-        m_edges = quantile_edges(b, "monetary", "_m_rank", n)
-    f_edges = [1 + (n - 1) * p for p in probs]  # quantiles of the ranks 1..n are known
+        values = lambda m: {r: float(v) for r, (v, _) in found[m].items()}
+        r_edges, m_edges = interpolated(values("recency"), n, probs), interpolated(values("monetary"), n, probs)
+    f_score = F.lit(1) + at_or_above(b, "frequency", "customer_id", [found["frequency"][r] for r in wanted["frequency"]])
     for what, e in (("recency", r_edges), ("monetary", m_edges), ("frequency rank", f_edges)):
         require_unique_edges(e, what)
     mon = F.col("monetary").cast("double")
     return b.select(
         "customer_id", "recency", "frequency", "monetary",
         (F.lit(5) - count_edges_below(F.col("recency"), r_edges[1:-1])).cast("bigint").alias("r_score"),
-        (F.lit(1) + count_edges_below(F.col("f_rank"), f_edges[1:-1])).cast("bigint").alias("f_score"),
+        f_score.cast("bigint").alias("f_score"),
         (F.lit(1) + count_edges_below(mon, m_edges[1:-1])).cast("bigint").alias("m_score"),
     ).withColumn("rfm_score", F.col("r_score") + F.col("f_score") + F.col("m_score")) \
      .withColumn("segment", segment_label(CANT_LOSE_PY))

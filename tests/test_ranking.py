@@ -5,7 +5,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators.ranking import (
-    count_edges_below, global_rank, ntile, quantile_edges, require_unique_edges,
+    at_or_above, count_edges_below, global_rank, ntile, quantile_edges, require_unique_edges, rows_at_ranks,
+    tile_starts,
 )
 
 
@@ -34,6 +35,16 @@ def test_ntile_matches_window_ntile(spark, n, k):
     assert bad == 0
 
 
+@pytest.mark.parametrize("n,k", [(0, 5), (1, 5), (4, 5), (7, 5), (1001, 3)])
+def test_tiles_by_boundary_rows(spark, n, k):
+    df = spark.range(0, n).select(F.col("id").alias("cid"), F.when(F.col("id") % 9 > 0, F.col("id") % 4).alias("v"))
+    starts = tile_starts(n, k)
+    found = rows_at_ranks(df, {"v": starts}, "cid")["v"]
+    ours = df.withColumn("t", F.lit(1) + at_or_above(df, "v", "cid", [found[r] for r in starts]))
+    ref = ours.withColumn("t_ref", F.ntile(k).over(Window.orderBy(F.col("v").asc(), F.col("cid").asc())))
+    assert ref.filter(F.col("t") != F.col("t_ref")).count() == 0
+
+
 def test_ntile_fixture_values(spark):
     df = spark.createDataFrame([(i, i) for i in range(1, 8)], "cid long, v long")
     got = [r.t for r in ntile(df, [F.col("v"), F.col("cid")], 5, "t").orderBy("v").collect()]
