@@ -112,7 +112,10 @@ def byte_parser(length: int = LENGTH) -> Parser:
         rest = b"".join(kept)
         return len(text) - len(rest), len(spans), sha256(rest)
 
-    return Parser(length, parse, cut)
+    def slices(text: memoryview, wanted: list[tuple[int, int]]) -> list[bytes]:
+        return [bytes(text[a:b]) for a, b in wanted]
+
+    return Parser(length, parse, cut, slices)
 
 
 def remove_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:

@@ -13,8 +13,9 @@ Steps, each a written table in the shared folder:
 1. anchors: one row per anchor; those whose key occurs twice are *seeds*;
 2. contexts: for each seed the string spanned by all its windows; where that string occurs twice, all its windows
    are repeated at once (this settles the inside of long repeats, one row per anchor, not per unit);
-3. windows: at the edges of repeats, where a context occurs once, its windows are compared one by one with those
-   of the other contexts of the same anchor key (one representative per repeated context is enough).
+3. edges: where a context occurs once, its windows are compared with those of the other contexts of the same anchor
+   key (one representative per repeated context is enough). The contexts' texts, not their windows, are sent to
+   the key's task; a key with more than ``CLASS_LIMIT`` different contexts is dealt out window by window instead.
 
 Skew and growth: every comparison is by equal fingerprints (96 bits), never by pairs. Each Arrow batch first compares
 its own rows and sends one row per distinct string, so a string found in a third of all documents costs one row
@@ -36,6 +37,9 @@ from ledgerline.llm.common import arrow_schema
 from ledgerline.session import scratch_path
 
 ASK, MANY, KNOWN = 0, 1, 2  # one occurrence, needs an answer; stands for several; settled in its batch
+#: Contexts of one anchor key that meet in a task, and windows held there before they are compared.
+CLASS_LIMIT, HELD_WINDOWS = 2000, 500_000
+BODIES = "rid bigint, cls bigint, lo int, hi int, many boolean, crowd boolean, body binary"
 ROWS = "rid bigint, lo int, hi int, key bigint, chk int, kind tinyint, cls bigint"
 
 
@@ -52,11 +56,13 @@ class Parsed(Protocol):
 
 
 class Parser(NamedTuple):
-    """``parse(text bytes)`` gives a Parsed document (anchors wanted or not), ``cut(text, spans)`` the result columns."""
+    """``parse(text, anchors wanted)`` gives a Parsed document, ``cut(text, spans)`` the result columns,
+    ``slices(text, ranges)`` the texts of unit ranges."""
 
     length: int
     parse: Callable[[memoryview, bool], Parsed]
     cut: Callable[[bytes, list], tuple[int, int, bytes]]
+    slices: Callable[[memoryview, list], list[bytes]]
 
 
 def combined(rid: np.ndarray, lo: np.ndarray, hi: np.ndarray, key: np.ndarray, chk: np.ndarray, cls: np.ndarray,
@@ -149,7 +155,7 @@ def remove_repeats(docs: DataFrame, doc_id: str, text: str, parser: Parser, n_un
     ``n_units`` and ``full_digest`` are column expressions over the binary column ``text``, for documents that keep everything.
     """
     spark = docs.sparkSession
-    length, parse, cut = parser
+    length, parse, cut, cutter = parser
     target = arrow_schema(spark, ROWS)
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text")).withColumn("rid", F.monotonically_increasing_id())
@@ -188,24 +194,64 @@ def remove_repeats(docs: DataFrame, doc_id: str, text: str, parser: Parser, n_un
     single = seen.filter((F.col("kind") == ASK) & (F.col("n") == 1))
     asked = table_of(single.select("cls").distinct(), "asked")
     others = seen.filter((F.col("n") > 1) & (F.col("k") == 1)).join(asked, "cls", "left_semi")
-    edges = by_document(single.select("rid", "lo", "hi", F.lit(False).alias("many")).unionByName(
-        others.select("rid", "lo", "hi", F.lit(True).alias("many"))), "edges", "lo", "hi", "many")
-
-    def windows(value, listed):
-        parsed = parse(view(value), False)
-        lows, highs = ranges(listed, "lo", "hi")
-        many = listed.values.field("many").to_numpy(zero_copy_only=False).astype(bool)
-        sizes = highs - lows + 1
-        starts = np.repeat(lows - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-        order = np.argsort(starts, kind="stable")
-        starts, flag = starts[order], np.repeat(many, sizes)[order]
-        zero = np.zeros(len(starts), np.int64)
-        key, chk = parsed.strings(starts, starts + length, zero)
-        return starts.astype(np.int32), starts.astype(np.int32), key, chk, zero, flag
-
-    narrow = table_of(seeded.select("rid", "text").join(edges, "rid").select("rid", "text", "edges").mapInArrow(
-        emitting(windows, target, True), ROWS), "windows")
-    spans = settled(wide, seen).unionByName(settled(narrow, occurrences(narrow)))
+    edges = table_of(single.select("cls", "rid", "lo", "hi", F.lit(False).alias("many")).unionByName(
+        others.select("cls", "rid", "lo", "hi", F.lit(True).alias("many"))), "edges")
+    crowds = table_of(edges.groupBy("cls").count().filter(F.col("count") > CLASS_LIMIT).select("cls", F.lit(True).alias("crowd")), "crowds")
+    listed = by_document(edges.join(crowds, "cls", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False))),
+                         "edges", "cls", "lo", "hi", "many", "crowd")
+    bodies_schema = arrow_schema(spark, BODIES)
+
+    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rids = batch.column(0).to_pylist()
+            for i, rid in enumerate(rids):
+                rows = batch.column(2)[i].as_py()
+                if not rows:
+                    continue
+                slices = cutter(view(batch.column(1)[i]), [(r["lo"], r["hi"] + length) for r in rows])
+                columns = [pa.array([r[name] for r in rows], bodies_schema.field(name).type) for name in ("cls", "lo", "hi", "many", "crowd")]
+                yield pa.RecordBatch.from_arrays([pa.array([rid] * len(rows), pa.int64()), *columns, pa.array(slices, pa.binary())], schema=bodies_schema)
+
+    body = table_of(seeded.select("rid", "text").join(listed, "rid").select("rid", "text", "edges").mapInArrow(bodies, BODIES), "bodies")
+
+    def windows_of(value, lo: int, hi: int, many: bool):
+        n = hi - lo + 1
+        starts = np.arange(n)
+        key, chk = parse(view(value), False).strings(starts, starts + length, np.zeros(n, np.int64))
+        at = (starts + lo).astype(np.int32)
+        return at, at, key, chk, np.zeros(n, np.int64), np.full(n, many)
+
+    # an anchor key's contexts meet in one task, sorted, and their windows are compared there ...
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, last = [], 0, None
+        for batch in batches:
+            for cls, rid, lo, hi, many, value in zip(*(batch.column(k) for k in range(6))):
+                cls = cls.as_py()
+                if cls != last and size >= HELD_WINDOWS:
+                    yield known(held)
+                    held, size = [], 0
+                last = cls
+                found = windows_of(value, lo.as_py(), hi.as_py(), many.as_py())
+                held.append((np.full(len(found[0]), rid.as_py()), *found))
+                size += len(found[0])
+        if held:
+            yield known(held)
+
+    def known(held: list[tuple]) -> pa.RecordBatch:
+        out = combined(*map(np.concatenate, zip(*held)), True)
+        at = out["kind"] == KNOWN
+        return pa.RecordBatch.from_arrays([pa.array(out[name][at], t) for name, t in (("rid", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()))],
+                                          names=["rid", "lo", "hi"])
+
+    near = body.filter(~F.col("crowd")).repartition("cls").sortWithinPartitions("cls").select("cls", "rid", "lo", "hi", "many", "body").mapInArrow(
+        compare, "rid bigint, lo int, hi int")
+
+    # ... but those of a key with very many contexts are dealt out window by window
+    def windows(lo, hi, many, value):
+        return windows_of(value, lo.as_py(), hi.as_py(), many.as_py())
+
+    narrow = table_of(body.filter("crowd").select("rid", "lo", "hi", "many", "body").mapInArrow(emitting(windows, target, True), ROWS), "windows")
+    spans = table_of(settled(wide, seen).unionByName(near).unionByName(settled(narrow, occurrences(narrow))), "settled")
     spans = by_document(spans, "spans", "lo", "hi")
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

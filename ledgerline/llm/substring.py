@@ -83,7 +83,11 @@ def word_parser(length: int = LENGTH, gram: int = GRAM) -> Parser:
         kept += listed[at:]
         return len(listed) - len(kept), len(spans), sha256(b" ".join(kept))
 
-    return Parser(length, parse, cut)
+    def slices(text: memoryview, wanted: list[tuple[int, int]]) -> list[bytes]:
+        listed = bytes(text).split()
+        return [b" ".join(listed[a:b]) for a, b in wanted]
+
+    return Parser(length, parse, cut, slices)
 
 
 def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH,

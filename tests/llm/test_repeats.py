@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-from ledgerline.llm import prefix_parse, substring
+from ledgerline.llm import prefix_parse, repeats, substring
 from tests.llm.samples import documents, edge_docs, empty_docs
 
 
@@ -41,7 +41,10 @@ CASES = [(substring.remove_repeated_passages, 35, bytes.split, "abcdefgh", " "),
 
 
 @pytest.mark.parametrize("remove,length,units,letters,gap", CASES, ids=["words", "bytes"])
-def test_planted(spark, remove, length, units, letters, gap):
+@pytest.mark.parametrize("limit", [2000, 3])  # 3: most anchor keys count as crowded
+def test_planted(spark, remove, length, units, letters, gap, limit, monkeypatch):
+    monkeypatch.setattr(repeats, "CLASS_LIMIT", limit)
+    monkeypatch.setattr(repeats, "HELD_WINDOWS", 50)
     rows = planted(1, letters, gap) + [(None, "a " * 1500), (5, "a" * 3000), (5, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert sorted(map(tuple, remove(df).collect()), key=str) == expected(rows, length, units)
