@@ -51,12 +51,14 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_rep
     per = per.withColumn("weight", F.element_at(cycle, (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")))
     per = per.withColumn("cap", max_repeats * F.col("source_size"))
     whole = Window.partitionBy(F.lit(1))
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    ratio_order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
+    by_ratio = ratio_order.rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("place", F.row_number().over(ratio_order))
     per = per.withColumn("before_cap", F.coalesce(F.sum("cap").over(by_ratio), F.lit(0.0)))
     per = per.withColumn("before_weight", F.coalesce(F.sum("weight").over(by_ratio), F.lit(0.0)))
     level = (F.sum("source_size").over(whole) - F.col("before_cap")) / (F.sum("weight").over(whole) - F.col("before_weight"))
     per = per.withColumn("level", level)
-    open_level = F.min(F.when(F.col("cap") > F.col("level") * F.col("weight"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(whole)
+    open_level = F.min(F.when(F.col("cap") > F.col("level") * F.col("weight"), F.struct("place", "level"))).over(whole)
     target = F.least(F.col("cap"), F.coalesce(open_level["level"] * F.col("weight"), F.col("cap")))
     return per.select("source", "n_docs", "source_size", target.alias("target"))
 
