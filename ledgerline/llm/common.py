@@ -1,9 +1,7 @@
-"""Helpers shared by the corpus operators: word rules, written tables, digests, Arrow mapping."""
+"""Helpers shared by the corpus operators: word rules, written tables, Arrow schemas."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, reopened: lineage ends there, so a lost
-    executor costs a re-read, and the planner knows the table's size."""
+    executor costs a re-read, and the planner knows the table's size. Compressed well: some hold texts."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -38,39 +36,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def map_rows(df: DataFrame, each: Callable[..., Iterator[dict] | None], schema: str, start: Callable | None = None,
-             batch_rows: int = 4096) -> DataFrame:
-    """``mapInArrow`` with one call per input row: ``each(row_values..., state) -> iterable of tuples``.
-
-    Rows come as Python values in the frame's column order (binary stays bytes); the tuples are
-    the output rows in the order of ``schema``. ``start()`` makes the per-task state. Output is
-    handed on in batches, so memory follows one input batch, not the partition.
-    """
-    target = arrow_schema(df.sparkSession, schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = start() if start else None
-        pending: list[tuple] = []
-        for batch in batches:
-            columns = batch.columns
-            for i in range(batch.num_rows):
-                values = [c[i].as_py() for c in columns]
-                for row in each(*values, state):
-                    pending.append(row)
-                    if len(pending) >= batch_rows:
-                        yield to_batch(pending, target)
-                        pending = []
-        if pending:
-            yield to_batch(pending, target)
-
-    return df.mapInArrow(run, schema)
-
-
-def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(schema)], schema=schema)
-
-
 def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     """The Arrow schema of a simple DDL column list."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -12,7 +12,8 @@ fewer by a factor of block / 2 each time, until a source has one block; its last
 outcomes that keep their probabilities the pair closest to the word total is drawn. A source with a third of all rows is
 many blocks; no task holds more than a few times ``block`` documents.
 
-Random numbers come from hashes of the seed, source, level and block, and documents are sorted before they fly, so reruns agree.
+Random numbers come from hashes of the seed, source, level and block, blocks and order from the documents' own hashes: reruns agree,
+also with other partitions.
 
 Nulls and odd rows: null text has size 0 and is taken 0 words; a null source is a source, last in order; null or repeated
 ids stay separate rows (equal rows are interchangeable); a source without words gets target 0;
@@ -143,16 +144,17 @@ def land(p: np.ndarray, size: np.ndarray, draw: np.random.Generator) -> None:
         p[a], p[b] = x, y
 
 
-FLOWN = "rid bigint, sid string, size bigint, p double, left int"
+FLOWN = "rid bigint, h bigint, sid string, size bigint, p double, left int"
 
 
 def flight_level(units: DataFrame, level: int, seed: int) -> DataFrame:
-    """One level: (rid, sid, size, p, blocks) -> (rid, sid, size, p, left); left is how many blocks the source had,
-    0 for a decided document. A source with one block lands as well."""
-    placed = units.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "rid"), F.col("blocks")))
+    """One level: (rid, h, sid, size, p, blocks) -> (rid, h, sid, size, p, left); left is how many blocks the source had,
+    0 for a decided document. A source with one block lands as well. Blocks and order follow the document's
+    own hash ``h``, not its place in a file."""
+    placed = units.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "h"), F.col("blocks")))
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("size", "descending"), ("rid", "ascending")])
+        rows = rows.sort_by([("size", "descending"), ("h", "ascending")])
         sid, blocks, block = (rows[name][0].as_py() for name in ("sid", "blocks", "block"))
         draw = np.random.Generator(np.random.PCG64(_seed(seed, level, sid, block)))
         p, size = rows["p"].to_numpy().copy(), rows["size"].to_numpy().astype(float)
@@ -160,7 +162,7 @@ def flight_level(units: DataFrame, level: int, seed: int) -> DataFrame:
         if blocks == 1:
             land(p, size, draw)
         left = np.where((p > 0) & (p < 1), blocks, 0).astype(np.int32)
-        return pa.table({"rid": rows["rid"], "sid": rows["sid"], "size": rows["size"], "p": p, "left": left})
+        return pa.table({"rid": rows["rid"], "h": rows["h"], "sid": rows["sid"], "size": rows["size"], "p": p, "left": left})
 
     return placed.groupBy("sid", "block").applyInArrow(run, FLOWN)
 
@@ -175,7 +177,8 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
                 seed: int = SEED) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, copies, taken."""
     size: Column = F.size(words(F.col(text))).cast("bigint")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"))
+    own = F.xxhash64(F.col(doc_id), F.col(text), F.col(source))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"), own.alias("h"))
     rows = written(rows.withColumn("rid", F.monotonically_increasing_id()), "sizes")
     targets = written(source_targets(rows, weights, max_repeats), "targets")
     sid = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # null has a name of its own
@@ -185,7 +188,7 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     # one row per source; Spark broadcasts it or splits a hot source's rows
     rated = rows.withColumn("sid", sid).join(rates.select("sid", "source_size", "target", "rate", "blocks"), "sid")
     rated = written(rated.withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.col("whole")), "rated")
-    current = rated.filter((F.col("p") > EPS) & (F.col("p") < 1 - EPS) & (F.col("size") > 0)).select("rid", "sid", "size", "p", "blocks")
+    current = rated.filter((F.col("p") > EPS) & (F.col("p") < 1 - EPS) & (F.col("size") > 0)).select("rid", "h", "sid", "size", "p", "blocks")
     drawn, level = [], 0
     while True:
         flown = written(flight_level(current, level, seed), f"flight{level}")
@@ -194,7 +197,7 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
         if most <= 1:
             break
         fewer = F.greatest(F.ceil(2 * F.col("left") / block), F.lit(1)).cast("int")
-        current = flown.filter("left > 0").select("rid", "sid", "size", "p", fewer.alias("blocks"))
+        current = flown.filter("left > 0").select("rid", "h", "sid", "size", "p", fewer.alias("blocks"))
         level += 1
     extra = drawn[0]
     for more in drawn[1:]:

@@ -33,8 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import arrow_schema
-from ledgerline.session import scratch_path
+from ledgerline.llm.common import arrow_schema, written
 
 ASK, MANY, KNOWN = 0, 1, 2  # one occurrence, needs an answer; stands for several; settled in its batch
 #: Contexts of one anchor key that meet in a task, and windows held there before they are compared.
@@ -124,13 +123,6 @@ def view(value: pa.BinaryScalar) -> memoryview:
     return memoryview(b"") if buffer is None else memoryview(buffer)
 
 
-def table_of(df: DataFrame, name: str) -> DataFrame:
-    """A written table, compressed well: its texts are read again."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def occurrences(rows: DataFrame) -> DataFrame:
     """The rows sent on, with ``n``: how often their string occurs (a row that stands for many counts two).
     A string has one row per batch at most, so the groups of this window stay small."""
@@ -159,7 +151,7 @@ def remove_repeats(docs: DataFrame, doc_id: str, text: str, parser: Parser, n_un
     target = arrow_schema(spark, ROWS)
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text")).withColumn("rid", F.monotonically_increasing_id())
-    texts = table_of(rows.select("rid", "doc_id", n_units.alias("n"), full_digest.alias("sha"), "text"), "texts")
+    texts = written(rows.select("rid", "doc_id", n_units.alias("n"), full_digest.alias("sha"), "text"), "texts")
 
     def anchors(value):
         parsed = parse(view(value), True)
@@ -169,10 +161,10 @@ def remove_repeats(docs: DataFrame, doc_id: str, text: str, parser: Parser, n_un
         zero = np.zeros(len(at), np.int64)
         return at, at, parsed.keys(), zero.astype(np.int32), zero, np.zeros(len(at), bool)
 
-    found = table_of(texts.filter(F.octet_length("text") >= length).select("rid", "text").mapInArrow(
+    found = written(texts.filter(F.octet_length("text") >= length).select("rid", "text").mapInArrow(
         emitting(anchors, target, True), ROWS), "anchors")
     seeds = by_document(settled(found, occurrences(found)), "seeds", "lo", "hi")
-    seeded = table_of(texts.select("rid", "text").join(seeds, "rid"), "seeded")
+    seeded = written(texts.select("rid", "text").join(seeds, "rid"), "seeded")
 
     def contexts(value, listed):
         parsed = parse(view(value), True)
@@ -187,16 +179,16 @@ def remove_repeats(docs: DataFrame, doc_id: str, text: str, parser: Parser, n_un
         key, chk = parsed.strings(lo, hi + length, parsed.anchors[use] - lo)
         return lo, hi, key, chk, parsed.keys()[use], np.zeros(len(use), bool)
 
-    wide = table_of(seeded.select("rid", "text", "seeds").mapInArrow(emitting(contexts, target, False), ROWS), "contexts")
+    wide = written(seeded.select("rid", "text", "seeds").mapInArrow(emitting(contexts, target, False), ROWS), "contexts")
     same = Window.partitionBy("key", "chk").orderBy("rid", "lo")
-    seen = table_of(occurrences(wide).withColumn("k", F.row_number().over(same)), "seen")
+    seen = written(occurrences(wide).withColumn("k", F.row_number().over(same)), "seen")
     # edges: contexts that occur once, and one representative of each other context with the same anchor key
     single = seen.filter((F.col("kind") == ASK) & (F.col("n") == 1))
-    asked = table_of(single.select("cls").distinct(), "asked")
+    asked = written(single.select("cls").distinct(), "asked")
     others = seen.filter((F.col("n") > 1) & (F.col("k") == 1)).join(asked, "cls", "left_semi")
-    edges = table_of(single.select("cls", "rid", "lo", "hi", F.lit(False).alias("many")).unionByName(
+    edges = written(single.select("cls", "rid", "lo", "hi", F.lit(False).alias("many")).unionByName(
         others.select("cls", "rid", "lo", "hi", F.lit(True).alias("many"))), "edges")
-    crowds = table_of(edges.groupBy("cls").count().filter(F.col("count") > CLASS_LIMIT).select("cls", F.lit(True).alias("crowd")), "crowds")
+    crowds = written(edges.groupBy("cls").count().filter(F.col("count") > CLASS_LIMIT).select("cls", F.lit(True).alias("crowd")), "crowds")
     listed = by_document(edges.join(crowds, "cls", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False))),
                          "edges", "cls", "lo", "hi", "many", "crowd")
     bodies_schema = arrow_schema(spark, BODIES)
@@ -212,7 +204,7 @@ def remove_repeats(docs: DataFrame, doc_id: str, text: str, parser: Parser, n_un
                 columns = [pa.array([r[name] for r in rows], bodies_schema.field(name).type) for name in ("cls", "lo", "hi", "many", "crowd")]
                 yield pa.RecordBatch.from_arrays([pa.array([rid] * len(rows), pa.int64()), *columns, pa.array(slices, pa.binary())], schema=bodies_schema)
 
-    body = table_of(seeded.select("rid", "text").join(listed, "rid").select("rid", "text", "edges").mapInArrow(bodies, BODIES), "bodies")
+    body = written(seeded.select("rid", "text").join(listed, "rid").select("rid", "text", "edges").mapInArrow(bodies, BODIES), "bodies")
 
     def windows_of(value, lo: int, hi: int, many: bool):
         n = hi - lo + 1
@@ -250,8 +242,8 @@ def remove_repeats(docs: DataFrame, doc_id: str, text: str, parser: Parser, n_un
     def windows(lo, hi, many, value):
         return windows_of(value, lo.as_py(), hi.as_py(), many.as_py())
 
-    narrow = table_of(body.filter("crowd").select("rid", "lo", "hi", "many", "body").mapInArrow(emitting(windows, target, True), ROWS), "windows")
-    spans = table_of(settled(wide, seen).unionByName(near).unionByName(settled(narrow, occurrences(narrow))), "settled")
+    narrow = written(body.filter("crowd").select("rid", "lo", "hi", "many", "body").mapInArrow(emitting(windows, target, True), ROWS), "windows")
+    spans = written(settled(wide, seen).unionByName(near).unionByName(settled(narrow, occurrences(narrow))), "settled")
     spans = by_document(spans, "spans", "lo", "hi")
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +258,7 @@ def remove_repeats(docs: DataFrame, doc_id: str, text: str, parser: Parser, n_un
 
     less = seeded.select("rid", "text").join(spans, "rid").select("rid", "text", "spans").mapInArrow(
         removed, "rid bigint, n_removed bigint, n_spans bigint, kept string")
-    less = table_of(less, "removed")
+    less = written(less, "removed")
     return texts.select("rid", "doc_id", "n", "sha").join(less, "rid", "left").select(
         "doc_id", "n", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"))

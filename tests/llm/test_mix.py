@@ -46,8 +46,7 @@ def test_balance_and_reruns(spark):
     assert len(out) == 3000 and (out.taken <= 3 * out["size"]).all()
     assert (abs(by.taken - by.target) <= 0.01 * by.target + 60).all()
     assert (abs(by.copies - by.n * by.target / by.has) <= 0.03 * by.copies + 5).all()
-    same = cube_mix.mix_sources(df, block=200).toPandas()
-    assert order(out).equals(order(same)) and len(again) == 3000
+    assert order(out).equals(order(again))  # other partitions, same answer
 
 
 def test_probabilities_hold():
