@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # The logical table names (the column names above are fixed too).
 LOGICAL_TABLES = (
@@ -75,6 +76,16 @@ class SalesModel:
     def with_tables(self, **tables: TableSource) -> "SalesModel":
         return self.replace(**tables)
 
+    def keyed_by(self, column: str) -> "SalesModel":
+        """The same sales counted per ``column`` of ``customers`` (a person who has several customer ids, say):
+        RFM, cohort and cluster jobs over the result are per value of it. Orders of unknown customers drop out; the place of
+        a merged customer is that of its least customer id."""
+        own = self.customers.select("customer_id", F.col(column).alias("_key"))
+        orders = self.orders.join(own, on="customer_id", how="inner").withColumn("customer_id", F.col("_key")).drop("_key")
+        first = self.customers.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_key")).agg(
+            F.min_by(F.struct(*[F.col(c) for c in self.customers.columns if c != "customer_id"]), "customer_id").alias("_row"))
+        return self.with_tables(orders=orders, customers=first.select(F.col("_key").alias("customer_id"), "_row.*"))
+
     @property
     def spark(self) -> SparkSession:
         return self.orders.sparkSession

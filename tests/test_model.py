@@ -30,3 +30,17 @@ def test_missing_and_unknown_tables_are_rejected(spark):
         SalesModel(orders=df)
     with pytest.raises(TypeError):
         SalesModel(**{t: df for t in LOGICAL_TABLES}, invoices=df)
+
+
+def test_customer_key_is_a_choice(spark):
+    """Two customer ids of one person: frequency 2 and one cohort row per person."""
+    from ledgerline.plans import cohorts, regional, rfm
+    from tests.helpers import simple_model
+    model = simple_model(spark, [("o1", "c1", "delivered", "2020-01-05"), ("o2", "c2", "delivered", "2020-03-05"), ("o3", "c3", "delivered", "2020-01-09")],
+                         [("o1", "p", 10, 1), ("o2", "p", 20, 1), ("o3", "p", 5, 1)], customers=[("c1", "SP", "a"), ("c2", "RJ", "b"), ("c3", "SP", "c")])
+    people = spark.createDataFrame([("c1", "SP", "a", "ann"), ("c2", "RJ", "b", "ann"), ("c3", "SP", "c", "bob")],
+                                   "customer_id string, customer_state string, customer_city string, person string")
+    keyed = model.with_tables(customers=people).keyed_by("person")
+    assert {r.customer_id: r.frequency for r in rfm.rfm_base(keyed).collect()} == {"ann": 2, "bob": 1}
+    assert {(r.customer_id, r.month_number) for r in cohorts.cohort_activity(keyed).collect()} == {("ann", 0), ("ann", 2), ("bob", 0)}
+    assert {r.state: r.unique_customers for r in regional.state_revenue(keyed).collect()} == {"SP": 2}
