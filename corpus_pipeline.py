@@ -37,11 +37,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component (3-word shingles, 2 bits)."""
     rows = written(whole_rows(docs).withColumn("rid", F.monotonically_increasing_id()), "dedup-input")
     groups = simhash.near_duplicates(rows.select("rid", F.col("row.text").alias("text")), "rid")
-    named = rows.select("rid", F.col("row.doc_id").alias("id")).join(
-        groups.select(F.col("doc_id").alias("rid"), "component_id"), "rid")
+    named = written(rows.select("rid", F.col("row.doc_id").alias("id")).join(
+        groups.select(F.col("doc_id").alias("rid"), "component_id"), "rid"), "dedup-groups")
     first = F.min(F.struct(F.col("id").isNull(), "id", "rid"))
     kept = written(named.groupBy("component_id").agg(first.alias("least")).select(F.col("least.rid").alias("rid")), "dedup-kept")
-    return unpacked(rows.join(kept, "rid", "left_semi"))
+    # the rows that go are fewer than those that stay: texts move only if even they are too many to broadcast
+    dropped = written(named.select("rid").join(kept, "rid", "left_anti"), "dedup-dropped")
+    return unpacked(rows.join(dropped, "rid", "left_anti"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
