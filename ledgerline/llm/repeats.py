@@ -36,8 +36,10 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import arrow_schema, written
 
 ASK, MANY, KNOWN = 0, 1, 2  # one occurrence, needs an answer; stands for several; settled in its batch
-#: Contexts of one anchor key that meet in a task, and windows held there before they are compared.
-CLASS_LIMIT, HELD_WINDOWS = 2000, 500_000
+#: Contexts of one anchor key that meet in a task, and windows held there before they are compared. A context has
+#: at most 192 windows (bytes) or 26 (words), so the largest key holds 1.5 million of them: about 120 MB
+#: with the copies for sorting, and about a second's work.
+CLASS_LIMIT, HELD_WINDOWS = 8000, 500_000
 BODIES = "rid bigint, cls bigint, lo int, hi int, many boolean, crowd boolean, body binary"
 ROWS = "rid bigint, lo int, hi int, key bigint, chk int, kind tinyint, cls bigint"
 
