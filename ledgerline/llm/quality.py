@@ -5,6 +5,10 @@ occurs. Their Jensen-Shannon distances (base 2, so 0 to 1) to the language's ref
 decide, besides a few base rules. The references are the pooled histograms of all documents
 of the language that pass the base rules, so they grow with the corpus and need no outside file.
 
+The word limit follows from the reference: words drawn at random from it lie off it by chance, by a mean and a
+spread that depend on the length (``chance``), and the limit is so many spreads above that mean. Where chance alone makes
+a text without any common word all but impossible, the limit also lies below the distance of such a text.
+
 Minimum-length guards: the word distance counts from ``min_words`` words on, the class
 distance from ``min_chars`` characters on. Shorter texts are judged by the base rules alone.
 
@@ -36,15 +40,21 @@ CLASSES = (("lower", "[a-z]+"), ("space", SPACES), ("upper", "[A-Z]+"), ("digit"
            ("symbol", r"[#*$%&|<>=+@^~_{}\[\]\\/]+"), ("punct", "[\\x21-\\x7E]+"))
 SYMBOLS = "[#*$%&|<>]+"
 
+#: Text lengths in words for which chance is computed; between them and beyond the last it goes with 1 / n.
+LENGTHS = tuple(round(20 * 2 ** (k / 8)) for k in range(46))
+#: A text without common words is judged to be none by chance if chance gives it less often than this.
+RARE = 1e-4
+
 
 class Limits(NamedTuple):
-    """Verdict limits. Distances lie between 0 and 1; a clean text of ``n`` words lies off its reference by
-    chance alone by about 1 / sqrt(n), so each limit is ``floor + slack / sqrt(n_words)``."""
+    """Verdict limits. Distances lie between 0 and 1. The squared word limit is ``word_floor`` squared plus the mean and
+    ``word_spreads`` standard deviations of what chance gives at that length; characters come in words, not one by one,
+    so their limit is ``class_floor + class_slack / sqrt(n_words)``."""
 
     min_words: int = 60
     min_chars: int = 200
     word_floor: float = 0.06
-    word_slack: float = 3.0
+    word_spreads: float = 3.5
     class_floor: float = 0.11
     class_slack: float = 1.9
     base_words: int = 20
@@ -144,15 +154,67 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.when((total(p) > 0) & (total(q) > 0), F.sqrt(F.greatest(divergence, F.lit(0.0))))
 
 
+def divergence_part(p: Column, q: Column) -> Column:
+    """What one bin with shares ``p`` and ``q`` adds to the Jensen-Shannon divergence."""
+    term = lambda x: F.when(x > 0, x * F.log2(2 * x / (p + q))).otherwise(0.0)
+    return (term(p) + term(q)) / 2
+
+
+def chance(ref: Column) -> Column:
+    """For each of ``LENGTHS``: mean and variance of the divergence between the histogram ``ref`` and that of so many words
+    drawn from it. Each bin's count is binomial; its probabilities follow one from the other, counted from the rarer side."""
+    total = F.aggregate(ref, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    zero = F.struct(F.lit(0.0).alias("mean"), F.lit(0.0).alias("var"))
+
+    def of_bin(n: Column, q: Column) -> Column:
+        u = F.least(q, 1 - q)
+        last = F.least(n, F.ceil(n * u + 10 * F.sqrt(n * u) + 20).cast("int"))
+
+        def step(acc: Column, k: Column) -> Column:
+            part = divergence_part(F.when(q > 0.5, n - k).otherwise(k) / n, q)
+            return F.struct((acc["p"] * (n - k) / (k + 1) * u / (1 - u)).alias("p"), (acc["m1"] + acc["p"] * part).alias("m1"),
+                            (acc["m2"] + acc["p"] * part * part).alias("m2"))
+
+        start = F.struct(F.pow(1 - u, n).alias("p"), F.lit(0.0).alias("m1"), F.lit(0.0).alias("m2"))
+        return F.aggregate(F.sequence(F.lit(0), last), start, step, lambda acc: F.struct(
+            acc["m1"].alias("mean"), F.greatest(acc["m2"] - acc["m1"] * acc["m1"], F.lit(0.0)).alias("var")))
+
+    of_length = lambda n: F.aggregate(F.transform(ref, lambda x: of_bin(n, x / total)), zero, lambda acc, x: F.struct(
+        (acc["mean"] + x["mean"]).alias("mean"), (acc["var"] + x["var"]).alias("var")))
+    return F.when(total > 0, F.transform(F.array(*map(F.lit, LENGTHS)), of_length))
+
+
+def with_chance(refs: DataFrame) -> DataFrame:
+    """Adds to each language what its word limits need: ``chance``, the share of words that aren't common (the last bin)
+    and the squared distance of a text that has no other."""
+    ref = F.col("ref_word")
+    total = F.aggregate(ref, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    df = refs.withColumn("chance", chance(ref)).withColumn("rest_share", F.when(total > 0, F.element_at(ref, -1) / total))
+    blank = divergence_part(F.lit(1.0), F.col("rest_share")) + (1 - F.col("rest_share")) / 2
+    return df.withColumn("blank_squared", blank)
+
+
+def word_limit(limits: Limits) -> Column:
+    """The word limit of a row with ``n_words`` next to its language's columns of ``with_chance``; null without reference."""
+    n = F.col("n_words")
+    lengths = F.array(*map(F.lit, LENGTHS))
+    at = F.greatest(F.size(F.filter(lengths, lambda x: x <= n)), F.lit(1))
+    near = F.element_at("chance", at)
+    scale = F.element_at(lengths, at) / n
+    squared = limits.word_floor ** 2 + scale * (near["mean"] + limits.word_spreads * F.sqrt(near["var"]))
+    below = 0.98 * F.col("blank_squared")
+    return F.sqrt(F.when(F.pow("rest_share", n) < RARE, F.least(squared, below)).otherwise(squared))
+
+
 def judge(feats: DataFrame, refs: DataFrame, limits: Limits) -> DataFrame:
     """Adds class_distance, word_distance and kept. ``refs`` has one row per listed language: broadcast."""
-    df = feats.join(F.broadcast(refs), "ref_lang", "left")
+    df = feats.join(F.broadcast(with_chance(refs)), "ref_lang", "left")
     df = df.withColumn("class_distance", js_distance(F.col("class_counts"), F.col("ref_class")))
     df = df.withColumn("word_distance", js_distance(F.col("word_counts"), F.col("ref_word")))
     n_chars = F.aggregate("class_counts", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
     root = F.sqrt(F.col("n_words"))
     far = ((n_chars >= limits.min_chars) & (F.coalesce("class_distance", F.lit(0.0)) > limits.class_floor + limits.class_slack / root)) | (
-        (F.col("n_words") >= limits.min_words) & (F.coalesce("word_distance", F.lit(0.0)) > limits.word_floor + limits.word_slack / root))
+        (F.col("n_words") >= limits.min_words) & F.coalesce(F.col("word_distance") > word_limit(limits), F.lit(False)))
     far = (F.col("n_words") > 0) & far
     return df.withColumn("kept", ~F.col("base_failed") & ~far)
 

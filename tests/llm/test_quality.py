@@ -5,6 +5,7 @@ import math
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline.llm import quality
 from tests.llm.samples import documents, edge_docs, empty_docs, prose
@@ -45,6 +46,44 @@ def test_verdicts(spark):
     assert kept == set(range(60))
 
 
+def test_short_junk_is_rejected(spark):
+    """Texts of 60 to 200 words without common words, between clean ones of the same lengths."""
+    lengths = (60, 75, 90, 110, 130, 160, 200)
+    clean = [(1000 * n + k, prose(n, 7 * n + k), "en") for n in lengths for k in range(20)]
+    junk = [(-n, " ".join(f"w{(37 * n + 11 * k) % 400}x" for k in range(n)), "en") for n in lengths]
+    df = spark.createDataFrame(clean + junk, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in quality.quality_report(df, ["doc_id"]).filter("kept").collect()}
+    assert kept == {i for i, _, _ in clean}
+
+
+def test_chance_and_blank(spark):
+    """Mean and spread against exact sums, and limits below a text without common words from min_words on."""
+    ref = [120, 63, 50, 37, 0, 730]
+    row = quality.with_chance(spark.createDataFrame([(ref,)], "ref_word array<long>")).first()
+    part = lambda p, q: sum(x * math.log2(2 * x / (p + q)) for x in (p, q) if x) / 2
+    for n, got in zip(quality.LENGTHS, row["chance"]):
+        mean = var = 0
+        for q in (x / sum(ref) for x in ref):
+            each = [(math.comb(n, k) * q ** k * (1 - q) ** (n - k), part(k / n, q)) for k in range(n + 1)] if n < 200 else []
+            first = sum(p * x for p, x in each)
+            mean, var = mean + first, var + sum(p * x * x for p, x in each) - first * first
+        if n < 200:
+            assert got["mean"] == pytest.approx(mean, rel=1e-6) and got["var"] == pytest.approx(var, rel=1e-4), n
+    df = quality.with_chance(spark.createDataFrame([(ref,)], "ref_word array<long>")).crossJoin(spark.range(60, 5000).withColumnRenamed("id", "n_words"))
+    assert df.filter(quality.word_limit(quality.Limits()) >= F.sqrt("blank_squared")).count() == 0
+
+
+def test_labelled_rows(spark):
+    """Labelled documents whose ids weren't used to choose the limits (odd CRC-32): junk from 60 words on goes, clean texts stay."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    got = quality.quality_report(docs, ["doc_id"]).join(labels, "doc_id").filter("not base_failed and crc32(cast(doc_id as string)) % 2 = 1")
+    rows = got.select("quality", "kept", "n_words").collect()
+    junk = [r["kept"] for r in rows if r["quality"] == 0 and r["n_words"] >= 60]
+    clean = [r["kept"] for r in rows if r["quality"] == 1]
+    assert len(junk) > 100 and sum(junk) <= 0.04 * len(junk) and sum(clean) >= 0.999 * len(clean)
+
+
 def test_js_distance(spark):
     p, q = [5, 0, 3, 2], [1, 4, 3, 0]
     df = spark.createDataFrame([(p, q), (p, p), ([1, 0, 0, 0], [0, 1, 0, 0]), ([0, 0, 0, 0], q)], "p array<long>, q array<long>")
