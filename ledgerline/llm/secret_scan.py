@@ -1,10 +1,10 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest. DataFrame functions and
 Spark ML only (both run in the JVM).
 
-Candidates are runs of at least ``min_length`` token characters. Features: length, character transitions, digit,
+Candidates are runs of at least ``min_length`` token characters, and shorter values assigned to a secret name. Features: length, character transitions, digit,
 upper-case and distinct-character shares, dictionary coverage, path signs, and the neighbouring words before and after. The
 forest is trained from labelled findings, a frame of (before, candidate, after, label). ``labelled_findings`` builds the
-default set: ``TRAIN_ROWS`` rows (the documented bound) of secrets in assignments and headers, and of look-alikes: digests, ids, paths,
+default set: up to ``TRAIN_ROWS`` rows (the documented bound) of secrets in assignments and headers, and of look-alikes: digests, ids, paths,
 identifiers, long words and numbers, from a seeded rule.
 
 Nulls and odd rows: null or empty text has no candidates; a text may be of any length (its candidates are
@@ -27,7 +27,8 @@ from ledgerline.llm.common import table, written
 MIN_LENGTH = 16
 THRESHOLD = 0.5
 TRAIN_ROWS = 6000
-CHARS = "A-Za-z0-9_+/=\\-"
+ASSIGNED_LENGTH = 8
+CHARS = "A-Za-z0-9_+/\\-"
 MASK = "[SECRET]"
 
 # Common words and word parts for dictionary coverage.
@@ -35,30 +36,47 @@ DICTIONARY = ("the", "and", "ing", "tion", "that", "for", "with", "this", "from"
               "able", "ness", "ung", "sch", "lich", "keit", "heit", "ein", "und", "der", "die", "das", "les", "des", "pour",
               "dans", "eau", "aux", "que", "los", "las", "ción", "para", "ando", "user", "name", "data", "file", "test",
               "value", "class", "index", "config", "service", "manager", "image", "public", "static", "string")
-SECRET_WORDS = "token|secret|passw|pwd|api.?key|apikey|access.?key|private.?key|auth|credential|bearer|client.?key"
+SECRET_WORDS = "token|secret|passw|pwd|api.?key|apikey|access.?key|private.?key|auth(?!ors?[^a-z])|credential|bearer|client.?key"
+#: A name with a secret word in it and an assignment sign; bounded, so it can be looked for backwards.
+ASSIGNED = f"(?i:{SECRET_WORDS})[A-Za-z0-9_\\-]{{0,16}}[\"']?[ \\t]{{0,2}}(?:=>|:=|[=:])[ \\t]{{0,2}}"
 OTHER_WORDS = "sha|md5|commit|digest|checksum|hash|uuid|guid|etag|integrity|revision|id\\b|href|src|path|import|file"
 FEATURES = ("length", "transitions", "vowel_turns", "digits", "uppers", "distinct", "coverage", "path_signs", "is_hex",
-            "secret_near", "secret_before", "assigned", "quoted", "other_near")
+            "secret_near", "secret_before", "key_assigned", "assigned", "quoted", "other_near", "marks", "name_follows")
 
 
 def candidate_pattern(min_length: int) -> str:
-    return f"(?<![{CHARS}])[{CHARS}]{{{min_length},}}+"
+    """Values of at least ``ASSIGNED_LENGTH`` characters assigned to a secret name, punctuation included, and runs of at least
+    ``min_length`` token characters. '=' ends a run, except as padding."""
+    short, stop = min(ASSIGNED_LENGTH, min_length), "\\s\"'&,;<>()\\[\\]{}="
+    quoted = f"(?<=[\"'])(?<={ASSIGNED}[\"'])(?![A-Za-z]{{2,10}}://)[^\\s\"'<>]{{{short},}}+(?=[\"'])"
+    bare = (f"(?<=[=:>][ \\t]{{0,2}})(?<={ASSIGNED})(?![A-Za-z]{{2,10}}://)[^{stop}]{{{short - 1},}}[^{stop}.:]"
+            f"(?:==?(?![{CHARS}=\"']))?")
+    return f"{quoted}|{bare}|(?<![{CHARS}])[{CHARS}]{{{min_length},}}+(?:==(?![{CHARS}=])|=(?![{CHARS}=\"']|[ \\t]+\\S))?"
 
 
 def candidates(docs: DataFrame, keep: Sequence[str | Column], text: str = "text", min_length: int = MIN_LENGTH) -> DataFrame:
-    """``keep`` columns, nth (place among the text's candidates), before (up to 48 characters since the candidate
-    before), candidate, after (up to 16 characters). Narrow: one pass, candidates only leave it."""
+    """``keep`` columns, nth (place among the text's candidates), before (the 48 characters of text before it, earlier
+    candidates included), candidate, after (up to 16 characters). Narrow: one pass, candidates only leave it."""
     pattern = candidate_pattern(min_length)
     hit = docs.filter(F.col(text).rlike(pattern))
     pieces = F.split(F.col(text), pattern)
     near = F.transform(pieces, lambda p: F.struct(F.right(p, F.lit(48)).alias("tail"), F.left(p, F.lit(16)).alias("head")))
     found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
     df = hit.select(*keep, found.alias("__found"), near.alias("__near"))
-    rows = F.zip_with(F.zip_with("__found", F.slice("__near", F.lit(1), F.size("__found")),
-                                 lambda c, p: F.struct(c.alias("candidate"), p["tail"].alias("before"))),
+    kept = [c for c in df.columns if not c.startswith("__")]
+    last = lambda a, b: F.right(F.concat(a, b), F.lit(48))
+    moved = lambda c, k: F.slice(F.concat(F.array_repeat(F.lit(""), k), F.col(c)), F.lit(1), F.size(c))
+    # the text up to the end of each candidate, by doubling: one, two, four ... candidates with what is before each
+    df = df.withColumn("__t1", F.zip_with("__found", F.slice("__near", F.lit(1), F.size("__found")), lambda c, p: last(p["tail"], c)))
+    reach = 1
+    while reach * min(ASSIGNED_LENGTH, min_length) < 48:
+        df = df.withColumn(f"__t{2 * reach}", F.zip_with(moved(f"__t{reach}", reach), f"__t{reach}", last))
+        reach *= 2
+    df = df.withColumn("__before", F.zip_with(moved(f"__t{reach}", 1), F.slice("__near", F.lit(1), F.size("__found")),
+                                              lambda t, p: last(t, p["tail"])))
+    rows = F.zip_with(F.zip_with("__found", "__before", lambda c, t: F.struct(c.alias("candidate"), t.alias("before"))),
                       F.slice("__near", F.lit(2), F.size("__found")),
                       lambda c, p: F.struct(c["before"], c["candidate"], p["head"].alias("after")))
-    kept = [c for c in df.columns if not c.startswith("__")]
     return df.select(*[F.col(f"`{c}`") for c in kept], F.posexplode(rows).alias("nth", "__one")).select(
         *[F.col(f"`{c}`") for c in kept], "nth", "__one.*")
 
@@ -77,14 +95,16 @@ def with_features(found: DataFrame) -> DataFrame:
         "uppers": share("[A-Z]"), "distinct": F.size(F.array_distinct(F.split(c, ""))) / size,
         "coverage": 1 - uncovered / size, "path_signs": F.regexp_count(c, F.lit("/")) + flag(before.rlike("[/.@]$")) + flag(after.rlike("^[/.@:]")),
         "is_hex": flag(c.rlike("^[0-9a-f]+$") | c.rlike("^[0-9A-F]+$")), "secret_near": flag(before.rlike(f"(?i){SECRET_WORDS}")),
-        "secret_before": flag(before.rlike(f"(?i)({SECRET_WORDS})[^A-Za-z0-9]{{0,8}}$")), "assigned": flag(before.rlike("[=:>]\\s*[\"']?$")),
+        "secret_before": flag(before.rlike(f"(?i)({SECRET_WORDS})[^A-Za-z0-9]{{0,8}}$")), "key_assigned": flag(before.rlike(f"{ASSIGNED}[\"']?$")), "assigned": flag(before.rlike("[=:>]\\s*[\"']?$")),
         "quoted": flag(before.rlike("[\"']$") & after.rlike("^[\"']")), "other_near": flag(before.rlike(f"(?i)(^|[^a-z])({OTHER_WORDS})")),
+        "marks": share(f"[^{CHARS}=]"), "name_follows": flag(after.rlike("^[\"']?[ \\t]{0,2}(=>|:=|[=:])")),
     }
     return found.select("*", *[made[name].cast("double").alias(name) for name in FEATURES])
 
 
 def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = 42) -> DataFrame:
-    """(before, candidate, after, label): ``rows`` labelled findings from a seeded rule."""
+    """(before, candidate, after, label): labelled findings from a seeded rule, one at most for each of ``rows`` rendered
+    lines. ``candidates`` finds them in the lines, so training sees what a scan sees."""
     r = lambda k: F.xxhash64(F.lit(seed), F.lit(k), "id")
     pick = lambda k, options: F.element_at(F.array(*map(F.lit, options)), (F.pmod(r(k), F.lit(len(options))) + 1).cast("int"))
     hexes = F.sha2(F.concat(r(1).cast("string"), r(2).cast("string")), 256)
@@ -101,22 +121,28 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = 4
     uuid = F.concat_ws("-", F.substring(hexes, 1, 8), F.substring(hexes, 9, 4), F.substring(hexes, 13, 4), F.substring(hexes, 17, 4), F.substring(hexes, 21, 12))
     path = F.concat(pick(23, ("usr", "var", "src", "img")), F.lit("/"), pick(24, ("local", "lib", "main", "static")), F.lit("/"), word)
     number = F.regexp_replace(cut(hexes, 25, 20, 30), "[a-f]", "7")
-    kind = F.pmod(r(0), F.lit(12))
+    marked = F.concat(cut(base, 40, 3, 7), pick(41, ("!", "@", "#", "$", "%", "*", "?", "~")), F.substring(hexes, 20, 3), pick(42, ("Zq", "x9", "7K", "pT")))
+    name = F.upper(F.concat_ws("_", pick(43, ("stripe", "github", "service", "payment", "storage")), pick(44, ("secret", "access", "private", "webhook")),
+                               pick(45, ("access_key", "secret_key", "auth_token", "password"))))
+    kind = F.pmod(r(0), F.lit(14))
     positive = kind < 5
-    value = F.when(positive, secret).when(kind == 5, word).when(kind == 6, snake).when(kind == 7, uuid).when(kind == 8, path).when(
+    value = F.when(positive, F.when(F.pmod(r(46), F.lit(5)) == 0, marked).otherwise(secret)).when(kind == 12, name).when(
+        kind == 13, F.when(F.pmod(r(47), F.lit(2)) == 0, snake).otherwise(word)).when(
+        kind == 5, word).when(kind == 6, snake).when(kind == 7, uuid).when(kind == 8, path).when(
         kind == 9, number).when(kind == 10, case(cut(hexes, 26, 32, 64), 27)).otherwise(F.initcap(word))
     keys = pick(30, ("token", "secret", "password", "api_key", "apikey", "auth_token", "access_key", "client_key"))
     assign = pick(31, (" = \"", "=", ": ", ": '", " = '", "=\""))
-    inside = F.concat(F.substring(word, 1, 12), F.lit(" "), case(keys, 32), assign)
+    named = F.when(F.pmod(r(48), F.lit(3)) == 0, name).when(F.pmod(r(48), F.lit(3)) == 1, F.concat(F.lit("https://host.example/x?"), keys)).otherwise(case(keys, 32))
+    inside = F.concat(F.substring(word, 1, 12), F.lit(" "), named, assign)
     header = F.concat(F.lit("Authorization: Bearer "))
     plain = F.concat(F.substring(word, 3, 14), pick(33, (" ", ", ", ". ", "\n", " (")))
     other = F.concat(F.substring(word, 2, 9), F.lit(" "), pick(34, ("commit ", "sha256: ", "md5=", "id: ", "etag \"", "href=\"/", "checksum ", "uuid ")))
-    before = F.when(positive, F.when(F.pmod(r(35), F.lit(8)) == 0, header).otherwise(inside)).when(
+    before = F.when(positive, F.when((F.pmod(r(35), F.lit(8)) == 0) & (F.pmod(r(46), F.lit(5)) > 0), header).otherwise(inside)).when(kind == 13, inside).when(
         (kind == 10) | (kind == 7) | (kind == 8), other).when(F.pmod(r(36), F.lit(10)) == 0, F.concat(word, F.lit(" = "))).otherwise(plain)
-    after = F.when(before.endswith("\""), F.lit("\" ")).when(before.endswith("'"), F.lit("' ")).otherwise(pick(37, (" ", ", ", ".\n", "\n", "&&& ")))
-    made = spark.range(0, rows, 1, 4).select(before.alias("before"), value.alias("candidate"), after.alias("after"),
-                                            positive.cast("double").alias("label"))
-    return made
+    after = F.when(kind == 12, F.concat(assign, F.lit("x"))).when(before.endswith("\""), F.lit("\" ")).when(before.endswith("'"), F.lit("' ")).otherwise(pick(37, (" ", ", ", ".\n", "\n", "&&& ")))
+    lines = spark.range(0, rows, 1, 4).select(F.concat(before, value, after, F.lit("\nend")).alias("text"), value.alias("value"),
+                                              positive.cast("double").alias("label"))
+    return candidates(written(lines, "secret-lines"), ["value", "label"]).filter("candidate = value").select("before", "candidate", "after", "label")
 
 
 def train_forest(findings: DataFrame, trees: int = 30, depth: int = 8, seed: int = 42) -> RandomForestClassificationModel:
