@@ -4,8 +4,9 @@ Spark ML only (both run in the JVM).
 Candidates are runs of at least ``min_length`` token characters, and shorter values assigned to a secret name. Features: length, character transitions, digit,
 upper-case and distinct-character shares, dictionary coverage, path signs, and the neighbouring words before and after. The
 forest is trained from labelled findings, a frame of (before, candidate, after, label). ``labelled_findings`` builds the
-default set: up to ``TRAIN_ROWS`` rows (the documented bound) of secrets in assignments and headers, and of look-alikes: digests, ids, paths,
-identifiers, long words and numbers, from a seeded rule.
+default set: up to ``TRAIN_ROWS`` rows (the documented bound) of secrets in assignments and headers and, by their own shape (prefixed or
+mixed-case random), in prose, lists and URLs, and of look-alikes, also after secret words in prose: digests, ids, paths,
+identifiers, long words and numbers, from a seeded rule. Hexadecimal strings are secrets only where a secret name is assigned or sent.
 
 Nulls and odd rows: null or empty text has no candidates; a text may be of any length (its candidates are
 extracted in place, one row each); equal candidates and repeated rows each give their own findings; an empty
@@ -39,9 +40,12 @@ DICTIONARY = ("the", "and", "ing", "tion", "that", "for", "with", "this", "from"
 SECRET_WORDS = "token|secret|passw|pwd|api.?key|apikey|access.?key|private.?key|auth(?!ors?[^a-z])|credential|bearer|client.?key"
 #: A name with a secret word in it and an assignment sign; bounded, so it can be looked for backwards.
 ASSIGNED = f"(?i:{SECRET_WORDS})[A-Za-z0-9_\\-]{{0,16}}[\"']?[ \\t]{{0,2}}(?:=>|:=|[=:])[ \\t]{{0,2}}"
+#: Provider prefixes by shape: one or two short parts before a long one with a digit, or a fixed start.
+PREFIXED = "^([A-Za-z]{2,6}[_\\-]){1,2}(?=[A-Za-z0-9]*[0-9])(?=[a-z0-9]*[A-Z]|[A-Z0-9]*[a-z])[A-Za-z0-9_\\-]{12,}$|^A[KS]IA[0-9A-Z]{12,}$|^AIza[A-Za-z0-9_\\-]{16,}$"
 OTHER_WORDS = "sha|md5|commit|digest|checksum|hash|uuid|guid|etag|integrity|revision|id\\b|href|src|path|import|file"
 FEATURES = ("length", "transitions", "vowel_turns", "digits", "uppers", "distinct", "coverage", "path_signs", "is_hex",
-            "secret_near", "secret_before", "key_assigned", "assigned", "quoted", "other_near", "marks", "name_follows")
+            "secret_near", "secret_before", "key_assigned", "assigned", "quoted", "other_near", "marks", "name_follows",
+            "prefixed", "mixed", "longest_lower")
 
 
 def candidate_pattern(min_length: int) -> str:
@@ -97,6 +101,8 @@ def with_features(found: DataFrame) -> DataFrame:
         "is_hex": flag(c.rlike("^[0-9a-f]+$") | c.rlike("^[0-9A-F]+$")), "secret_near": flag(before.rlike(f"(?i){SECRET_WORDS}")),
         "secret_before": flag(before.rlike(f"(?i)({SECRET_WORDS})[^A-Za-z0-9]{{0,8}}$")), "key_assigned": flag(before.rlike(f"{ASSIGNED}[\"']?$")), "assigned": flag(before.rlike("[=:>]\\s*[\"']?$")),
         "quoted": flag(before.rlike("[\"']$") & after.rlike("^[\"']")), "other_near": flag(before.rlike(f"(?i)(^|[^a-z])({OTHER_WORDS})")),
+        "prefixed": flag(c.rlike(PREFIXED)), "mixed": flag(c.rlike("[a-z]") & c.rlike("[A-Z]") & c.rlike("[0-9]")),
+        "longest_lower": F.array_max(F.transform(F.split(c, "[^a-z]+"), lambda x: F.length(x))) / size,
         "marks": share(f"[^{CHARS}=]"), "name_follows": flag(after.rlike("^[\"']?[ \\t]{0,2}(=>|:=|[=:])")),
     }
     return found.select("*", *[made[name].cast("double").alias(name) for name in FEATURES])
@@ -107,15 +113,19 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = 4
     lines. ``candidates`` finds them in the lines, so training sees what a scan sees."""
     r = lambda k: F.xxhash64(F.lit(seed), F.lit(k), "id")
     pick = lambda k, options: F.element_at(F.array(*map(F.lit, options)), (F.pmod(r(k), F.lit(len(options))) + 1).cast("int"))
-    hexes = F.sha2(F.concat(r(1).cast("string"), r(2).cast("string")), 256)
-    base = F.regexp_replace(F.base64(F.unhex(hexes)), "[=]+$", "")
+    made = spark.range(0, rows, 1, 4).withColumn("hexes", F.sha2(F.concat(r(1).cast("string"), r(2).cast("string")), 256))
+    made = made.withColumn("base", F.regexp_replace(F.base64(F.unhex("hexes")), "[=]+$", ""))
+    hexes, base, word = F.col("hexes"), F.col("base"), F.col("word")
     cut = lambda value, k, low, high: F.substring(value, F.lit(1), (F.lit(low) + F.pmod(r(k), F.lit(high - low + 1))).cast("int"))
     case = lambda value, k: F.when(F.pmod(r(k), F.lit(4)) == 0, F.upper(value)).otherwise(value)
+    clean = F.concat(F.lit("7"), F.translate(base, "+/", "pW"))
+    prefixed = F.when(F.pmod(r(6), F.lit(5)) == 0, F.concat(F.lit("AKIA"), F.upper(cut(clean, 4, 16, 16)))).otherwise(
+        F.concat(pick(6, ("ghp_", "ghp_", "sk-", "xoxb-", "AIza")), cut(clean, 4, 16, 36)))
     secret = F.when(F.pmod(r(3), F.lit(3)) == 0, case(cut(hexes, 4, 24, 64), 5)).when(
         F.pmod(r(3), F.lit(3)) == 1, cut(base, 4, 20, 43)).otherwise(
-        F.concat(pick(6, ("AKIA", "ghp_", "sk-", "xoxb-", "AIza")), cut(base, 4, 16, 36)))
+        prefixed)
     syllables = ("tion", "ing", "er", "sch", "ver", "eau", "ment", "que", "lich", "keit", "an", "re", "st", "ou", "la", "ci", "on", "the", "ein", "au")
-    word = F.concat(*[pick(10 + k, syllables) for k in range(7)])
+    made = made.withColumn("word", F.concat(*[pick(10 + k, syllables) for k in range(7)]))
     snake = F.concat(pick(20, ("user", "data", "file", "config")), F.lit("_"), pick(21, ("name", "index", "value", "service")), F.lit("_"),
                      pick(22, ("manager", "string", "class", "image")))
     uuid = F.concat_ws("-", F.substring(hexes, 1, 8), F.substring(hexes, 9, 4), F.substring(hexes, 13, 4), F.substring(hexes, 17, 4), F.substring(hexes, 21, 12))
@@ -124,12 +134,15 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = 4
     marked = F.concat(cut(base, 40, 3, 7), pick(41, ("!", "@", "#", "$", "%", "*", "?", "~")), F.substring(hexes, 20, 3), pick(42, ("Zq", "x9", "7K", "pT")))
     name = F.upper(F.concat_ws("_", pick(43, ("stripe", "github", "service", "payment", "storage")), pick(44, ("secret", "access", "private", "webhook")),
                                pick(45, ("access_key", "secret_key", "auth_token", "password"))))
-    kind = F.pmod(r(0), F.lit(14))
-    positive = kind < 5
-    value = F.when(positive, F.when(F.pmod(r(46), F.lit(5)) == 0, marked).otherwise(secret)).when(kind == 12, name).when(
+    camel = F.concat(pick(51, ("get", "set", "make", "Abstract", "Default")), pick(52, ("Access", "User", "Client", "Remote")),
+                     pick(53, ("Token", "Secret", "Data", "Key")), pick(54, ("From", "For", "With", "Of")), pick(55, ("Store", "Request", "Factory", "Session")))
+    kind = F.pmod(r(0), F.lit(17))
+    bare = kind.isin(3, 4, 16)  # secrets that no secret word comes before
+    positive = (kind < 5) | (kind == 16)
+    value = F.when(bare, F.when(F.pmod(r(49), F.lit(2)) == 0, cut(base, 4, 20, 43)).otherwise(prefixed)).when(positive, F.when(F.pmod(r(46), F.lit(5)) == 0, marked).otherwise(secret)).when(kind == 12, name).when(
         kind == 13, F.when(F.pmod(r(47), F.lit(2)) == 0, snake).otherwise(word)).when(
         kind == 5, word).when(kind == 6, snake).when(kind == 7, uuid).when(kind == 8, path).when(
-        kind == 9, number).when(kind == 10, case(cut(hexes, 26, 32, 64), 27)).otherwise(F.initcap(word))
+        kind == 9, number).when(kind == 14, camel).when(kind == 15, F.concat(pick(56, ("", "sha512-", "sha384-")), cut(base, 4, 32, 43))).when(kind == 10, case(cut(hexes, 26, 32, 64), 27)).otherwise(F.initcap(word))
     keys = pick(30, ("token", "secret", "password", "api_key", "apikey", "auth_token", "access_key", "client_key"))
     assign = pick(31, (" = \"", "=", ": ", ": '", " = '", "=\""))
     named = F.when(F.pmod(r(48), F.lit(3)) == 0, name).when(F.pmod(r(48), F.lit(3)) == 1, F.concat(F.lit("https://host.example/x?"), keys)).otherwise(case(keys, 32))
@@ -137,11 +150,15 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = 4
     header = F.concat(F.lit("Authorization: Bearer "))
     plain = F.concat(F.substring(word, 3, 14), pick(33, (" ", ", ", ". ", "\n", " (")))
     other = F.concat(F.substring(word, 2, 9), F.lit(" "), pick(34, ("commit ", "sha256: ", "md5=", "id: ", "etag \"", "href=\"/", "checksum ", "uuid ")))
-    before = F.when(positive, F.when((F.pmod(r(35), F.lit(8)) == 0) & (F.pmod(r(46), F.lit(5)) > 0), header).otherwise(inside)).when(kind == 13, inside).when(
+    prose = F.concat(F.substring(word, 2, 9), pick(57, (" we leaked ", " see ", "\n- ", " use `", " https://host.example/a?sig=", " [\"", " (", " and then ", ", ")))
+    spoken = F.concat(F.substring(word, 2, 9), pick(58, (" author ", " the token ", " key ", " a secret key of ", " auth ", " the password for ", " token id ", " (secret) ")))
+    before = F.when(bare, prose).when((kind == 15), F.concat(F.substring(word, 2, 9), pick(59, (" integrity: ", " integrity=\"", " etag \"", " checksum ", " digest: ")))).when(
+        (kind.between(5, 11) | (kind >= 14)) & (F.pmod(r(60), F.lit(3)) == 0), spoken).when((kind >= 14) & ~positive & (F.pmod(r(60), F.lit(3)) == 1), prose).when(positive, F.when((F.pmod(r(35), F.lit(8)) == 0) & (F.pmod(r(46), F.lit(5)) > 0), header).otherwise(inside)).when(kind == 13, inside).when(
         (kind == 10) | (kind == 7) | (kind == 8), other).when(F.pmod(r(36), F.lit(10)) == 0, F.concat(word, F.lit(" = "))).otherwise(plain)
+    made = written(made.select("id", value.alias("value"), before.alias("before"), positive.cast("double").alias("label")), "secret-values")
+    before = F.col("before")
     after = F.when(kind == 12, F.concat(assign, F.lit("x"))).when(before.endswith("\""), F.lit("\" ")).when(before.endswith("'"), F.lit("' ")).otherwise(pick(37, (" ", ", ", ".\n", "\n", "&&& ")))
-    lines = spark.range(0, rows, 1, 4).select(F.concat(before, value, after, F.lit("\nend")).alias("text"), value.alias("value"),
-                                              positive.cast("double").alias("label"))
+    lines = made.select(F.concat(before, "value", after, F.lit("\nend")).alias("text"), "value", "label")
     return candidates(written(lines, "secret-lines"), ["value", "label"]).filter("candidate = value").select("before", "candidate", "after", "label")
 
 
