@@ -76,7 +76,7 @@ STAGES = [
     ("source_mix", source_mix),
 ]
 
-#: SQL has no XXH64 and no Cube method: the pipeline is tested against a brute-force version.
+#: SQL has no XXH64 and no Cube method: near_dedup and decontamination are tested against brute force, the run against the stages.
 ORACLE_SQL = None
 
 
