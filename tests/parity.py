@@ -31,7 +31,7 @@ def run_oracle(sql: str, sf_dir: str) -> pd.DataFrame:
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return None
     if isinstance(v, float):
         return None if math.isnan(v) else repr(v)
