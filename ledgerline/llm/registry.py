@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import (chat, cube_mix, decontaminate, filter_audit, prefix_parse, quality, secret_scan, simhash,
+from ledgerline.llm import (chat, cube_mix, decontaminate, filter_audit, minmax_hash, prefix_parse, quality, secret_scan, simhash,
                             source_audit, substring, url_filter, warc)
 
 LLM_QUERIES = {
@@ -16,6 +16,7 @@ LLM_QUERIES = {
     "op8_url_vocabulary": url_filter.op8_url_vocabulary,
     "op9_quality_divergence": quality.op9_quality_divergence,
     "op10_repeated_passages": substring.op10_repeated_passages,
+    "op11_minmax_groups": minmax_hash.op11_minmax_groups,
     "op12_filter_audit": filter_audit.op12_filter_audit,
     "op13_source_divergence": source_audit.op13_source_divergence,
 }
@@ -25,6 +26,7 @@ LLM_ORACLE = {
     "op6_benchmark_leaks": decontaminate.ORACLE,
     "op7_warc_index": warc.ORACLE,
     "op8_url_vocabulary": url_filter.ORACLE,
+    "op11_minmax_groups": minmax_hash.ORACLE,
     "op12_filter_audit": filter_audit.ORACLE,
     "op13_source_divergence": source_audit.ORACLE,
 }
