@@ -8,9 +8,12 @@ values a band there are 40 bands; at a similarity of exactly 0.8 a pair shares n
 
 Candidates: documents with equal sets are one class, and only a class's first row goes on. Classes that share a band form
 a bucket. Buckets are not paired up: round 0 confirms every member against the bucket's least one, components follow, and only where
-a bucket still holds several components do further rounds take more centres (8, 64, ... by a hash of the class, in the end all) and confirm
-them against the members of other components. So every pair of a bucket is confirmed or already known to be connected,
-and a group of n near copies costs about n confirmations for each of few centres, not n^2. Confirmation counts the
+a bucket still holds several components do further rounds take more centres (8, 64, ... by a hash of the class) and confirm
+them against the members of other components; as soon as the pairs across components are no more than ``LINEAR`` per bucket member, all
+of them are taken at once. So every pair of a bucket is confirmed, ruled out or already known to be connected,
+and a group of n near copies costs about n confirmations for each of few centres, not n^2. Pairs are ruled out inside the join by a bound
+that never errs: the hashes of a set are dealt to ``CELLS`` cells, each element that two sets don't share changes the parity of one
+cell, so they differ in at least as many elements as cells. Confirmation counts the
 intersection of the full sets (sorted arrays): a centre's set meets its members in portions of ``PORTION`` pairs,
 streamed one after another, so no task holds a group.
 
@@ -41,6 +44,9 @@ PERCENT = 80
 PERMUTATIONS = 120
 ROWS = 6  # signature values of a band
 CENTRES = 8  # factor by which the centres of a bucket grow per round
+LINEAR = 64  # pairs across components per bucket member that one last round looks at
+CELLS = 1024  # cells of the parity sketch
+ALL = 1 << 34  # more centres than a bucket has members
 PORTION = 64  # pairs of one centre that are confirmed one after another
 CHUNK = 1 << 11  # hashes that are permuted at once
 CACHE = 1 << 19  # words whose hashes a task remembers
@@ -109,27 +115,34 @@ def band_keys(least: np.ndarray, greatest: np.ndarray, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """The parity of the number of hashes in each cell, as words of 64 bits."""
+    counts = np.bincount((found & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def signatures(rows: DataFrame, shingle: int, permutations: int, band_rows: int) -> DataFrame:
-    """id, rid, n_shingles, digest and bands (both null for empty sets) of rows (id, rid, text)."""
+    """id, rid, n_shingles, digest, bands and parity (null for empty sets) of rows (id, rid, text)."""
     source = rows.select("id", "rid", F.col("text").cast("binary").alias("bytes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, constants = WordHashes(), permutation_constants(permutations)
         for batch in batches:
-            sizes, digests, bands, known = [], [], [], {}
+            sizes, digests, marks, known = [], [], [], {None: (None, None)}
             for value in batch.column(2):
                 found = shingle_set(value.as_py(), shingle, cache)
                 digest = hashlib.blake2b(found, digest_size=16).digest() if len(found) else None
                 if digest is not None and digest not in known:
-                    known[digest] = band_keys(*min_max(found, constants), band_rows)
+                    known[digest] = band_keys(*min_max(found, constants), band_rows), parities(found)
                 sizes.append(len(found))
                 digests.append(digest)
-                bands.append(known.get(digest))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                                              pa.array(bands, pa.list_(pa.int64()))], names=["id", "rid", "n_shingles", "digest", "bands"])
+                marks.append(known[digest])
+            lists = [pa.array([m[k] for m in marks], pa.list_(pa.int64())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *lists],
+                                             names=["id", "rid", "n_shingles", "digest", "bands", "parity"])
 
     shape = source.drop("bytes").withColumns({"n_shingles": F.lit(0).cast("long"), "digest": F.lit(None).cast("binary"),
-                                               "bands": F.lit(None).cast("array<long>")})
+                                               "bands": F.lit(None).cast("array<long>"), "parity": F.lit(None).cast("array<long>")})
     return source.mapInArrow(run, shape.schema)
 
 
@@ -177,13 +190,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def bucket_pairs(members: DataFrame, taken: int, centres: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of a bucket's centres of this round with members of other components. ``members``: key, rid, size, n, least, label.
+    """Pairs (a, b) of a bucket's centres of this round with members of other components. ``members``: key, rid, size, parity, n, least, label.
     Earlier rounds took the least member and the first ``taken`` by hash: those are confirmed against all others."""
     place = F.pmod(F.xxhash64("rid"), F.lit(1 << 24)) * F.col("n")  # uniform below n * 2^24
     fresh = members.filter((F.col("rid") != F.col("least")) & (place >= taken << 24))
     a = fresh.filter(place < centres << 24).alias("a")
     b = fresh.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & alike("a.size", "b.size", percent))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & alike("a.size", "b.size", percent)
+                   & few_differences(percent))
     return pairs.select(F.least("a.rid", "b.rid").alias("a"), F.greatest("a.rid", "b.rid").alias("b")).distinct()
 
 
@@ -192,8 +206,14 @@ def alike(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def few_differences(percent: int) -> Column:
+    """The parities of a and b leave room for the similarity: of sizes s and t they may differ in (s + t) (100 - p) / (100 + p) elements."""
+    words = [F.bit_count(F.col("a.parity")[k].bitwiseXOR(F.col("b.parity")[k])) for k in range(CELLS // 64)]
+    return (100 + percent) * sum(words[1:], words[0]) <= (100 - percent) * (F.col("a.size") + F.col("b.size"))
+
+
 def set_links(classes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Component labels (node, label) of classes (rid, size, bands) over all confirmed pairs; ``texts``: rid, text."""
+    """Component labels (node, label) of classes (rid, size, bands, parity) over all confirmed pairs; ``texts``: rid, text."""
     keys = classes.select("rid", "size", F.explode("bands").alias("key"))
     sizes = written(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rid").alias("least"), F.min_by("size", "rid").alias("least_size")).filter("n > 1"), "buckets")
     shared = written(keys.join(sizes, "key"), "shared")
@@ -206,20 +226,24 @@ def set_links(classes: DataFrame, texts: DataFrame, shingle: int, percent: int)
     pairs = shared.filter((F.col("least") < F.col("rid")) & alike("size", "least_size", percent)).select(
         F.col("least").alias("a"), F.col("rid").alias("b")).distinct()
     labels = written(component_labels(confirmed(written(pairs, "pairs"), sets, percent)), "labels")
-    taken, centres = 0, CENTRES
-    while True:
-        known = shared.join(labels, shared["rid"] == labels["node"], "left").select(
-            "key", "rid", "size", "n", "least", F.coalesce("label", "rid").alias("label"))
-        known = written(known, "known")
-        mixed_keys = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("n").alias("n")).filter(
-            (F.col("low") < F.col("high")) & (F.col("n") > taken)).select("key")
-        members = known.join(mixed_keys, "key", "left_semi")
-        pairs = written(bucket_pairs(members, taken, centres, percent), "pairs")
-        if pairs.isEmpty() and members.filter(F.col("n") > centres).isEmpty():
-            return labels
-        links = confirmed(pairs, sets, percent).unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = written(component_labels(links), "labels")
+    taken, centres, size = 0, CENTRES, shared.count()
+    while centres <= ALL:
+        known = written(shared.join(labels, shared["rid"] == labels["node"], "left").select(
+            "key", "rid", "n", "least", F.coalesce("label", "rid").alias("label")), "known")
+        parts = known.filter(F.col("n") > taken).groupBy("key", "label").agg(F.count("*").alias("c"))
+        open_keys = written(parts.groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("square")).select(
+            "key", ((F.col("c") * F.col("c") - F.col("square")) / 2).alias("across")).filter("across > 0"), "open")
+        across = open_keys.agg(F.sum("across")).first()[0]
+        if not across:
+            break
+        if across <= LINEAR * size:
+            centres = ALL
+        members = known.join(open_keys.select("key"), "key").join(classes.select("rid", "size", "parity"), "rid")
+        links = written(confirmed(written(bucket_pairs(members, taken, centres, percent), "pairs"), sets, percent), "links")
+        if not links.isEmpty():
+            labels = written(component_labels(links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))), "labels")
         taken, centres = centres, centres * CENTRES
+    return labels
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
@@ -229,7 +253,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signed = written(signatures(rows, shingle, permutations, band_rows), "signed")
     sets = signed.filter("digest IS NOT NULL")
     classes = written(sets.groupBy("digest").agg(F.min("rid").alias("rid"), F.min("id").alias("least")), "classes")
-    firsts = sets.select("rid", F.col("n_shingles").alias("size"), "bands").join(classes.select("rid"), "rid", "left_semi")
+    firsts = sets.select("rid", F.col("n_shingles").alias("size"), "bands", "parity").join(classes.select("rid"), "rid", "left_semi")
     labels = set_links(firsts, rows.select("rid", "text"), shingle, percent)
     named = classes.join(labels, classes["rid"] == labels["node"], "left").select("digest", "least", F.coalesce("label", "rid").alias("label"))
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))

@@ -7,12 +7,13 @@ between two sources is f = floor((p - q)^2 / (p + q)); all arithmetic is on inte
 A term's row lists its nonzero counts in the order of the sources. Most terms miss most sources, so the sum of f over all
 terms is taken apart: V times the f of two zero counts; per source, how its nonzero counts change that against a zero (a histogram
 of counts times the other sources); and per pair a correction for terms that both have, which comes from the tree. Equal rows are merged with
-their multiplicity and sorted; a pass over the sorted rows of a partition is a depth-first walk of the tree, and when a
-node is left its multiplicity, summed over all rows below it, is applied once to each of its ancestors. A
-partition holds one path and one sum per pair of sources; nodes cut by a partition's border are walked twice with parts of their multiplicity.
+their multiplicity and sorted; each batch of sorted rows is inserted into a tree whose rows share the nodes of their common prefix, multiplicities
+are summed towards the root, and every node's multiplicity is applied once to each of its ancestors. Nodes that a batch
+border cuts are treated twice with parts of their multiplicity, which adds up to the same. A task holds one batch and one sum per pair of sources.
 
-Scale: texts are counted in one narrow pass that sends one row per (language, source, term) and flush; hot terms and
-sources are reduced before every shuffle. A term's row has one entry per source of its language at most.
+Scale: texts are counted in one narrow pass. A task holds ``HELD`` terms at most; beyond that it sends the rare ones and keeps
+counting the frequent ones, so a frequent term costs one row per task and source. Those rows move once, by (language, term);
+counts, document frequencies and the choice of terms follow in the same stage. A term's row has one entry per source of its language at most.
 
 Nulls and odd rows: null text, language and source count as empty strings; repeated rows count each; groups without terms take part with zero
 counts; a language without kept terms has pairs of value 0 and no terms; one source alone has no pairs; an empty table
@@ -21,10 +22,13 @@ gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import LOWER, UPPER, arrow_schema, table, written
@@ -32,23 +36,24 @@ from ledgerline.llm.common import LOWER, UPPER, arrow_schema, table, written
 MIN_DOCS = 10
 TOP_TERMS = 10
 SCALE = 1_000_000_000
-FLUSH = 200_000  # partial counts that a task holds before it sends them
+HELD = 200_000  # partial counts that a task holds before it sends rare ones
+RARE = 4  # documents below which a held count is rare
 PIECE = 1 << 20  # bytes of a text that are split at once
 #: Bytes of terms: A-Z to a-z, other ASCII to a blank.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def text_terms(text: bytes) -> Iterator[list[bytes]]:
-    """The terms of a text, a piece at a time."""
+def text_terms(text: bytes, letters: bytes = _LETTERS) -> Iterator[list[bytes]]:
+    """The terms of a text, a piece at a time; ``letters`` maps what separates them to a blank."""
     at = 0
     while at < len(text):
         end = min(at + PIECE, len(text))
-        piece = text[at:end].translate(_LETTERS)
+        piece = text[at:end].translate(letters)
         if end < len(text):  # cut after the last blank; a term longer than a piece takes in what follows
             cut = piece.rfind(b" ")
             while cut < 0 and end < len(text):
                 end = min(end + PIECE, len(text))
-                piece = text[at:end].translate(_LETTERS)
+                piece = text[at:end].translate(letters)
                 cut = piece.rfind(b" ")
             if end < len(text):
                 piece, end = piece[:cut], at + cut + 1
@@ -64,36 +69,38 @@ def partial_counts(docs: DataFrame, text: str = "text", lang: str = "lang", sour
     schema = arrow_schema(docs.sparkSession, ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[tuple, dict] = {}
+        groups: dict[tuple, tuple[dict, dict]] = {}  # occurrences and documents of each term
         held = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def sent(rare: bool) -> Iterator[pa.RecordBatch]:
             for (g_lang, g_source), (n, in_docs) in groups.items():
-                terms = list(n)
+                terms = [t for t, d in in_docs.items() if d < RARE] if rare else list(n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([g_lang] * len(terms)), pa.array([g_source] * len(terms)), pa.array(terms, pa.binary()).cast(pa.string()),
-                     pa.array(n.values(), pa.int64()), pa.array([in_docs[t] for t in terms], pa.int64())], schema=schema)
-            groups.clear()
+                    [pa.array([g_lang] * len(terms), pa.string()), pa.array([g_source] * len(terms), pa.string()),
+                     pa.array(terms, pa.binary()).cast(pa.string()), pa.array([n.pop(t) for t in terms], pa.int64()),
+                     pa.array([in_docs.pop(t) for t in terms], pa.int64())], schema=schema)
 
         for batch in batches:
             for g_lang, g_source, value in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2)):
                 value = value.as_py()
                 if not value:
                     continue
+                found: Counter = Counter()
+                for terms in text_terms(value):
+                    found.update(terms)
                 n, in_docs = groups.setdefault((g_lang, g_source), ({}, {}))
                 before = len(n)
-                seen: set[bytes] = set()
-                for terms in text_terms(value):
-                    for t in terms:
-                        n[t] = n.get(t, 0) + 1
-                    seen.update(terms)
-                for t in seen:
+                for t, k in found.items():
+                    n[t] = n.get(t, 0) + k
                     in_docs[t] = in_docs.get(t, 0) + 1
                 held += len(n) - before
-                if held > FLUSH:
-                    yield from flush()
-                    held = 0
-        yield from flush()
+                if held > HELD:
+                    yield from sent(rare=True)
+                    held = sum(len(n) for n, _ in groups.values())
+                    if held > HELD // 2:  # frequent terms alone fill the room
+                        yield from sent(rare=False)
+                        held = 0
+        yield from sent(rare=False)
 
     return rows.mapInArrow(run, ddl)
 
@@ -109,55 +116,89 @@ def divergence(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def _f(p: int, q: int) -> int:
+def _f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) * (p - q) // (p + q)
 
 
+def tree_nodes(offsets: np.ndarray, source: np.ndarray, p: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The tree of sorted rows: row i is the path of entries offsets[i]:offsets[i + 1], with multiplicity m[i]. A node per new entry of a
+    row after what it shares with the row before: (its entry, its parent or -1, its depth, its multiplicity)."""
+    lengths = np.diff(offsets)
+    rows = np.arange(len(lengths))
+    shared = np.zeros(len(lengths), np.int64)
+    alive = rows[1:]
+    while len(alive):  # rows whose first entries, as many as ``shared`` says, equal those of the row before
+        depth = shared[alive]
+        alive = alive[(depth < lengths[alive]) & (depth < lengths[alive - 1])]
+        here, above = offsets[alive] + shared[alive], offsets[alive - 1] + shared[alive]
+        alive = alive[(source[here] == source[above]) & (p[here] == p[above])]
+        shared[alive] += 1
+    depth = np.arange(offsets[-1]) - np.repeat(offsets[:-1], lengths)
+    entries = np.flatnonzero(depth >= np.repeat(shared, lengths))
+    number = np.full(offsets[-1], -1, np.int64)
+    number[entries] = np.arange(len(entries))
+    parent, weight = np.full(len(entries), -1, np.int64), np.zeros(len(entries), np.int64)
+    before = np.full(len(rows), -1, np.int64)
+    for level in range(int(lengths.max(initial=0))):
+        long = rows[lengths > level]
+        place = offsets[long] + level
+        at = np.full(len(rows), -1, np.int64)
+        at[long] = number[place]
+        at = np.maximum.accumulate(at)  # a shared entry is the node of the row before
+        fresh = number[place] >= 0
+        parent[number[place][fresh]] = before[long][fresh]
+        ends = long[lengths[long] == level + 1]
+        np.add.at(weight, at[ends], m[ends])
+        before = at
+    depth = depth[entries]
+    for level in range(int(depth.max(initial=0)), 0, -1):
+        nodes = np.flatnonzero(depth == level)
+        np.add.at(weight, parent[nodes], weight[nodes])
+    return entries, parent, depth, weight
+
+
+def batch_corrections(offsets: np.ndarray, source: np.ndarray, p: np.ndarray, zero: np.ndarray, m: np.ndarray, sources: int) -> dict[int, int]:
+    """Sums of multiplicity times correction over all (node, ancestor), keyed by ancestor's source * ``sources`` + node's source."""
+    entries, parent, depth, weight = tree_nodes(offsets, source, p, m)
+    source, p, zero = source[entries], p[entries], zero[entries]
+    sums: dict[int, int] = {}
+    node, up = np.flatnonzero(depth > 0), parent[depth > 0]
+    while len(node):
+        value = weight[node] * (_f(p[node], p[up]) - _f(p[node], zero[up]) - _f(zero[node], p[up]) + _f(zero[node], zero[up]))
+        keys, where = np.unique(source[up] * sources + source[node], return_inverse=True)
+        found = np.zeros(len(keys), np.int64)
+        np.add.at(found, where, value)
+        for key, v in zip(keys.tolist(), found.tolist()):
+            sums[key] = sums.get(key, 0) + v
+        up = parent[up]
+        node, up = node[up >= 0], up[up >= 0]
+    return sums
+
+
 def tree_corrections(paths: DataFrame) -> DataFrame:
     """lang, a, b, value over term rows ``paths`` (lang, path of (source, p, zero), m): for sources a < b the sum over terms that both
     have of f(p, q) - f(p, zero q) - f(zero p, q) + f(zero p, zero q), as sums of parts."""
     ddl = "lang string, a string, b string, value long"
     schema = arrow_schema(paths.sparkSession, ddl)
-    ordered = paths.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
+    ordered = paths.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path").select("lang", "path", "m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, str], int] = {}
-        path: list[tuple[str, int, int]] = []
-        weight: list[int] = []  # multiplicity of each node of the path, so far
-        lang = None
-
-        def leave(depth: int) -> None:
-            """Close the nodes below ``depth``: a node's multiplicity goes once to each ancestor, then to its parent."""
-            while len(path) > depth:
-                (source, p, zero), m = path.pop(), weight.pop()
-                if path:
-                    weight[-1] += m
-                for other, q, other_zero in path:
-                    key = (other, source)
-                    sums[key] = sums.get(key, 0) + m * (_f(p, q) - _f(p, other_zero) - _f(zero, q) + _f(zero, other_zero))
-
-        def done() -> pa.RecordBatch:
-            leave(0)
-            keys = list(sums)
-            out = pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array([k[0] for k in keys], pa.string()),
-                                              pa.array([k[1] for k in keys], pa.string()), pa.array(sums.values(), pa.int64())], schema=schema)
-            sums.clear()
-            return out
-
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["lang"] != lang:
-                    yield done()
-                    lang = row["lang"]
-                entries = [(e["source"], e["p"], e["zero"]) for e in row["path"]]
-                common = 0
-                while common < min(len(path), len(entries)) and path[common] == entries[common]:
-                    common += 1
-                leave(common)
-                path.extend(entries[common:])
-                weight.extend([0] * (len(entries) - common))
-                weight[-1] += row["m"]
-        yield done()
+            langs, paths = batch.column(0).to_pylist(), batch.column(1)
+            borders = [0, *(i for i in range(1, len(langs)) if langs[i] != langs[i - 1]), len(langs)]
+            for start, end in zip(borders, borders[1:]):
+                if start == end:
+                    continue
+                part = paths.slice(start, end - start)
+                flat = part.flatten()
+                coded = flat.field("source").dictionary_encode()
+                names = coded.dictionary.to_pylist()
+                offsets = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(part)))]).astype(np.int64)
+                sums = batch_corrections(offsets, np.asarray(coded.indices).astype(np.int64), np.asarray(flat.field("p")),
+                                         np.asarray(flat.field("zero")), np.asarray(batch.column(2))[start:end], len(names))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([langs[start]] * len(sums), pa.string()), pa.array([names[k // len(names)] for k in sums], pa.string()),
+                     pa.array([names[k % len(names)] for k in sums], pa.string()), pa.array(sums.values(), pa.int64())], schema=schema)
 
     return ordered.mapInArrow(run, ddl)
 
@@ -166,12 +207,14 @@ def divergence_audit(docs: DataFrame, text: str = "text", lang: str = "lang", so
                      top: int = TOP_TERMS) -> DataFrame:
     """lang, source, part, item, q, value, rank; part ``pair`` has a row per other source of the language, part ``term``
     the ``top`` terms that the source uses more than its language."""
-    counts = written(partial_counts(docs, text, lang, source).groupBy("lang", "source", "term").agg(
-        F.sum("n").alias("n"), F.sum("docs").alias("docs")), "audit-counts")
-    kept = written(counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).filter(
-        F.col("docs") >= min_docs).drop("docs"), "audit-terms")
-    entries = written(counts.select("lang", "source", "term", "n").join(kept, ["lang", "term"]), "audit-entries")
-
+    # one move by (lang, term); the sums below need no other
+    parts = partial_counts(docs, text, lang, source).repartition("lang", "term")
+    counts = parts.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    term = Window.partitionBy("lang", "term")
+    entries = counts.withColumns({"in_docs": F.sum("docs").over(term), "lang_n": F.sum("n").over(term)}).filter(F.col("in_docs") >= min_docs)
+    entries = written(entries.select("lang", "source", "term", "n", "lang_n"), "audit-entries")
+
+    kept = entries.groupBy("lang", "term").agg(F.first("lang_n").alias("lang_n"))
     langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
     totals = entries.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     present = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source")))).distinct()
@@ -211,7 +254,6 @@ def leading_terms(scored: DataFrame, top: int) -> DataFrame:
 
 
 def ranked(rows: DataFrame, part: str) -> DataFrame:
-    from pyspark.sql import Window
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     return rows.withColumn("rank", F.row_number().over(order)).select(
         "lang", "source", F.lit(part).alias("part"), "item", "value", "rank")

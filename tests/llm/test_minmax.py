@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from ledgerline.llm import minmax_hash
 from tests.llm.samples import documents, edge_docs, empty_docs, prose
@@ -63,13 +64,18 @@ def test_large_groups(spark):
     check(spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string").repartition(5), 2)
 
 
-def test_rounds_compare_every_pair_of_a_bucket(spark):
+@pytest.mark.parametrize("linear", [4, 0])  # 0: rounds of ever more centres until all have been
+def test_rounds_compare_every_pair_of_a_bucket(spark, monkeypatch, linear):
     """One bucket, a least member that is like no other: the others meet in later rounds."""
+    monkeypatch.setattr(minmax_hash, "LINEAR", linear)
+    monkeypatch.setattr(minmax_hash, "CENTRES", 3)
     base = [prose(150, 70 + g).split() for g in range(6)]
     texts = [prose(150, 90)] + [" ".join(b[:-k] + [f"z{k}"] * k) for b in base for k in range(1, 6)]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "rid long, text string")
     sets = {i: slow_set(t, 2) for i, t in enumerate(texts)}
-    classes = spark.createDataFrame([(i, len(sets[i]), [1, 2]) for i in sets], "rid long, size long, bands array<long>")
+    cache = minmax_hash.WordHashes()
+    parity = {i: minmax_hash.parities(minmax_hash.shingle_set(t.encode(), 2, cache)).tolist() for i, t in enumerate(texts)}
+    classes = spark.createDataFrame([(i, len(sets[i]), [1, 2], parity[i]) for i in sets], "rid long, size long, bands array<long>, parity array<long>")
     labels = {r["node"]: r["label"] for r in minmax_hash.set_links(classes, rows, 2, 80).collect()}
     truth = closure(sets, lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
     assert {i: labels.get(i, i) for i in sets} == truth and len(set(truth.values())) == 7
@@ -103,6 +109,15 @@ def test_bands_miss_rarely():
     assert missed <= 2
 
 
+def test_parities_bound_the_difference():
+    rnd = np.random.default_rng(5)
+    for n, shared in ((5, 3), (300, 280), (300, 200), (4000, 3500)):
+        x = rnd.integers(0, 1 << 64, 2 * n - shared, dtype=np.uint64)
+        a, b = (np.unpackbits(minmax_hash.parities(s).view(np.uint8)).sum() for s in (x[:n], x[n - shared:]))
+        differ = np.unpackbits((minmax_hash.parities(x[:n]) ^ minmax_hash.parities(x[n - shared:])).view(np.uint8)).sum()
+        assert a <= n and b <= n and differ <= 2 * (n - shared) and (n > 1000 or differ > 1.2 * (n - shared))
+
+
 def test_long_text_sets():
     cache = minmax_hash.WordHashes()
     words = prose(5000, 3).split()

@@ -5,6 +5,8 @@ import itertools
 import random
 import re
 
+import numpy as np
+
 from ledgerline.llm import source_audit
 from tests.llm.samples import documents, edge_docs, empty_docs, prose
 
@@ -76,8 +78,39 @@ def test_terms_of_a_long_text():
 
 
 def test_partial_counts_are_sent_in_parts(spark):
-    before, source_audit.FLUSH = source_audit.FLUSH, 50
+    before, source_audit.HELD = source_audit.HELD, 50
     try:
         check(documents(spark))
+        source_audit.HELD = 3000
+        check(documents(spark))
     finally:
-        source_audit.FLUSH = before
+        source_audit.HELD = before
+
+
+def test_tree_shares_nodes():
+    """Three rows over sources 0 to 3, two of them with a common prefix; every node once, multiplicities summed."""
+    rows = [[(0, 5), (1, 7)], [(0, 5), (1, 7), (3, 2)], [(0, 5), (2, 7)], [(1, 4)]]
+    offsets = np.cumsum([0] + [len(r) for r in rows])
+    source, p = (np.array([e[k] for r in rows for e in r]) for k in (0, 1))
+    entries, parent, depth, weight = source_audit.tree_nodes(offsets, source, p, np.array([10, 1, 100, 5]))
+    nodes = [(int(source[e]), int(p[e]), int(a), int(d), int(w)) for e, a, d, w in zip(entries, parent, depth, weight)]
+    assert nodes == [(0, 5, -1, 0, 111), (1, 7, 0, 1, 11), (3, 2, 1, 2, 1), (2, 7, 0, 1, 100), (1, 4, -1, 0, 5)]
+
+
+def test_tree_against_every_row():
+    rnd = random.Random(12)
+    rows = sorted({tuple((s, rnd.randrange(1, 4)) for s in sorted(rnd.sample(range(6), rnd.randint(1, 5)))) for _ in range(300)})
+    m, zero = [rnd.randrange(1, 50) for _ in rows], [rnd.randrange(1, 9) for _ in range(6)]
+    want = collections.Counter()
+
+    def f(a, b):
+        return (a - b) ** 2 // (a + b)
+
+    for row, k in zip(rows, m):
+        for (a, p), (b, q) in itertools.combinations(row, 2):
+            want[a * 6 + b] += k * (f(1000 * p, 1000 * q) - f(1000 * p, zero[b]) - f(zero[a], 1000 * q) + f(zero[a], zero[b]))
+    offsets = np.cumsum([0] + [len(r) for r in rows])
+    source = np.array([e[0] for r in rows for e in r])
+    p = np.array([1000 * e[1] for r in rows for e in r])
+    got = source_audit.batch_corrections(offsets, source, p, np.array(zero)[source], np.array(m), 6)
+    assert got == dict(want)
