@@ -70,8 +70,9 @@ class SalesModel:
     def replace(self, delivered: str | None = None, extras: dict | None = None,
                 **tables: TableSource) -> "SalesModel":
         sources = {**self._sources, **self._built, **tables}
-        return SalesModel(delivered=self.delivered if delivered is None else delivered,
-                          extras=self.extras if extras is None else extras, **sources)
+        if extras is None:  # shared results belong to the tables they were made from
+            extras = {} if tables or delivered is not None else self.extras
+        return SalesModel(delivered=self.delivered if delivered is None else delivered, extras=extras, **sources)
 
     def with_tables(self, **tables: TableSource) -> "SalesModel":
         return self.replace(**tables)

@@ -1,24 +1,23 @@
-"""Customer clustering on standardised RFM features (MLlib K-Means, PCA, silhouette).
+"""Customer clustering on standardised RFM features (K-Means, principal components, silhouette).
 
 Features: raw recency, log1p(frequency), log1p(monetary), each standardised with the population
-standard deviation (a constant column keeps scale 1). They are computed once and checkpointed to
-the shared folder, because every K-Means start makes several passes over them.
-
-K-Means uses k-means|| initialisation; ``n_init`` starts (seeds seed, seed+1, ...) are fitted and
-the lowest within-cluster sum of squares wins. Cluster ids are renumbered by the centres'
-standardised recency (then frequency, monetary) so they are stable across runs. Silhouette is
-MLlib's squared-Euclidean form, which is linear in the data (the exact Euclidean silhouette needs
-all pairs of customers).
+standard deviation (a constant column keeps scale 1). For the clustering, mean and deviation come from exact integer sums,
+so a feature's value doesn't depend on the order of the rows.
+
+K-Means is :mod:`ledgerline.operators.kmeans`: all starts (and, in the sweep, all k) share every pass, and sums are integers, so the answer
+is the same for any layout. The lowest within-cluster sum of squares wins. Cluster ids are numbered by the centres'
+standardised recency (then frequency, monetary). Silhouette is the squared-Euclidean form, which is linear in the data (the exact
+Euclidean silhouette needs all pairs of customers).
+
+``with_fitted_clusters(model)`` fits once: every panel of that model then reads the written assignment.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from contextlib import contextmanager
+import math
+from fractions import Fraction
 
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
+import numpy as np
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -26,18 +25,15 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.money import round_ratio
 from ledgerline.model import SalesModel
+from ledgerline.operators import kmeans
 from ledgerline.plans.rfm import positive_base
 from ledgerline.session import cut_lineage
 
 FEATURES = ("z_recency", "z_frequency", "z_monetary")
 SEED = 42
 N_INIT = 10
-MAX_ITER = 300
-TOL = 1e-4
-PARALLEL_STARTS = 10
-LAYOUT_PARTITIONS = 16
-LAYOUT_ROWS = 1_000_000
-SWEEP_PARALLEL = 16
+FITTED = "fitted_clusters"
+RAW_SHIFT = 20  # binary places of a raw feature in the exact sums
 
 
 def standardise(df: DataFrame, raw: dict[str, Column]) -> DataFrame:
@@ -74,107 +70,89 @@ def rfm_features(model: SalesModel) -> DataFrame:
                     *[(F.round(F.col(c) * 1e9, 0) / 1e9).alias(c) for c in FEATURES])
 
 
-def feature_vectors(model: SalesModel, base: DataFrame | None = None) -> DataFrame:
-    """Assembled feature vectors in a fixed layout, checkpointed: every K-Means start and iteration
-    reads these files instead of re-evaluating the standardisation.
-
-    K-Means draws its first centres partition by partition, so the layout decides the answer. Rows are dealt by
-    customer_id into ``LAYOUT_PARTITIONS`` partitions (more only by a factor of two per ``LAYOUT_ROWS`` rows each) and sorted
-    inside: the same customers give the same layout whatever the session's shuffle width."""
-    base = base if base is not None else cut_lineage(positive_base(model), "rfm-base")
-    f = rfm_feature_frame(model, base)
-    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(f) \
-        .select("customer_id", "recency", "frequency", "monetary", *FEATURES, "features")
-    parts, rows = LAYOUT_PARTITIONS, base.count()
-    while rows > parts * LAYOUT_ROWS:
-        parts *= 2
-    laid = assembled.repartition(parts, "customer_id").sortWithinPartitions("customer_id")
-    return cut_lineage(laid.select("customer_id", "recency", "frequency", "monetary", "features"))
-
-
-def _fit_one(data: DataFrame, k: int, seed: int):
-    fitted = KMeans(k=k, seed=seed, maxIter=MAX_ITER, tol=TOL, featuresCol="features",
-                    predictionCol="raw_cluster").fit(data)
-    return fitted, fitted.summary.trainingCost
+def exact_moments(df: DataFrame, raw: list[Column], pairs: bool = False) -> tuple[int, list[Fraction], list[list[Fraction]]]:
+    """Rows, means and population covariances (only variances unless ``pairs``) of numbers taken with ``RAW_SHIFT`` binary places, from
+    integer sums: equal for every order of the rows."""
+    n = len(raw)
+    whole = df.select(*[kmeans.fixed(c.cast("double"), RAW_SHIFT).cast("decimal(19,0)").alias(f"r{i}") for i, c in enumerate(raw)])
+    wanted = [(i, j) for i in range(n) for j in range(i, n) if pairs or i == j]
+    row = whole.agg(F.count("*").alias("n"), *[F.sum(f"r{i}").alias(f"s{i}") for i in range(n)],
+                    *[F.sum((F.col(f"r{i}") * F.col(f"r{j}")).cast("decimal(38,0)")).alias(f"q{i}_{j}") for i, j in wanted]).first()
+    rows, one = row["n"], 1 << RAW_SHIFT
+    if not rows:
+        raise ValueError("no rows to standardise")
+    means = [Fraction(int(row[f"s{i}"]), rows * one) for i in range(n)]
+    cov = [[Fraction(0)] * n for _ in range(n)]
+    for i, j in wanted:
+        cov[i][j] = cov[j][i] = Fraction(int(row[f"q{i}_{j}"]), rows * one * one) - means[i] * means[j]
+    return rows, means, cov
 
 
-@contextmanager
-def cached(data: DataFrame):
-    """``data`` in memory for the block; nested uses share the outer one's copy."""
-    mine = data.storageLevel == StorageLevel.NONE
-    if mine:
-        data.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield
-    finally:
-        if mine:
-            data.unpersist()
+def feature_vectors(model: SalesModel, base: DataFrame | None = None) -> DataFrame:
+    """customer_id, recency, frequency, monetary and the standardised features as a vector, checkpointed. ``base``: a materialised
+    :func:`~ledgerline.plans.rfm.positive_base`, shared when the caller also scores it."""
+    base = base if base is not None else cut_lineage(positive_base(model), "rfm-base")
+    base = base.withColumn("monetary", F.col("monetary").cast("double"))
+    raw = [F.col("recency").cast("double"), F.log1p(F.col("frequency").cast("double")), F.log1p(F.col("monetary"))]
+    _, means, cov = exact_moments(base, raw)
+    scales = [math.sqrt(cov[i][i]) or 1.0 for i in range(len(raw))]
+    scaled = base.select("*", *[((x - float(m)) / s).alias(z) for z, x, m, s in zip(FEATURES, raw, means, scales)])
+    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(scaled)
+    return cut_lineage(assembled.select("customer_id", "recency", "frequency", "monetary", "features"))
 
 
-def _fit_all(data: DataFrame, jobs: list[tuple[int, int]], parallel: int):
-    """Fit K-Means for each (k, seed) as concurrent Spark jobs over one shared in-memory copy of
-    the (checkpointed) features, released afterwards; otherwise every fit caches its own copy."""
-    with cached(data), ThreadPoolExecutor(max_workers=max(1, min(parallel, len(jobs)))) as pool:
-        return list(pool.map(lambda ks: (ks[0], _fit_one(data, *ks)), jobs))
+def _features() -> list[Column]:
+    values = vector_to_array(F.col("features"))
+    return [values[i] for i in range(len(FEATURES))]
 
 
-def _best_kmeans(data: DataFrame, k: int, n_init: int, seed: int):
-    """Fit ``n_init`` independent starts; keep the lowest cost (ties go to the earlier seed)."""
-    fits = _fit_all(data, [(k, s) for s in range(seed, seed + n_init)], PARALLEL_STARTS)
-    return min((fc for _, fc in fits), key=lambda fc: fc[1])
+def assign_clusters(data: DataFrame, k: int = 4, n_init: int = N_INIT, seed: int = SEED) -> DataFrame:
+    """``data`` (customer_id, features) with the ``cluster`` of the best of ``n_init`` starts."""
+    with kmeans.in_memory(kmeans.fixed_points(data, "customer_id", _features())) as points:
+        best = kmeans.best_of(kmeans.fit_all(points, [k], range(seed, seed + n_init)))
+        return data.withColumn("cluster", kmeans.nearest(_features(), best, points.shift))
 
 
-def _renumbered(fitted) -> list[int]:
-    centres = [tuple(float(v) for v in c) for c in fitted.clusterCenters()]
-    order = sorted(range(len(centres)), key=lambda i: centres[i])
-    new_id = [0] * len(centres)
-    for rank, old in enumerate(order):
-        new_id[old] = rank
-    return new_id
+def clustered(model: SalesModel, k: int = 4, n_init: int = N_INIT, base: DataFrame | None = None) -> DataFrame:
+    """Customers with features and cluster: the model's fitted ones if it has them for this k and number of starts, else a new fit."""
+    fitted = model.extras.get((FITTED, k, n_init))
+    return fitted if fitted is not None else assign_clusters(feature_vectors(model, base), k, n_init)
 
 
-def assign_clusters(data: DataFrame, k: int = 4, n_init: int = N_INIT, seed: int = SEED) -> DataFrame:
-    fitted, _ = _best_kmeans(data, k, n_init, seed)
-    mapping = F.array(*[F.lit(i) for i in _renumbered(fitted)])
-    return fitted.transform(data).withColumn(
-        "cluster", F.element_at(mapping, F.col("raw_cluster") + 1).cast("int")).drop("raw_cluster")
+def with_fitted_clusters(model: SalesModel, k: int = 4, n_init: int = N_INIT) -> SalesModel:
+    """The model with one fit, written to the shared folder; ``cluster_customers``, ``cluster_pca``, ``cluster_profiles``, ``cluster_totals``
+    and ``save_rfm_segments`` with this k and number of starts read it instead of fitting again."""
+    return model.replace(extras={**model.extras, (FITTED, k, n_init): cut_lineage(clustered(model, k, n_init))})
 
 
 def cluster_customers(model: SalesModel, k: int = 4, n_init: int = N_INIT) -> DataFrame:
-    data = feature_vectors(model)
-    return assign_clusters(data, k, n_init).select("customer_id", "recency", "frequency", "monetary", "cluster")
+    return clustered(model, k, n_init).select("customer_id", "recency", "frequency", "monetary", "cluster")
 
 
 def cluster_sweep(model: SalesModel, ks=range(2, 9), n_init: int = N_INIT) -> DataFrame:
-    """Elbow data: for each k, the best start's inertia and its (squared-Euclidean) silhouette."""
+    """Elbow data: for each k, the best start's inertia and its (squared-Euclidean) silhouette. All fits share every pass."""
     data = feature_vectors(model)
-    evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="raw_cluster",
-                                    distanceMeasure="squaredEuclidean")
-
-    def row(k: int, fits) -> tuple:
-        fitted, cost = min((fc for kk, fc in fits if kk == k), key=lambda fc: fc[1])
-        return int(k), float(cost), float(evaluator.evaluate(fitted.transform(data)))
-
-    with cached(data), ThreadPoolExecutor(max_workers=PARALLEL_STARTS) as pool:
-        fits = _fit_all(data, [(k, s) for k in ks for s in range(SEED, SEED + n_init)], SWEEP_PARALLEL)
-        rows = list(pool.map(lambda k: row(k, fits), ks))
+    with kmeans.in_memory(kmeans.fixed_points(data, "customer_id", _features())) as points:
+        fits = kmeans.fit_all(points, list(ks), range(SEED, SEED + n_init))
+        best = [kmeans.best_of([m for m in fits if m.k == k]) for k in ks]
+        values = kmeans.silhouettes(points, best)
+    rows = [(int(k), m.inertia, v) for k, m, v in zip(ks, best, values)]
     return model.spark.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
 def cluster_pca(model: SalesModel, k: int = 4, n_init: int = N_INIT) -> DataFrame:
     """Two principal components of the standardised features per customer, with the explained
-    variance ratios. Each component's sign is fixed so its largest loading is positive."""
-    data = assign_clusters(feature_vectors(model), k, n_init)
-    pca = PCA(k=2, inputCol="features", outputCol="pcs").fit(data)
-    loadings = pca.pc.toArray()
-    signs = [1.0 if loadings[abs(loadings[:, j]).argmax(), j] >= 0 else -1.0 for j in range(2)]
-    ratios = [float(v) for v in pca.explainedVariance]
-    arr = vector_to_array(F.col("pcs"))
-    return pca.transform(data).select(
-        "customer_id", "cluster",
-        (arr[0] * F.lit(signs[0])).alias("pc1"), (arr[1] * F.lit(signs[1])).alias("pc2"),
-        F.lit(ratios[0]).alias("pc1_variance_ratio"), F.lit(ratios[1]).alias("pc2_variance_ratio"),
-    )
+    variance ratios. The loadings come from the exact covariance; each component's sign is fixed so its largest loading is positive."""
+    data = clustered(model, k, n_init)
+    _, _, cov = exact_moments(data, _features(), pairs=True)
+    values, vectors = np.linalg.eigh(np.array([[float(v) for v in row] for row in cov]))
+    values, vectors = values[::-1], vectors[:, ::-1]
+    vectors = vectors * np.sign([v[abs(v).argmax()] for v in vectors.T])
+    total = float(values.sum()) or 1.0
+    score = lambda j: sum((f * float(w) for f, w in zip(_features()[1:], vectors[1:, j])), _features()[0] * float(vectors[0, j]))
+    return data.select("customer_id", "cluster", score(0).alias("pc1"), score(1).alias("pc2"),
+                       F.lit(float(values[0]) / total).alias("pc1_variance_ratio"),
+                       F.lit(float(values[1]) / total).alias("pc2_variance_ratio"))
 
 
 def profiles_of(clustered: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.functions.calendar import midnight
 from ledgerline.model import SalesModel
-from ledgerline.plans.clusters import assign_clusters, feature_vectors
+from ledgerline.plans.clusters import clustered
 from ledgerline.plans.forecast import total_forecast
 from ledgerline.plans.rfm import positive_base, quantile_scored, rfm_scores_quantile, segment_rollup
 from ledgerline.session import cut_lineage, scratch_path
@@ -56,7 +56,7 @@ def save_rfm_segments(model: SalesModel, root: str | None = None, k: int = 4,
     """Replace ``rfm_segments`` (quantile scores, segment label and K-Means cluster) and reopen it."""
     base = cut_lineage(positive_base(model), "rfm-base")  # shared by scores and features
     scored = quantile_scored(model, base)
-    clusters = assign_clusters(feature_vectors(model, base), k, n_init).select("customer_id", "cluster")
+    clusters = clustered(model, k, n_init, base).select("customer_id", "cluster")
     table = scored.join(clusters, on="customer_id", how="inner").select(
         "customer_id", "recency", "frequency", scored["monetary"].cast("double").alias("monetary"),
         "r_score", "f_score", "m_score", "rfm_score", "segment", "cluster")
