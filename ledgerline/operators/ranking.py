@@ -12,18 +12,18 @@ rank is built the way a distributed sort is:
    as a broadcast (its size is bounded by the partition count, not by the data);
 4. ``rank = offset + position in partition``; n is a scalar subquery over the counts.
 
-Order statistics (for quantile edges) are then a filter on ``rank``: at most two rows per
-quantile reach the driver.
+Order statistics need no ranks of all rows: :func:`~ledgerline.operators.selection.rows_at_ranks` finds the rows at given
+ranks (tile boundaries, quantile edges) by counting, without a sort.
 """
 
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators.selection import rows_at_ranks  # noqa: F401 (part of this module's interface)
 from ledgerline.session import cut_lineage
 
 _LOW_BITS = (1 << 33) - 1
@@ -60,21 +60,6 @@ def ntile(df: DataFrame, order: list[Column], k: int, out: str) -> DataFrame:
     return ranked.withColumn(out, ntile_of_rank(F.col("_rank"), F.col("_n"), k)).drop("_rank", "_n")
 
 
-def rows_at_ranks(df: DataFrame, wanted: dict[str, list[int]], key: str) -> dict[str, dict[int, tuple]]:
-    """{measure: {rank: (measure value, key value)}} for the wanted 1-based ranks of each measure, in the order
-    (measure, key). Only the two columns are sorted; the measures are ranked at the same time; one row per wanted rank reaches the
-    driver."""
-    def one(measure: str) -> dict[int, tuple]:
-        ranks = sorted(set(wanted[measure]))
-        if not ranks:
-            return {}
-        ranked = global_rank(df.select(measure, key), [F.col(measure).asc(), F.col(key).asc()], rank_col="_rank")
-        return {r["_rank"]: (r[measure], r[key]) for r in ranked.filter(F.col("_rank").isin(ranks)).collect()}
-
-    with ThreadPoolExecutor(max_workers=max(1, len(wanted))) as pool:
-        return dict(zip(wanted, pool.map(one, wanted)))
-
-
 def tile_starts(n: int, k: int) -> list[int]:
     """The ranks at which the tiles 2..k of NTILE(k) over n rows begin (tiles without rows have none)."""
     size, more = divmod(n, k)

@@ -82,3 +82,51 @@ def test_approx_options_close_to_exact(spark, model_check):
     assert j.count() == e.count()
     agree = j.filter((F.col("m") == F.col("m_score")) & (F.col("r") == F.col("r_score"))).count()
     assert agree >= 0.95 * j.count()
+
+
+def _sorted_rows(rows):
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode() if isinstance(r[1], str) else r[1]))
+
+
+@pytest.mark.parametrize("fetch,buckets", [(256, 1024), (2, 8), (0, 3)])
+def test_rows_at_ranks_by_counting(spark, monkeypatch, fetch, buckets):
+    """Values with many ties, nulls, negatives and large steps; keys with common and different lengths."""
+    import random
+    from decimal import Decimal
+    from ledgerline.operators import selection
+    monkeypatch.setattr(selection, "FETCH", fetch)
+    monkeypatch.setattr(selection, "BUCKETS", buckets)
+    rnd = random.Random(fetch)
+    keys = [f"cust-{rnd.randrange(10 ** rnd.randrange(1, 9))}-é{k % 7}" + "x" * (k % 3) for k in range(600)] + ["cust-", "cust-\0", "cust-\0\0"]
+    rows = [(k, rnd.choice([1, 1, 1, 1, 2, 3, None]), rnd.randrange(-10 ** 15, 10 ** 15) if i % 5 else 7, Decimal(rnd.randrange(-500, 10 ** 6)) / 100)
+            for i, k in enumerate(keys)]
+    rows += rows[:40]  # repeated rows
+    df = spark.createDataFrame(rows, "cid string, few int, wide long, money decimal(20,2)").repartition(7)
+    ranks = [1, 2, 127, 128, 300, 301, len(rows) - 1, len(rows)]
+    found = selection.rows_at_ranks(df, {"few": ranks, "wide": ranks, "money": ranks}, "cid")
+    for i, m in enumerate(("few", "wide", "money"), 1):
+        want = _sorted_rows([(r[i], r[0]) for r in rows])
+        assert found[m] == {r: want[r - 1] for r in ranks}
+    numbered = df.select("few", F.xxhash64("cid").alias("id"))
+    want = _sorted_rows([(r.few, r.id) for r in numbered.collect()])
+    assert selection.rows_at_ranks(numbered, {"few": ranks}, "id") == {"few": {r: want[r - 1] for r in ranks}}
+
+
+def test_rows_at_ranks_refuses_what_it_cannot_order(spark):
+    df = spark.createDataFrame([(1, 1.5, "a"), (2, 2.5, None)], "v long, d double, k string")
+    for wanted, key, error in (({"v": [1]}, "k", ValueError), ({"d": [1]}, "v", TypeError), ({"v": [3]}, "v", ValueError), ({"v": [1]}, "d", TypeError)):
+        with pytest.raises(error):
+            rows_at_ranks(df, wanted, key)
+    with pytest.raises(OverflowError):
+        rows_at_ranks(spark.range(2).selectExpr("id", "id * 9000000000000000000 as v"), {"v": [1]}, "id")
+    one = spark.createDataFrame([(None, "k")], "v long, k string")
+    assert rows_at_ranks(one, {"v": [1]}, "k") == {"v": {1: (None, "k")}}
+    assert rows_at_ranks(one.limit(0), {"v": []}, "k") == {"v": {}}
+
+
+def test_scores_need_no_range_exchange(spark, model_small):
+    from ledgerline.plans import rfm
+    seen = []
+    for job in (rfm.rfm_scores_ntile, rfm.rfm_scores_quantile):
+        seen.append(job(model_small)._jdf.queryExecution().toString())
+    assert not any("rangepartitioning" in s.lower() for s in seen)
