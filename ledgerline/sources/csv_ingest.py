@@ -1,14 +1,18 @@
 """CSV ingest of the nine source tables into typed Parquet tables, and the load/audit around it.
 
 Files are read with their header as text; the columns the jobs use get declared types, ``infer=True`` also types the
-others as Spark infers them, and every other column stays text. Types never lose anything: a column's
+others, and every other column stays text. Types never lose anything: a column's
 values are checked first, in one aggregate per table, money takes the scale its text needs, and a value that can't be read as
-its type stops the load with the count of such values per column (or, on request, goes to a reject table as
-whole rows). All inputs are checked first and a single error names every missing one.
+its type (a time with an offset, say) stops the load with the count of such values per column (or, on request, goes to a reject table as
+whole rows). Inference rides in the same aggregate: each value has a bit per type from which its very text could be written again, and
+the bits common to all values decide; leading zeros, offsets and exponents so stay text. All inputs are checked first and a single error
+names every missing one. Tables are loaded side by side, each file is parsed twice (check, write), and a table is replaced only
+when its new version is complete.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -17,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.model import LOGICAL_TABLES, SalesModel
+from ledgerline.sources.multiline_csv import read_multiline_csv
+from ledgerline.sources.tables import replace_folder
 
 # Input file of each logical table (public e-commerce dataset layout).
 CSV_FILES = {
@@ -44,61 +50,114 @@ TYPED_COLUMNS = {
 # Unique keys the jobs rely on (see ledgerline.model).
 UNIQUE_KEYS = {"orders": "order_id", "customers": "customer_id", "products": "product_id"}
 
-# Tables whose text fields may contain quoted line breaks (free-text review comments). Multi-line
-# parsing cannot split a file across tasks, so it is enabled only where records need it, and such a
-# table should come as many files.
+# Tables whose text fields may contain quoted line breaks (free-text review comments): their files are cut into records first
+# (ledgerline.sources.multiline_csv), so that a file is still read by many tasks.
 MULTILINE_TABLES = ("order_reviews",)
+PARALLEL_TABLES = 4
 
 
-def _read_csv(spark: SparkSession, path: str, multiline: bool = False, infer: bool = False) -> DataFrame:
-    """RFC 4180 CSV: header row, '"' quotes escaped by doubling. A record that does not fit the header is an error."""
-    df = spark.read.option("header", True).option("inferSchema", infer) \
-        .option("quote", '"').option("escape", '"').option("multiLine", multiline) \
-        .option("mode", "FAILFAST" if not infer else "PERMISSIVE").csv(path)
+def _read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """RFC 4180 CSV as text columns: header row, '"' quotes escaped by doubling. A record that does not fit the header is an error."""
+    if multiline:
+        return read_multiline_csv(spark, path)
+    df = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("mode", "FAILFAST").csv(path)
     # a UTF-8 byte-order mark at the start of a file would otherwise stick to the first header
-    return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
+    return df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns])
+
+
+def _missing(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.text(path)
+    except AnalysisException as exc:
+        if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
+            return True
+        raise
+    return False
+
+
+def each_table(names, work) -> dict:
+    """``work(name)`` of several tables side by side: their jobs are small next to a cluster."""
+    names = list(names)
+    with ThreadPoolExecutor(max_workers=max(1, min(PARALLEL_TABLES, len(names)))) as pool:
+        return dict(zip(names, pool.map(work, names)))
 
 
 def read_csv_tables(spark: SparkSession, data_dir: str, files: dict[str, str] | None = None,
                     infer: bool = False, rejects: str | None = None) -> dict[str, DataFrame]:
     """The typed tables. ``rejects``: a folder that takes the rows with unreadable values, as text, one
     Parquet table per source table; without it such rows stop the load."""
-    files = files or CSV_FILES
-    frames, missing = {}, []
-    for table, name in files.items():
-        path = f"{data_dir.rstrip('/')}/{name}"
-        try:
-            frames[table] = _read_csv(spark, path, table in MULTILINE_TABLES)
-        except AnalysisException as exc:
-            if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
-                missing.append(path)
-            else:
-                raise
+    paths = {table: f"{data_dir.rstrip('/')}/{name}" for table, name in (files or CSV_FILES).items()}
+    missing = [path for path in paths.values() if _missing(spark, path)]
     if missing:
         raise FileNotFoundError("Missing input files: " + ", ".join(missing))
-    out = {}
-    for table, df in frames.items():
-        types = dict(TYPED_COLUMNS.get(table, {}))
-        if infer:
-            guessed = _read_csv(spark, f"{data_dir.rstrip('/')}/{files[table]}", table in MULTILINE_TABLES, infer=True)
-            types = {**{f.name: f.dataType.simpleString() for f in guessed.schema if not isinstance(f.dataType, T.StringType)}, **types}
-        out[table] = _typed(table, df, types, rejects)
-    return out
+    return each_table(paths, lambda table: _typed(
+        table, _read_csv(spark, paths[table], table in MULTILINE_TABLES), dict(TYPED_COLUMNS.get(table, {})), infer, rejects))
 
 
 NUMBER = r"^\s*[+-]?([0-9]+)?(\.([0-9]*))?\s*$"
+#: What a declared type may look like; casts alone would drop an offset or a fraction.
+READABLE = {
+    "int": r"^\s*[+-]?[0-9]+\s*$",
+    "timestamp_ntz": r"^\s*[0-9]{4,}-[0-9]{1,2}-[0-9]{1,2}([ T][0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2}(\.[0-9]{0,6})?)?)?\s*$",
+}
 
 
 def _unreadable(col: str, kind: str) -> Column:
     """Text that is there but can't be read as its type without loss."""
+    c = F.col(f"`{col}`")
     if kind == MONEY:
-        return F.col(col).isNotNull() & ~(F.col(col).rlike(NUMBER) & F.col(col).rlike("[0-9]"))
-    return F.col(col).isNotNull() & F.col(col).try_cast(kind).isNull()
-
-
-def _typed(table: str, df: DataFrame, types: dict[str, str], rejects: str | None) -> DataFrame:
+        return c.isNotNull() & ~(c.rlike(NUMBER) & c.rlike("[0-9]"))
+    shaped = c.rlike(READABLE[kind]) if kind in READABLE else F.lit(True)
+    return c.isNotNull() & (~shaped | F.trim(c).try_cast(kind).isNull())
+
+
+#: Inferred types in the order of choice.
+KINDS = ("boolean", "int", "bigint", "double", "decimal", "date", "timestamp_ntz")
+PLAIN = r"^-?(0|[1-9][0-9]*)(\.([0-9]+))?$"
+EXACT_DIGITS = 15  # a decimal of so many digits survives a double
+
+
+def open_kinds(text: Column) -> Column:
+    """A bit per type of ``KINDS`` that can give the value's text again; all bits for null."""
+    again = lambda kind: text.try_cast(kind).cast("string") == text
+    digits = F.length(F.regexp_replace(F.regexp_replace(text, "[-.]", ""), "^0+", ""))
+    plain = text.rlike(PLAIN)
+    fits = {
+        "boolean": text.isin("true", "false"), "int": again("int"), "bigint": again("bigint"),
+        "double": plain & ~text.rlike(r"\.[0-9]*0$") & (digits <= EXACT_DIGITS) & (text != "-0"),
+        "decimal": plain & (digits <= 38) & ~text.rlike(r"^-[0.]*$"),  # if all values have the same number of places
+        "date": again("date"), "timestamp_ntz": again("timestamp_ntz"),
+    }
+    bits = sum((F.when(F.coalesce(fits[k], F.lit(False)), 1 << i).otherwise(0) for i, k in enumerate(KINDS)), F.lit(0))
+    return F.when(text.isNull(), (1 << len(KINDS)) - 1).otherwise(bits)
+
+
+def _inference(c: str) -> list[Column]:
+    """The aggregates that decide the type of column ``c``."""
+    text = F.col(f"`{c}`")
+    places = F.length(F.regexp_extract(text, PLAIN, 3))
+    return [F.bit_and(open_kinds(text)).alias(f"kinds_{c}"), F.count(text).alias(f"there_{c}"), F.min(places).alias(f"least_{c}"),
+            F.max(places).alias(f"most_{c}"), F.max(F.length(F.regexp_extract(text, PLAIN, 1))).alias(f"digits_{c}")]
+
+
+def _inferred(c: str, found) -> str | None:
+    """The first type that is open for all values; None is text."""
+    if not found[f"there_{c}"]:
+        return None
+    for i, kind in enumerate(KINDS):
+        if found[f"kinds_{c}"] >> i & 1:
+            if kind != "decimal":
+                return kind
+            width = found[f"digits_{c}"] + found[f"most_{c}"]
+            if found[f"least_{c}"] == found[f"most_{c}"] and width <= 38:
+                return f"decimal({width},{found[f'most_{c}']})"
+    return None
+
+
+def _typed(table: str, df: DataFrame, types: dict[str, str], infer: bool, rejects: str | None) -> DataFrame:
     types = {c: t for c, t in types.items() if c in df.columns}
-    if not types:
+    open_columns = [c for c in df.columns if c not in types] if infer else []
+    if not types and not open_columns:
         return df
     checks = []
     for c, kind in types.items():
@@ -106,15 +165,17 @@ def _typed(table: str, df: DataFrame, types: dict[str, str], rejects: str | None
         if kind == MONEY:
             whole = F.length(F.regexp_replace(F.regexp_extract(c, NUMBER, 1), "^0+", ""))
             checks += [F.max(whole).alias(f"whole_{c}"), F.max(F.length(F.regexp_extract(c, NUMBER, 3))).alias(f"scale_{c}")]
+    for c in open_columns:
+        checks += _inference(c)
     found = df.agg(*checks).first()
     bad = {c: found[f"bad_{c}"] for c in types if found[f"bad_{c}"]}
     if bad and not rejects:
         raise ValueError(f"{table}: values that can't be read as declared: " + ", ".join(f"{c} {n}" for c, n in bad.items()))
     if bad:
         wrong = reduce(Column.__or__, [_unreadable(c, types[c]) for c in bad])
-        df.filter(wrong).write.mode("overwrite").parquet(f"{rejects.rstrip('/')}/{table}")
+        replace_folder(df.sparkSession, f"{rejects.rstrip('/')}/{table}", df.filter(wrong).write.parquet)
         df = df.filter(~wrong)
-    casts = {}
+    casts = {c: kind for c in open_columns if (kind := _inferred(c, found))}
     for c, kind in types.items():
         if kind == MONEY:
             whole, scale = found[f"whole_{c}"] or 0, max(2, found[f"scale_{c}"] or 0)
@@ -122,7 +183,7 @@ def _typed(table: str, df: DataFrame, types: dict[str, str], rejects: str | None
                 raise ValueError(f"{table}.{c}: amounts need {whole + scale} digits; 38 are possible")
             kind = f"decimal({min(38, max(12, whole + scale))},{scale})"
         casts[c] = kind
-    return df.select(*[F.trim(c).cast(casts[c]).alias(c) if c in casts else F.col(f"`{c}`") for c in df.columns])
+    return df.select(*[F.trim(F.col(f"`{c}`")).cast(casts[c]).alias(c) if c in casts else F.col(f"`{c}`") for c in df.columns])
 
 
 # Tables keyed by order: bucketing them alike lets the item -> order aggregate and the joins on
@@ -151,19 +212,35 @@ def ingest_tables(spark: SparkSession, data_dir: str, out_dir: str,
         frames["orders"] = frames["orders"].select("*", month)
         if "order_items" in frames:
             frames["order_items"] = frames["order_items"].join(months, on="order_id", how="left")
-    for table, df in frames.items():
-        path = f"{base}/{table}"
-        writer = df.write.mode("overwrite")
-        if MONTH in df.columns:
-            writer = writer.partitionBy(MONTH)
+
+    def load(table: str) -> None:
+        df, path = frames[table], f"{base}/{table}"
+        months = [MONTH] if MONTH in df.columns else []
         if buckets and table in ORDER_KEYED:
-            writer.bucketBy(buckets, "order_id").sortBy("order_id").option("path", path) \
-                .saveAsTable(f"{table_prefix}{table}")
+            _replace_bucketed(spark, df, f"{table_prefix}{table}", path, buckets, months)
         else:
-            writer.parquet(path)
+            replace_folder(spark, path, df.write.partitionBy(*months).parquet)
+
+    each_table(frames, load)
     return column_audit_of(_open_tables(spark, base, list(frames), table_prefix if buckets else None))
 
 
+def _replace_bucketed(spark: SparkSession, df: DataFrame, name: str, path: str, buckets: int, months: list[str]) -> None:
+    """The external catalog table ``name`` over ``path``: written in full beside it, then both folder and entry change over."""
+    def write(folder: str) -> None:
+        fresh = f"{name}_next_{folder.rsplit('-', 1)[-1]}"
+        df.write.partitionBy(*months).bucketBy(buckets, "order_id").sortBy("order_id").option("path", folder).saveAsTable(fresh)
+        spark.sql(f"DROP TABLE `{fresh}`")  # external: the files stay
+
+    replace_folder(spark, path, write)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+    spark.sql(f"CREATE TABLE `{name}` ({columns}) USING parquet " + (f"PARTITIONED BY (`{MONTH}`) " if months else "")
+              + f"CLUSTERED BY (order_id) SORTED BY (order_id) INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+    if months:
+        spark.sql(f"ALTER TABLE `{name}` RECOVER PARTITIONS")
+
+
 def _open_tables(spark: SparkSession, table_dir: str, names, table_prefix: str | None):
     out = {}
     for name in names:
