@@ -181,6 +181,13 @@ INTERVAL_LEVEL = 0.80
 # Least noise of a series, as a share of its largest value: keeps the priors in force and the band
 # positive where a series is fitted exactly (constant, linear or short ones).
 NOISE_FLOOR = 0.005
+# Multiples of the changepoint penalty that propose sets of changepoints, and rounds in which penalty and noise are settled.
+PENALTY_FACTORS = (1.0, 10.0, 100.0, 1000.0, 10_000.0, 1e9)
+NOISE_ROUNDS = 4
+# Variances of a slope change, as multiples of the noise, among which the likeliest is taken.
+CHANGE_RATIOS = tuple(10.0 ** (e / 3) for e in range(-9, 19))
+DAYS_PER_CHUNK = 512
+
 # Parts of the model that a series must be long enough for; shorter ones go without them.
 MIN_ROWS_SLOPE = 3
 MIN_SPAN_WEEKLY = 14
@@ -272,8 +279,101 @@ def _left_out(n: int, span: int) -> np.ndarray:
     return out
 
 
-def solve_series(upper: np.ndarray, n: int, span: int) -> tuple[np.ndarray, float]:
-    """(coefficients, sigma) in scaled units from the upper triangle of [X y]^T [X y]."""
+def _lasso(s: np.ndarray, pull: np.ndarray, l1: float) -> np.ndarray:
+    """Minimum of x's x / 2 - pull x + l1 sum |x|, exactly: variables enter by the largest gradient, the signed system of those in use is solved, and a
+    variable that would change its sign on the way leaves."""
+    x, size = np.zeros(len(pull)), len(pull)
+    slack = 1e-9 * max(1.0, float(np.abs(pull).max(initial=0.0)))
+    for _ in range(20 * size):
+        gradient = pull - s @ x
+        rest = np.where(x == 0, np.abs(gradient), 0.0)
+        used = x != 0
+        signs = np.sign(x)
+        settled = not used.any() or np.abs(gradient[used] - l1 * signs[used]).max() <= slack
+        if settled:
+            enters = int(rest.argmax())
+            if rest[enters] <= l1 + slack:
+                break
+            used[enters], signs[enters] = True, np.sign(gradient[enters])
+        at = np.flatnonzero(used)
+        block = s[np.ix_(at, at)]
+        goal = np.linalg.solve(block + 1e-13 * np.trace(block) * np.eye(len(at)), pull[at] - l1 * signs[at])
+        # the best point on the way: at the goal, or where a variable reaches zero
+        here, steps = x[at], [1.0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            crossing = here / (here - goal)
+        steps += [c for c in crossing if 0.0 < c < 1.0]
+        value = lambda v: 0.5 * v @ block @ v - pull[at] @ v + l1 * np.abs(v).sum()
+        points = [here + c * (goal - here) for c in steps]
+        best = min(points, key=value)
+        best[np.abs(best) < 1e-14 * max(1.0, np.abs(best).max())] = 0.0
+        if value(best) >= value(here) - 1e-18 and not settled:
+            break
+        x[at] = best
+    return x
+
+
+def _lasso_hinges(g: np.ndarray, b: np.ndarray, penalties: np.ndarray, hinges: np.ndarray, others: np.ndarray, l1: float) -> np.ndarray:
+    """Minimum of half the squared error plus ``l1`` times the sum of |hinge coefficients| (and the ridge penalties of the others), from
+    the Gram matrix alone: the others are eliminated first."""
+    beta = np.zeros(len(b))
+    a = g[np.ix_(others, others)] + np.diag(penalties[others])
+    cross = g[np.ix_(others, hinges)]
+    solved = np.linalg.solve(a, np.column_stack([b[others], cross]))
+    s = g[np.ix_(hinges, hinges)] - cross.T @ solved[:, 1:]
+    delta = _lasso((s + s.T) / 2, b[hinges] - cross.T @ solved[:, 0], l1)
+    beta[hinges] = delta
+    beta[others] = solved[:, 0] - solved[:, 1:] @ delta
+    return beta
+
+
+def _sparse_fit(m: np.ndarray, n: int, sigma2: float, tau: np.ndarray, hinges: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, float]:
+    """(coefficients, noise variance) under the Laplace prior. Little noise makes the prior's penalty weak, and then every
+    hinge takes some of the noise; so sets of hinges are proposed by growing multiples of the penalty and fitted with the prior's own,
+    and the set with the least BIC stays. Penalty and noise are settled together, as a first noise estimate takes a break for noise."""
+    k, best = N_FEATURES, None
+    for factor in PENALTY_FACTORS:
+        noise = sigma2
+        for _ in range(NOISE_ROUNDS):
+            l1, penalties = noise / CHANGEPOINT_PRIOR, noise / tau ** 2
+            chosen = hinges[_lasso_hinges(m[:k, :k], m[:k, k], penalties, hinges, others, l1 * factor)[hinges] != 0]
+            beta = _lasso_hinges(m[:k, :k], m[:k, k], penalties, chosen, others, l1)
+            used = len(others) + np.count_nonzero(beta[hinges])
+            rss = _rss(m, beta)
+            before, noise = noise, max(rss / max(n - used, 1.0), NOISE_FLOOR ** 2)
+            if abs(noise - before) <= 1e-2 * before:
+                break
+        score = n * math.log(max(rss / n, NOISE_FLOOR ** 2)) + 2.0 * used * math.log(n)  # a hinge is a place and a size
+        if best is None or score < best[0]:
+            best = (score, beta, noise)
+    return best[1], best[2]
+
+
+def _rss(m: np.ndarray, beta: np.ndarray) -> float:
+    k = N_FEATURES
+    return max(float(m[k, k] - 2.0 * beta @ m[:k, k] + beta @ m[:k, :k] @ beta), 0.0)
+
+
+def _change_variance(m: np.ndarray, n: int, hinges: np.ndarray, others: np.ndarray) -> float:
+    """The variance of a changepoint's size with the largest marginal likelihood. A sparse fit leaves out small changes and merges
+    neighbours, so its sizes would understate how much the slope moves; 0 if no change is likelier."""
+    k, best = N_FEATURES, (-math.inf, 0.0)
+    for ratio in (0.0, *CHANGE_RATIOS):  # to the noise variance
+        at = others if ratio == 0.0 else np.r_[others, hinges]
+        a = m[np.ix_(at, at)] + np.diag(np.r_[np.full(len(others), 1e-6), np.full(len(at) - len(others), 1.0 / max(ratio, 1e-300))])
+        rest = float(m[k, k] - m[at, k] @ np.linalg.solve(a, m[at, k]))
+        noise = max(rest / n, NOISE_FLOOR ** 2)
+        score = -0.5 * (n * math.log(noise) + np.linalg.slogdet(a)[1] + (len(at) - len(others)) * math.log(max(ratio, 1e-300)) + rest / noise)
+        if score > best[0]:
+            best = (score, ratio * noise)
+    return best[1]
+
+
+def solve_series(upper: np.ndarray, n: int, span: int, prior: str = "laplace") -> dict:
+    """The fit in scaled units from the upper triangle of [X y]^T [X y]: ``beta``, ``sigma`` (noise), ``drift`` (variance of the
+    slope's changes per unit of time) and ``factor``, with which |x factor|^2 sigma^2 is the mean squared error of x beta."""
+    if prior not in ("laplace", "gaussian"):
+        raise ValueError(f"unknown prior {prior}")
     k = N_FEATURES
     m = np.zeros((k + 1, k + 1))
     m[np.triu_indices(k + 1)] = upper
@@ -284,25 +384,40 @@ def solve_series(upper: np.ndarray, n: int, span: int) -> tuple[np.ndarray, floa
     free[out] = 1e9
     _, rss, used = _ridge(m, free)
     sigma2 = max(rss / max(n - used, 1.0), NOISE_FLOOR ** 2)
-    # Pass 2: MAP with Gaussian priors, penalty sigma^2 / tau^2 per coefficient.
+    # Pass 2: MAP with the priors, penalty sigma^2 / tau^2 (sigma^2 / tau for the L1 form) per coefficient.
     tau = np.r_[np.full(2, TREND_PRIOR), np.full(N_CHANGEPOINTS, CHANGEPOINT_PRIOR),
                 np.full(N_YEARLY + N_WEEKLY, SEASONALITY_PRIOR)]
-    penalties = sigma2 / tau ** 2
-    penalties[out] = 1e9
-    beta, rss, used = _ridge(m, penalties)
-    beta[out] = 0.0
-    return beta, math.sqrt(max(rss / max(n - used, 1.0), NOISE_FLOOR ** 2))
-
-
-def _solve_batches(batches, level: float):
+    hinges = np.array([j for j in range(2, N_TREND) if not out[j]], int)
+    others = np.array([j for j in range(k) if not out[j] and not 2 <= j < N_TREND], int)
+    if prior == "gaussian" or not len(hinges):
+        penalties = np.where(out, 1e9, sigma2 / tau ** 2)
+        beta, rss, used = _ridge(m, penalties)
+        beta[out] = 0.0
+        sigma2 = max(rss / max(n - used, 1.0), NOISE_FLOOR ** 2)
+    else:
+        beta, sigma2 = _sparse_fit(m, n, sigma2, tau, hinges, others)
+    each = _change_variance(m, n, hinges, others) if len(hinges) else 0.0
+    drift = each * N_CHANGEPOINTS / CHANGEPOINT_RANGE
+    spread = np.where((np.arange(k) >= 2) & (np.arange(k) < N_TREND), max(each, 1e-18), tau ** 2)
+    held = np.flatnonzero(~out)
+    a = m[np.ix_(held, held)] + np.diag(sigma2 / spread[held])
+    factor = np.zeros((k, k + 1))
+    factor[np.ix_(held, held)] = np.linalg.inv(np.linalg.cholesky(a)).T
+    # the last column: how far the sparse fit lies from the likeliest one with all changes
+    likeliest = np.linalg.solve(a, m[held, k])
+    factor[held, k] = (beta[held] - likeliest) / math.sqrt(sigma2)
+    return {"beta": beta, "sigma": math.sqrt(sigma2), "drift": drift, "factor": factor}
+
+
+def _solve_batches(batches, level: float, prior: str):
     z = NormalDist().inv_cdf(0.5 + level / 2.0)
     for pdf in batches:
-        fits = [solve_series(np.asarray(upper, dtype=float), int(n), int(span))
+        fits = [solve_series(np.asarray(upper, dtype=float), int(n), int(span), prior)
                 for upper, n, span in zip(pdf["gram"], pdf["n"], pdf["span"])]
         yield pd.DataFrame({
-            "series_key": pdf["series_key"], "beta": [b.tolist() for b, _ in fits], "sigma": [s for _, s in fits], "z": z,
+            "series_key": pdf["series_key"], "beta": [f["beta"].tolist() for f in fits], "sigma": [f["sigma"] for f in fits], "z": z,
             "first_ds": pdf["first_ds"], "last_ds": pdf["last_ds"], "span": pdf["span"],
-            "scale": pdf["scale"],
+            "scale": pdf["scale"], "drift": [f["drift"] for f in fits], "factor": [f["factor"].reshape(-1).tolist() for f in fits],
         })
 
 
@@ -315,11 +430,13 @@ FIT_SCHEMA = T.StructType([
     T.StructField("last_ds", T.DateType()),
     T.StructField("span", T.IntegerType()),
     T.StructField("scale", T.DoubleType()),
+    T.StructField("drift", T.DoubleType()),
+    T.StructField("factor", T.ArrayType(T.DoubleType())),
 ])
 
 
-def fit_seasonal(series: DataFrame, level: float = INTERVAL_LEVEL) -> DataFrame:
-    """One row per series: coefficients (scaled units), sigma, z, and the series' calendar.
+def fit_seasonal(series: DataFrame, level: float = INTERVAL_LEVEL, prior: str = "laplace") -> DataFrame:
+    """One row per series: coefficients (scaled units), sigma, z, what the band needs, and the series' calendar.
     The result is one row per series; it is checkpointed so the scorers that read it (forecast,
     weekly and yearly effects) never recompute the Gram aggregation."""
     # The daily series (one row per series and day) feeds both the per-series statistics and
@@ -327,7 +444,7 @@ def fit_seasonal(series: DataFrame, level: float = INTERVAL_LEVEL) -> DataFrame:
     series = cut_lineage(series.select("series_key", "ds", "y"))
     gram = gram_by_series(series).select("series_key", "gram", "n", "first_ds", "last_ds",
                                          "span", "scale")
-    return cut_lineage(gram.mapInPandas(lambda it: _solve_batches(it, level), schema=FIT_SCHEMA))
+    return cut_lineage(gram.mapInPandas(lambda it: _solve_batches(it, level, prior), schema=FIT_SCHEMA))
 
 
 def _dot(x: list[Column], beta: Column, lo: int, hi: int) -> Column:
@@ -345,28 +462,53 @@ def _spread(df: DataFrame, rows: int) -> int:
     return max(1, df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
 
 
+def _design_rows(day: np.ndarray, start: int, span: int) -> np.ndarray:
+    """The rows of :func:`design` for epoch-days ``day``."""
+    t = (day - start) / float(span)
+    hinges = [np.maximum(t - CHANGEPOINT_RANGE * j / N_CHANGEPOINTS, 0.0) for j in range(1, N_CHANGEPOINTS + 1)]
+    waves = [f(day * (2.0 * math.pi * k / period)) for period, order in ((YEAR_DAYS, YEARLY_ORDER), (7.0, WEEKLY_ORDER))
+             for k in range(1, order + 1) for f in (np.sin, np.cos)]
+    return np.column_stack([np.ones(len(day)), t, *hinges, *waves])
+
+
+SCORED = "series_key string, day int, trend double, yearly double, weekly double, half double, is_future boolean"
+
+
+def _score_batches(batches, periods: int):
+    epoch = pd.Timestamp(EPOCH).date()
+    for pdf in batches:
+        for row in pdf.itertuples(index=False):
+            start, last = (row.first_ds - epoch).days, (row.last_ds - epoch).days
+            day = np.arange(start + row.at, min(start + row.at + DAYS_PER_CHUNK, last + periods + 1))
+            x, beta = _design_rows(day.astype(float), start, row.span), np.asarray(row.beta)
+            part = lambda lo, hi: x[:, lo:hi] @ beta[lo:hi] * row.scale
+            fitted = ((x @ np.asarray(row.factor).reshape(N_FEATURES, N_FEATURES + 1)) ** 2).sum(axis=1)
+            # changes of the slope after the history, as large and as frequent as before
+            changes = row.drift * np.maximum(x[:, 1] - 1.0, 0.0) ** 3 / 3.0
+            half = row.z * row.scale * np.sqrt(row.sigma ** 2 * (1.0 + fitted) + changes)
+            yield pd.DataFrame({"series_key": row.series_key, "day": day.astype("int32"), "trend": part(0, N_TREND),
+                                "yearly": part(N_TREND, N_TREND + N_YEARLY), "weekly": part(N_TREND + N_YEARLY, N_FEATURES),
+                                "half": half, "is_future": day > last})
+
+
 def score_seasonal(fit: DataFrame, periods: int = 90) -> DataFrame:
-    rows = fit.agg(F.sum(F.datediff("last_ds", "first_ds") + 1 + periods)).first()[0] or 0
-    cal = fit.select("*", F.explode(F.sequence("first_ds", F.date_add("last_ds", periods))).alias("ds")) \
-        .repartition(_spread(fit, rows), "series_key", "ds")
-    x = design(_epoch_day(F.col("ds")), _epoch_day(F.col("first_ds")), F.col("span"))
-    beta, scale = F.col("beta"), F.col("scale")
-    trend = _dot(x, beta, 0, N_TREND) * scale
-    yearly = _dot(x, beta, N_TREND, N_TREND + N_YEARLY) * scale
-    weekly = _dot(x, beta, N_TREND + N_YEARLY, N_FEATURES) * scale
-    scored = cal.select("series_key", "ds", trend.alias("trend"), yearly.alias("yearly"),
-                        weekly.alias("weekly"), (F.col("sigma") * F.col("z") * scale).alias("_half"),
-                        (F.col("ds") > F.col("last_ds")).alias("is_future"))
+    """Every day of every series and ``periods`` days beyond, in chunks of days spread over all cores."""
+    days = F.datediff("last_ds", "first_ds") + 1 + periods
+    rows = fit.agg(F.sum(days)).first()[0] or 0
+    chunks = fit.select("series_key", "beta", "sigma", "z", "first_ds", "last_ds", "span", "scale", "drift", "factor",
+                        F.explode(F.sequence(F.lit(0), days - 1, F.lit(DAYS_PER_CHUNK))).alias("at"))
+    chunks = chunks.repartition(min(_spread(fit, rows), max(1, -(-rows // DAYS_PER_CHUNK))), "series_key", "at")
+    scored = chunks.mapInPandas(lambda it: _score_batches(it, periods), schema=SCORED)
     yhat = F.col("trend") + F.col("yearly") + F.col("weekly")
-    return scored.select("series_key", midnight("ds").alias("ds"), yhat.alias("yhat"),
-                         (yhat - F.col("_half")).alias("yhat_lower"),
-                         (yhat + F.col("_half")).alias("yhat_upper"),
+    return scored.select("series_key", midnight(F.date_from_unix_date("day")).alias("ds"), yhat.alias("yhat"),
+                         (yhat - F.col("half")).alias("yhat_lower"),
+                         (yhat + F.col("half")).alias("yhat_upper"),
                          "trend", "yearly", "weekly", "is_future")
 
 
 def seasonal_forecast_of(series: DataFrame, periods: int = 90,
-                         level: float = INTERVAL_LEVEL) -> DataFrame:
-    return score_seasonal(fit_seasonal(series, level), periods)
+                         level: float = INTERVAL_LEVEL, prior: str = "laplace") -> DataFrame:
+    return score_seasonal(fit_seasonal(series, level, prior), periods)
 
 
 def seasonal_forecast(model: SalesModel, periods: int = 90, by: str | None = None) -> DataFrame:
@@ -402,6 +544,23 @@ def seasonality_weekly(model: SalesModel) -> DataFrame:
     return weekly_effects(fit_seasonal(daily_series(model))).drop("series_key").orderBy("day_num")
 
 
+def yearly_effects(fit: DataFrame, periods: int = 90) -> DataFrame:
+    """The yearly term of every day, in revenue units; no other term is computed."""
+    days = fit.select("series_key", "beta", "scale", F.explode(F.sequence("first_ds", F.date_add("last_ds", periods))).alias("ds"))
+    waves = _fourier(_epoch_day(F.col("ds")).cast("double"), YEAR_DAYS, YEARLY_ORDER)
+    effect = sum((w * F.col("beta")[N_TREND + i] for i, w in enumerate(waves)), F.lit(0.0)) * F.col("scale")
+    return days.select("series_key", midnight("ds").alias("ds"), effect.alias("yearly"))
+
+
 def seasonality_yearly(model: SalesModel, periods: int = 90) -> DataFrame:
-    fc = seasonal_forecast_of(daily_series(model), periods)
-    return fc.select("ds", "yearly").orderBy("ds")
+    return yearly_effects(fit_seasonal(daily_series(model)), periods).drop("series_key").orderBy("ds")
+
+
+def forecast_band_growth(model: SalesModel, periods: int = 90) -> DataFrame:
+    """Per customer state: days of history and forecast, and whether the band gets narrower (by over 1 %) between the end of the history and
+    the end of the forecast."""
+    scored = seasonal_forecast_of(daily_series(model, "customer_state"), periods)
+    width = F.col("yhat_upper") - F.col("yhat_lower")
+    return scored.groupBy("series_key").agg(
+        F.count_if(~F.col("is_future")).alias("history_days"), F.count_if("is_future").alias("future_days"),
+        (F.max_by(width, "ds") < 0.99 * F.max_by(width, F.when(~F.col("is_future"), F.col("ds")))).alias("narrows"))
