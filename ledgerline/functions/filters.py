@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 ALL_STATES = "All"
 
 
-def _as_date(value) -> dt.date | None:
+def as_date(value) -> dt.date | None:
     if value is None or isinstance(value, dt.date):
         return value if not isinstance(value, dt.datetime) else value.date()
     return dt.date.fromisoformat(str(value))  # anything but a whole ISO date is an error
@@ -40,7 +40,7 @@ class SalesFilter:
 
     def date_predicate(self, ts: str = "order_purchase_timestamp") -> Column:
         pred = F.lit(True)
-        start, end = _as_date(self.start), _as_date(self.end)
+        start, end = as_date(self.start), as_date(self.end)
         if start is not None:
             pred = pred & (F.col(ts) >= F.lit(f"{start.isoformat()} 00:00:00").cast("timestamp_ntz"))
         if end is not None:
@@ -51,7 +51,7 @@ class SalesFilter:
     def month_predicate(self, month: str = "order_month") -> Column:
         """The same range on a first-of-month DATE column (for partition pruning)."""
         pred = F.lit(True)
-        start, end = _as_date(self.start), _as_date(self.end)
+        start, end = as_date(self.start), as_date(self.end)
         if start is not None:
             pred = pred & (F.col(month) >= F.lit(start.replace(day=1)))
         if end is not None:

@@ -12,7 +12,7 @@ rating averaged per order first, then over orders.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.calendar import midnight, month_start
@@ -42,15 +42,24 @@ def _order_rows(model: SalesModel, flt: SalesFilter) -> DataFrame:
     return delivered_order_totals(model, flt)
 
 
-def kpi_cards(model: SalesModel, flt: SalesFilter = ALL, exact: bool = True) -> DataFrame:
-    rows = _order_rows(model, flt)
-    reviews = model.order_reviews.groupBy("order_id").agg(
+def review_counts(model: SalesModel) -> DataFrame:
+    """Per order: review rows, scores and their sum."""
+    return model.order_reviews.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("_rv_rows"),
         F.count("review_score").alias("_rv_n"),
         F.sum("review_score").alias("_rv_sum"),
     )
-    j = rows.join(reviews, on="order_id", how="left")
-    fan = F.greatest(F.coalesce(F.col("_rv_rows"), F.lit(0)), F.lit(1))
+
+
+def review_fan() -> Column:
+    """How often the review join repeats an item of the order."""
+    return F.greatest(F.coalesce(F.col("_rv_rows"), F.lit(0)), F.lit(1))
+
+
+def kpi_cards(model: SalesModel, flt: SalesFilter = ALL, exact: bool = True) -> DataFrame:
+    rows = _order_rows(model, flt)
+    j = rows.join(review_counts(model), on="order_id", how="left")
+    fan = review_fan()
     return j.agg(
         F.count(F.lit(1)).alias("orders"),
         distinct_count("customer_id", exact).alias("customers"),

@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.model import SalesModel
-from ledgerline.plans import clusters, cohorts, dashboard, forecast, ingest, kpis, regional, rfm, seasonal
+from ledgerline.plans import cells, clusters, cohorts, dashboard, forecast, ingest, kpis, regional, rfm, seasonal
 from ledgerline.sources.standin import standin_model
 
 ModelJob = Callable[[SalesModel], DataFrame]
@@ -74,6 +74,7 @@ MODEL_JOBS: dict[str, ModelJob] = {
     "seasonal_forecast_by_state": forecast.seasonal_forecast_by_state,
     "forecast_summary_seasonal": forecast.forecast_summary_seasonal,
     "series_moments": forecast.series_moments,
+    "forecast_band_growth": forecast.forecast_band_growth,
     "seasonality_weekly": forecast.seasonality_weekly,
     "seasonality_yearly": forecast.seasonality_yearly,
     # A9 dashboard queries (default filter: whole date range, all states)
@@ -81,6 +82,8 @@ MODEL_JOBS: dict[str, ModelJob] = {
     "state_list": dashboard.state_list,
     "kpi_cards": dashboard.kpi_cards,
     "kpi_cards_dedup": dashboard.kpi_cards_dedup,
+    "kpi_cards_cells": cells.kpi_cards_cells,
+    "kpi_cards_cells_year_states": cells.kpi_cards_cells_year_states,
     "monthly_revenue_filtered": dashboard.monthly_revenue_filtered,
     "category_revenue_filtered": dashboard.category_revenue_filtered,
     "state_revenue_filtered": dashboard.state_revenue_filtered,
