@@ -1,14 +1,16 @@
 """Benchmark decontamination: Wu-Manber multi-pattern search over word sequences.
 
 Every ``window`` consecutive words of a benchmark item form a test string (an item with fewer words
-is one test string). The alphabet is the word. For each string length ``m`` there is a shift table
-over blocks of ``b`` words: a block that ends no prefix of any string lets the search jump
+is one test string). The alphabet is the word, coded as a number. For each string length ``m`` there is a shift table
+over hashes of blocks of ``b`` words: a block that ends no prefix of any string lets the search jump
 ``m - b + 1`` words ahead; a block with shift zero selects by its hash the strings that
-end (within ``m`` words) in it, and direct comparison of the words confirms an occurrence.
+end (within ``m`` words) in it, and direct comparison of the words confirms an occurrence. A test string is a place in one array of
+all item words, so a table takes about 50 bytes per string beside its vocabulary.
 
-Size rules: benchmark items are handed to the tasks in parts of at most ``part_bytes`` of text
-(checked before anything is collected). One part is the rule; more parts make more passes over the
-documents, each from a written table, so no broadcast grows with the benchmark.
+Size rules: long items are cut into overlapping pieces of at most ``PIECE_WORDS`` words, equal pieces of one item id are taken once, and the pieces are
+handed to the tasks in parts of at most ``part_bytes`` of text; the size of every part is checked before anything is collected. One
+part is the rule; more parts make more passes over the documents, each from a written table, and a part's broadcast is
+given up after its pass, so no broadcast grows with the benchmark. A worker process builds the tables of a part once.
 
 Nulls and odd rows: null text (document or item) has no words; items without words select nothing;
 equal windows in several items count for each item; repeated documents are searched row by row;
@@ -18,11 +20,11 @@ Document columns pass through, and the results arrive in one struct column of th
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
-from collections import defaultdict
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +34,8 @@ from pyspark.sql.types import StructField, StructType
 from ledgerline.llm.common import table, written
 
 WINDOW = 10
-PART_BYTES = 32 << 20
+PART_BYTES = 8 << 20
+PIECE_WORDS = 20_000
 #: Words of lower-cased text: runs of a-z, 0-9 and everything beyond ASCII.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -43,61 +46,122 @@ def item_words(text: bytes | None) -> list[bytes]:
     return WORD.findall(text.lower()) if text else []
 
 
+_ODD, _MIX, _HALF = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
+
+
+def block_hashes(words: np.ndarray, b: int) -> np.ndarray:
+    """A 64-bit hash of every ``b`` consecutive words."""
+    n = max(0, len(words) - b + 1)
+    out = np.full(n, b, np.uint64)
+    for k in range(b):
+        out = (out ^ words[k:k + n].astype(np.uint64)) * _ODD
+        out = (out ^ (out >> _HALF)) * _MIX
+    return out ^ (out >> _HALF)
+
+
+class Strings(NamedTuple):
+    """The test strings of one length, sorted by the hashes of their last block and of the whole string."""
+    m: int
+    b: int
+    shift: np.ndarray  # by the low bits of a block's hash: words to go on
+    suffix: np.ndarray
+    whole: np.ndarray
+    place: np.ndarray  # first word in the array of all item words
+
+
 class WuManber:
     """Shift tables and suffix-hash buckets for the test strings of one benchmark part."""
 
     def __init__(self, items: list[tuple], window: int = WINDOW) -> None:
-        strings: dict[tuple, set] = defaultdict(set)  # test string -> items it comes from
-        for item_id, text in items:
+        self.vocabulary: dict[bytes, int] = {}
+        coded, code = [np.zeros(0, np.int32)], self.vocabulary
+        for _, text in items:
             w = item_words(text)
-            for i in range(max(1, len(w) - window + 1) if w else 0):
-                strings[tuple(w[i:i + window])].add(item_id)
-        by_length: dict[int, list[tuple]] = defaultdict(list)
-        for s in strings:
-            by_length[len(s)].append(s)
-        self.items = strings
-        self.tables = []
-        for m, group in sorted(by_length.items()):
-            b = min(m, 3)
-            shift: dict = {}
-            buckets: dict = defaultdict(list)
-            for s in group:
-                for end in range(b, m + 1):
-                    block = s[end - b:end]
-                    shift[block] = min(shift.get(block, m - end), m - end)
-                buckets[s[m - b:]].append(s)
-            self.tables.append((m, b, shift, dict(buckets)))
-
-    def search(self, w: list[bytes]) -> list[tuple[int, tuple]]:
-        """(start, test string) of every occurrence in the words ``w``."""
-        found = []
-        n = len(w)
-        for m, b, shift, buckets in self.tables:
-            far, end = m - b + 1, m
-            while end <= n:
-                block = tuple(w[end - b:end])
-                step = shift.get(block, far)
+            coded.append(np.fromiter((code.setdefault(x, len(code) + 1) for x in w), np.int32, len(w)))
+        self.ids = [item_id for item_id, _ in items]
+        self.words = np.concatenate(coded)
+        lengths = np.array([len(c) for c in coded[1:]], np.int64)
+        self.starts = np.cumsum(lengths) - lengths
+        self.tables: list[Strings] = []
+        for m in np.unique(np.minimum(lengths[lengths > 0], window)).tolist():
+            of = np.flatnonzero(lengths >= window if m == window else lengths == m)
+            n = lengths[of] - m + 1
+            place = np.repeat(self.starts[of] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            self.tables.append(self._strings(m, place))
+
+    def _strings(self, m: int, place: np.ndarray) -> Strings:
+        b = min(m, 3)
+        blocks = block_hashes(self.words, b)
+        shift = np.full(1 << max(10, int(4 * len(place) - 1).bit_length()), m - b + 1, np.int32)
+        mask = np.uint64(len(shift) - 1)
+        for end in range(b, m + 1):
+            np.minimum.at(shift, (blocks[place + end - b] & mask).astype(np.int64), m - end)
+        suffix, whole = blocks[place + m - b], block_hashes(self.words, m)[place]
+        order = np.lexsort((whole, suffix))
+        return Strings(m, b, shift, suffix[order], whole[order], place[order].astype(np.int32 if len(self.words) < 1 << 31 else np.int64))
+
+    def coded(self, words: list[bytes]) -> np.ndarray:
+        """Words as numbers; 0 for words that no item has."""
+        get = self.vocabulary.get
+        return np.fromiter((get(x, 0) for x in words), np.int32, len(words))
+
+    def search(self, words: list[bytes]) -> list[tuple[int, int, list[int]]]:
+        """(start, length, numbers of the items) of every occurrence in ``words``."""
+        text, found = self.coded(words), []
+        for m, b, shift, suffix, whole, place in self.tables:
+            if len(text) < m:
+                continue
+            blocks = block_hashes(text, b)
+            steps = shift[(blocks & np.uint64(len(shift) - 1)).astype(np.int64)].tolist()
+            end, strings = m, None
+            while end <= len(text):
+                step = steps[end - b]
                 if step:
                     end += step
                     continue
-                start = end - m
-                here = None
-                for s in buckets[block]:
-                    here = here or tuple(w[start:end])
-                    if s == here:
-                        found.append((start, s))
+                low, high = np.searchsorted(suffix, blocks[end - b], "left"), np.searchsorted(suffix, blocks[end - b], "right")
+                if low < high:
+                    strings = block_hashes(text, m) if strings is None else strings
+                    first, last = (low + np.searchsorted(whole[low:high], strings[end - m], side) for side in ("left", "right"))
+                    at = place[first:last].astype(np.int64)
+                    same = at[(self.words[at[:, None] + np.arange(m)] == text[end - m:end]).all(axis=1)]
+                    if len(same):
+                        found.append((end - m, m, np.unique(np.searchsorted(self.starts, same, "right") - 1).tolist()))
                 end += 1
         return found
 
+    def nbytes(self) -> int:
+        """Memory of the arrays, and about that of the vocabulary."""
+        return self.words.nbytes + sum(t.shift.nbytes + t.suffix.nbytes + t.whole.nbytes + t.place.nbytes for t in self.tables) + sum(
+            len(w) + 130 for w in self.vocabulary)
+
+
+def item_pieces(text: bytes, window: int) -> list[bytes]:
+    """An item as texts of at most ``PIECE_WORDS`` words (and a window) whose windows are those of the item."""
+    w = item_words(text)
+    if len(w) <= PIECE_WORDS + window - 1:
+        return [b" ".join(w)]
+    return [b" ".join(w[at:at + PIECE_WORDS + window - 1]) for at in range(0, len(w) - window + 1, PIECE_WORDS)]
+
+
+def benchmark_parts(benchmark: DataFrame, item_id: str, text: str, window: int, part_bytes: int) -> list[DataFrame]:
+    """The items' pieces (id, text), split by hash into parts of at most ``part_bytes`` of text (or one piece)."""
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.col(text).cast("binary").alias("text"))
+
+    def cut(batches):
+        for batch in batches:
+            found = [(i, p) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for p in item_pieces(t, window) if p]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.binary())], names=["id", "text"])
 
-def benchmark_parts(benchmark: DataFrame, item_id: str, text: str, part_bytes: int) -> list[DataFrame]:
-    """The items split by hash into parts of about ``part_bytes`` of text at most."""
-    total = benchmark.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
-    parts = max(1, math.ceil(1.25 * total / part_bytes) if total > part_bytes else 1)
-    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(text).cast("binary").alias("text"))
-    if parts == 1:
-        return [items]
-    return [items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k) for k in range(parts)]
+    pieces = written(items.mapInArrow(cut, "id string, text binary").distinct().withColumn("h", F.xxhash64("id", "text")), "pieces")
+    total, largest = pieces.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.max(F.octet_length("text")), F.lit(0))).first()
+    parts = max(1, math.ceil(total / part_bytes))
+    while parts > 1:
+        most = pieces.groupBy(F.pmod("h", F.lit(parts))).agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n")).first()[0]
+        if most <= max(part_bytes, largest):
+            break
+        parts = math.ceil(1.2 * parts) + 1
+    return [pieces.filter(F.pmod("h", F.lit(parts)) == k).select("id", "text") for k in range(parts)]
 
 
 FOUND = "n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
@@ -110,16 +174,17 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     items (sorted ids of the items with an occurring window). A narrow pass, no shuffle."""
     spark = docs.sparkSession
     marked = docs
-    parts = benchmark_parts(benchmark, item_id, item_text, part_bytes)
+    parts = benchmark_parts(benchmark, item_id, item_text, window, part_bytes)
     for k, part in enumerate(parts):
-        rows = [(r["id"] if r["id"] is not None else "", bytes(r["text"] or b"")) for r in part.collect()]
-        marked = _search_part(marked, spark.sparkContext.broadcast(rows), text, out, window, first=k == 0)
+        held = spark.sparkContext.broadcast({"items": [(r["id"], bytes(r["text"])) for r in part.collect()]})
+        marked = _search_part(marked, held, text, out, window, first=k == 0)
         if k + 1 < len(parts):
             marked = written(marked, "leaks")
+            held.unpersist()
     return marked
 
 
-def _search_part(docs: DataFrame, items, text: str, out: str, window: int, first: bool) -> DataFrame:
+def _search_part(docs: DataFrame, held, text: str, out: str, window: int, first: bool) -> DataFrame:
     kept = [f"`{c}`" for c in docs.columns if c != out]
     source = docs.select(F.struct(*kept).alias("row"), F.col(text).cast("binary").alias("bytes"),
                          *([] if first else [F.col(out).alias("before")]))
@@ -127,16 +192,19 @@ def _search_part(docs: DataFrame, items, text: str, out: str, window: int, first
     found_type = to_arrow_type(schema["found"].dataType)
 
     def run(batches):
-        tables = WuManber(items.value, window)
+        part = held.value  # stays in the worker process, and the tables with it
+        if "tables" not in part:
+            part["tables"] = WuManber(part["items"], window)
+        tables = part["tables"]
         for batch in batches:
             found = []
             before = batch.column(2) if not first else None
             for i, value in enumerate(batch.column(1)):
                 w = item_words(value.as_py())
                 spans, ids = ([], set()) if first else _open(before[i].as_py())
-                for start, s in tables.search(w):
-                    spans.append((start, start + len(s)))
-                    ids |= tables.items[s]
+                for start, length, items in tables.search(w):
+                    spans.append((start, start + length))
+                    ids.update(tables.ids[k] for k in items)
                 found.append({"n_words": len(w), "spans": merged(spans), "items": sorted(ids)})
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, type=found_type)], names=["row", "found"])
 

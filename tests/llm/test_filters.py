@@ -66,3 +66,37 @@ def test_decontamination_edges(spark):
     assert decontaminate.mark_contamination(empty_docs(spark), bench).count() == 0
     none = decontaminate.mark_contamination(docs, bench.limit(0)).select(*decontaminate.digest_columns())
     assert none.filter("contaminated or n_hit > 0 or n_items > 0").count() == 0
+
+
+def test_long_and_equal_items(spark, monkeypatch):
+    """An item longer than a piece, thousands of equal items, repeated rows, and parts that hold one piece each."""
+    rnd = random.Random(5)
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 50)
+    words = [f"w{rnd.randrange(400)}" for _ in range(700)]
+    same = " ".join(f"same{k}" for k in range(12))
+    items = [("long", " ".join(words)), ("long", " ".join(words)), *((f"e{k:05d}", same) for k in range(10_000)), ("short", "only three words")]
+    docs = [(0, " ".join(words[40:65])), (1, " ".join(words[690:])), (2, same.upper() + "!"), (3, " ".join(words)), (4, "Only, three; words"), (5, "w1 " * 500), (6, None)]
+    bench, df = spark.createDataFrame(items, "item_id string, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    want = {0: (25, {"long"}), 1: (10, {"long"}), 2: (12, {f"e{k:05d}" for k in range(10_000)}), 3: (700, {"long"}), 4: (3, {"short"}), 5: (0, set()), 6: (0, set())}
+    for part_bytes in (1 << 20, 200_000):
+        rows = decontaminate.mark_contamination(df, bench, part_bytes=part_bytes).select("doc_id", "leaks").collect()
+        got = {r["doc_id"]: (sum(s["end"] - s["start"] for s in r["leaks"]["spans"]), set(r["leaks"]["items"])) for r in rows}
+        assert got == want
+
+
+def test_parts_are_checked(spark):
+    from pyspark.sql import functions as F
+    bench = spark.createDataFrame([(k, "x " * (500 if k % 7 else 4000) + str(k)) for k in range(60)], "item_id long, text string")
+    parts = decontaminate.benchmark_parts(bench, "item_id", "text", 10, 20_000)
+    sizes = [p.agg(F.sum(F.octet_length("text"))).first()[0] or 0 for p in parts]
+    assert len(parts) > 2 and max(sizes) <= 20_000 and sum(sizes) == bench.agg(F.sum(F.length("text"))).first()[0]
+
+
+def test_tables_of_a_part_stay_small():
+    rnd = random.Random(6)
+    text = " ".join(f"{rnd.randrange(50_000):x}" for _ in range(200_000)).encode()
+    tables = decontaminate.WuManber([("a", text)])
+    assert tables.nbytes() < 40 * len(text)
+    at = rnd.randrange(199_000)
+    words = decontaminate.item_words(text)
+    assert (0, 10, [0]) in tables.search(words[at:at + 10]) and not tables.search(words[at:at + 9])
