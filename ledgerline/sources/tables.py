@@ -13,13 +13,16 @@ The root is ``spark.ledgerline.tables.dir`` if set, otherwise ``ledgerline`` in
 
 from __future__ import annotations
 
+import random
 import time
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 ORPHAN_DAYS = 7
+SWITCH_ATTEMPTS = 8
 ROOT_SETTING = "spark.ledgerline.tables.dir"
 
 
@@ -71,15 +74,22 @@ def write_table(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
     except Exception:
         fs.delete(hadoop.fs.Path(f"{folder}/{version}"), True)
         raise
-    before = _versions(spark, name, root)  # read after the write: another writer may have switched meanwhile
-    out = fs.create(fresh, True)
-    out.writeBytes("".join(v + "\n" for v in (version, *before[:1])))
-    out.close()
     option = getattr(hadoop.fs, "Options$Rename")
     options = spark.sparkContext._gateway.new_array(option, 1)
     options[0] = option.OVERWRITE
     context = hadoop.fs.FileContext.getFileContext(fresh.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    context.rename(fs.makeQualified(fresh), fs.makeQualified(hadoop.fs.Path(f"{folder}/_current")), options)
+    for attempt in range(SWITCH_ATTEMPTS):  # a store without atomic renames refuses one of two switches at the same moment
+        before = _versions(spark, name, root)  # read after the write: another writer may have switched meanwhile
+        out = fs.create(fresh, True)
+        out.writeBytes("".join(v + "\n" for v in (version, *before[:1])))
+        out.close()
+        try:
+            context.rename(fs.makeQualified(fresh), fs.makeQualified(hadoop.fs.Path(f"{folder}/_current")), options)
+            break
+        except Py4JJavaError:
+            if attempt + 1 == SWITCH_ATTEMPTS:
+                raise
+            time.sleep(0.1 * 2 ** attempt * random.random())
     for old in before[1:]:
         fs.delete(hadoop.fs.Path(f"{folder}/{old}"), True)
     named, limit = {version, *before}, (time.time() - ORPHAN_DAYS * 86_400) * 1000
