@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,3 +43,14 @@ def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
     return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def free_names(kept: list[str], taken: Iterable[str]) -> list[str]:
+    """Names for a caller's columns beside an operator's own: those that clash (in any case) get underscores at their end until they don't."""
+    used, out = {t.lower() for t in taken}, []
+    for name in kept:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out

@@ -172,6 +172,15 @@ def _seed(*parts) -> int:
     return int.from_bytes(hashlib.sha256(repr(parts).encode()).digest()[:8], "big")
 
 
+def with_spread_hashes(rows: DataFrame, block: int) -> DataFrame:
+    """Rows (rid, h, ...) whose hash ``h`` is shared by more than ``block`` rows (a document repeated with its id) get one of their own, so
+    that they spread over blocks like others. Equal rows are interchangeable."""
+    crowds = rows.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > block).select(F.col("h").alias("crowd"))
+    joined = rows.join(written(crowds, "crowds"), rows["h"] == F.col("crowd"), "left")
+    own = F.when(F.col("crowd").isNull(), F.col("h")).otherwise(F.xxhash64("h", "rid"))
+    return joined.withColumn("h", own).drop("crowd")
+
+
 def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
                 weights: Sequence[float] = WEIGHTS, max_repeats: float = MAX_REPEATS, block: int = BLOCK,
                 seed: int = SEED) -> DataFrame:
@@ -180,6 +189,7 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     own = F.xxhash64(F.col(doc_id), F.col(text), F.col(source))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"), own.alias("h"))
     rows = written(rows.withColumn("rid", F.monotonically_increasing_id()), "sizes")
+    rows = with_spread_hashes(rows, block)
     targets = written(source_targets(rows, weights, max_repeats), "targets")
     sid = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # null has a name of its own
     rates = targets.withColumn("sid", sid).withColumn(

@@ -14,7 +14,7 @@ distance from ``min_chars`` characters on. Shorter texts are judged by the base
 
 Nulls and odd rows: null or wordless text has no words and fails the base rule; a null or unlisted language
 has its own pooled class reference and no word reference; repeated rows are judged alike; an empty table gives no rows;
-all columns pass through next to one struct column of the caller's naming.
+the caller chooses which columns go along, and those named like a column of the report get an underscore at their end.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import SPACES, table, words, written
+from ledgerline.llm.common import SPACES, free_names, table, words, written
 
 # The most frequent function words of each language.
 COMMON_WORDS = {
@@ -94,9 +94,9 @@ def language(lang: Column, common: Mapping[str, Sequence[str]]) -> Column:
 
 def features(docs: DataFrame, keep: Sequence[str], text: str, lang: str, limits: Limits,
              common: Mapping[str, Sequence[str]]) -> DataFrame:
-    """``keep`` columns, base counts, and the histograms ``class_counts`` and ``word_counts`` (its last
+    """``row`` (the ``keep`` columns), base counts, and the histograms ``class_counts`` and ``word_counts`` (its last
     bin is all other words)."""
-    df = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text), F.lit("")).alias("__text"),
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("__text"),
                      language(F.col(lang), common).alias("__lang"))
     df = df.withColumn("__words", words(F.col("__text")))
     df = df.withColumn("__joined", F.array_join("__words", "  "))
@@ -132,7 +132,7 @@ def features(docs: DataFrame, keep: Sequence[str], text: str, lang: str, limits:
     df = df.withColumn("word_counts", F.concat("__found", F.array(rest)))
     df = df.withColumn("base_failed", (F.col("n_words") < limits.base_words) | (
         100 * F.col("n_repeat_words") > limits.base_repeat_percent * F.col("n_words")))
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col("__lang").alias("ref_lang"), "n_words", "word_chars", "n_symbols",
+    return df.select("row", F.col("__lang").alias("ref_lang"), "n_words", "word_chars", "n_symbols",
                      "n_dup_lines", "n_repeat_words", "base_failed", "class_counts", "word_counts")
 
 
@@ -224,7 +224,9 @@ def quality_report(docs: DataFrame, keep: Sequence[str], text: str = "text", lan
     """``keep`` columns with counts, distances and the verdict. The texts are read once: the histograms are
     written as a small table, pooled, and judged against the pool."""
     feats = written(features(docs, keep, text, lang, limits, common), "quality")
-    return judge(feats, references(feats, common), limits)
+    out = judge(feats, references(feats, common), limits)
+    own = [c for c in out.columns if c != "row"]
+    return out.select(*[F.col("row")[c].alias(free) for c, free in zip(keep, free_names(list(keep), own))], *own)
 
 
 def op9_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

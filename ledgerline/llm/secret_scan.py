@@ -10,7 +10,7 @@ identifiers, long words and numbers, from a seeded rule. Hexadecimal strings are
 
 Nulls and odd rows: null or empty text has no candidates; a text may be of any length (its candidates are
 extracted in place, one row each); equal candidates and repeated rows each give their own findings; an empty
-table gives no rows; the caller chooses which columns go along, so names can't clash.
+table gives no rows; the caller chooses which columns go along, and those named like a column of the findings get an underscore at their end.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import table, written
+from ledgerline.llm.common import free_names, table, written
 
 MIN_LENGTH = 16
 THRESHOLD = 0.5
@@ -66,8 +66,9 @@ def candidates(docs: DataFrame, keep: Sequence[str | Column], text: str = "text"
     pieces = F.split(F.col(text), pattern)
     near = F.transform(pieces, lambda p: F.struct(F.right(p, F.lit(48)).alias("tail"), F.left(p, F.lit(16)).alias("head")))
     found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-    df = hit.select(*keep, found.alias("__found"), near.alias("__near"))
-    kept = [c for c in df.columns if not c.startswith("__")]
+    df = hit.select(F.struct(*keep).alias("__row"), found.alias("__found"), near.alias("__near"))
+    kept = df.schema["__row"].dataType.names
+    named = [F.col("__row")[c].alias(free) for c, free in zip(kept, free_names(kept, ("nth", "before", "candidate", "after", "score", "is_secret", *FEATURES)))]
     last = lambda a, b: F.right(F.concat(a, b), F.lit(48))
     moved = lambda c, k: F.slice(F.concat(F.array_repeat(F.lit(""), k), F.col(c)), F.lit(1), F.size(c))
     # the text up to the end of each candidate, by doubling: one, two, four ... candidates with what is before each
@@ -81,8 +82,7 @@ def candidates(docs: DataFrame, keep: Sequence[str | Column], text: str = "text"
     rows = F.zip_with(F.zip_with("__found", "__before", lambda c, t: F.struct(c.alias("candidate"), t.alias("before"))),
                       F.slice("__near", F.lit(2), F.size("__found")),
                       lambda c, p: F.struct(c["before"], c["candidate"], p["head"].alias("after")))
-    return df.select(*[F.col(f"`{c}`") for c in kept], F.posexplode(rows).alias("nth", "__one")).select(
-        *[F.col(f"`{c}`") for c in kept], "nth", "__one.*")
+    return df.select("__row", F.posexplode(rows).alias("nth", "__one")).select(*named, "nth", "__one.*")
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def score(found: DataFrame, forest: RandomForestClassificationModel, threshold:
     forest = forest.copy().setFeaturesCol("__features").setProbabilityCol("__probability").setRawPredictionCol("").setPredictionCol("")
     scored = forest.transform(rows)
     probability = vector_to_array("__probability")[1]
-    return scored.select(*found.columns, probability.alias("score"), (probability >= threshold).alias("is_secret"))
+    return scored.select(*[F.col(f"`{c}`") for c in found.columns], probability.alias("score"), (probability >= threshold).alias("is_secret"))
 
 
 def redact(docs: DataFrame, forest: RandomForestClassificationModel, text: str = "text", mask: str = MASK,

@@ -38,6 +38,7 @@ SHINGLE = 3
 MAX_BITS = 2
 JOIN_LIMIT = 16
 CHUNK = 1 << 16
+ROWS_PER_TASK = 2_000_000  # of (fingerprint, variant)
 BROADCAST_ROWS = 500_000  # of (key, count): about 20 MB
 
 
@@ -108,7 +109,9 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, join_limit: int
     is that of all pairs within ``max_bits`` bits."""
     if max_bits < 2 or max_bits % 2:
         raise ValueError("max_bits must be even and positive")  # the ball radius is half of it
-    keys = fps.select("fp", F.explode(variants(F.col("fp"), max_bits)).alias("key"))
+    # fingerprints are few bytes, but each makes many rows: they are dealt out by the rows to come
+    parts = max(fps.sparkSession.sparkContext.defaultParallelism, -(-fps.count() * 64 // ROWS_PER_TASK))
+    keys = fps.repartition(parts).select("fp", F.explode(variants(F.col("fp"), max_bits)).alias("key"))
     sizes = written(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "variants")
     # few variants are shared: where their table is small it goes to the keys, otherwise both are shuffled
     found = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes

@@ -68,3 +68,22 @@ def test_edges(spark):
     assert out.columns == ["doc_id", "source", "size", "source_size", "target", "copies", "taken"]
     assert out.count() == df.count() and out.filter("size = 0 and taken <> 0").count() == 0
     assert cube_mix.mix_sources(empty_docs(spark)).count() == 0
+
+
+def test_repeated_rows_spread_over_blocks(spark, monkeypatch):
+    """A third of all rows are one document repeated with its id: no block holds many more than ``block`` rows."""
+    from pyspark.sql import functions as F
+    rows = [(k, "w " * (1 + k % 40), f"s{k % 3}") for k in range(2000)] + [(7, "same text of five words", "s0")] * 1000
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    largest, plain = [], cube_mix.flight_level
+
+    def level(units, n, seed):
+        block = F.pmod(F.xxhash64(F.lit(seed), F.lit(n), "h"), F.col("blocks"))
+        largest.append(units.groupBy("sid", block).count().agg(F.max("count")).first()[0] or 0)
+        return plain(units, n, seed)
+
+    monkeypatch.setattr(cube_mix, "flight_level", level)
+    out = cube_mix.mix_sources(df, block=100).toPandas()
+    assert len(out) == 3000 and max(largest) <= 3 * 100
+    by = out.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert (abs(by.taken - by.target) <= 0.01 * by.target + 60).all() and (out.taken <= 3 * out["size"]).all()

@@ -99,3 +99,9 @@ def test_empty_and_native(spark):
     assert quality.quality_report(empty_docs(spark), ["doc_id"]).count() == 0
     plan = quality.features(edge_docs(spark), ["doc_id"], "text", "lang", quality.Limits(), quality.COMMON_WORDS)
     assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clashing_columns_stay(spark):
+    df = spark.createDataFrame([(1, prose(80, 1), "en", "mine", 5, "x")], "doc_id long, text string, lang string, kept string, n_words int, __text string")
+    row = quality.quality_report(df, ["doc_id", "kept", "n_words", "__text"]).first()
+    assert (row["doc_id"], row["kept_"], row["n_words_"], row["__text"]) == (1, "mine", 5, "x") and row["n_words"] == 80 and row["kept"] in (True, False)

@@ -96,3 +96,11 @@ def test_empty_and_native(spark, forest):
     assert secret_scan.redact(empty_docs(spark), forest[0]).count() == 0
     plan = secret_scan.score(secret_scan.candidates(documents(spark), ["doc_id"]), forest[0])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_clashing_columns_stay(spark, forest):
+    df = spark.createDataFrame([(1, 'token = "abcdef0123456789abcdef0123456789"', "b", 3, 0.5, "t")],
+                               "doc_id long, text string, before string, nth int, Score double, __tag string")
+    row = secret_scan.score(secret_scan.candidates(df, ["doc_id", "before", "nth", "Score", "__tag"]), forest[0]).first()
+    assert (row["before_"], row["nth_"], row["Score_"], row["__tag"]) == ("b", 3, 0.5, "t")
+    assert row["nth"] == 0 and row["before"].endswith('token = "') and row["score"] >= 0
