@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
@@ -67,13 +67,17 @@ def restrict_to_customers(df: DataFrame, model: SalesModel, flt: SalesFilter) ->
 UNIT_DIGITS, UNIT_DIGITS_ANSI = 14, 16
 
 
+def _ansi(items: DataFrame) -> bool:
+    return items.sparkSession.conf.get("spark.sql.ansi.enabled", "false") == "true"
+
+
 def _unit_scales(items: DataFrame, *cols: str) -> list[int] | None:
     """The scales of the money columns if every amount, written at the largest of them, has few
     enough digits to be summed as an integer; otherwise None."""
     types = [items.schema[c].dataType for c in cols]
     if not all(isinstance(t, DecimalType) for t in types):
         return None
-    ansi = items.sparkSession.conf.get("spark.sql.ansi.enabled", "false") == "true"
+    ansi = _ansi(items)
     common = max(t.scale for t in types)
     most = max(t.precision - t.scale + common for t in types)
     return [t.scale for t in types] if most <= (UNIT_DIGITS_ANSI if ansi else UNIT_DIGITS) else None
@@ -96,11 +100,19 @@ def order_totals(items: DataFrame) -> DataFrame:
         sp, sf = scales
         sg = max(sp, sf)
         units = lambda c, s: (F.col(c) * F.lit(10 ** s)).cast("bigint")
-        sums = [F.sum(units("price", sp)).alias("_net_u"),
-                F.sum(units("freight_value", sf)).alias("_freight_u"),
-                F.sum(units("price", sg) + units("freight_value", sg)).alias("_gross_u")]
-        back = lambda c, s: (F.col(c).cast("decimal(20,0)") *
-                             F.lit(Decimal(1).scaleb(-s))).alias(c[1:-2])
+        # without ANSI arithmetic a plain sum would wrap unseen: a checked one gives null, which is an error below
+        total = F.sum if _ansi(items) else F.try_sum
+        sums = [total(units("price", sp)).alias("_net_u"),
+                total(units("freight_value", sf)).alias("_freight_u"),
+                total(units("price", sg) + units("freight_value", sg)).alias("_gross_u")]
+
+        def back(c: str, s: int) -> Column:
+            value = F.col(c)
+            if not _ansi(items):
+                too_large = F.raise_error(F.lit("the amounts of an order exceed 64 bits")).cast("bigint")
+                value = F.when(value.isNull() & (F.col(f"{c[1:-2]}_n") > 0), too_large).otherwise(value)
+            return (value.cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-s))).alias(c[1:-2])
+
         post = [back("_net_u", sp), back("_freight_u", sf), back("_gross_u", sg)]
     gross = F.col("price") + F.col("freight_value")
     agg = items.groupBy("order_id").agg(

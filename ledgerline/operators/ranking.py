@@ -13,7 +13,8 @@ rank is built the way a distributed sort is:
 4. ``rank = offset + position in partition``; n is a scalar subquery over the counts.
 
 Order statistics need no ranks of all rows: :func:`~ledgerline.operators.selection.rows_at_ranks` finds the rows at given
-ranks (tile boundaries, quantile edges) by counting, without a sort.
+ranks (tile boundaries, quantile edges) by counting, without a sort. :func:`global_rank`, :func:`ntile` and :func:`quantile_edges` stay for
+callers who want the rank, tile or edges of a frame of their own, where every row needs its number.
 """
 
 from __future__ import annotations

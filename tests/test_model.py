@@ -44,3 +44,26 @@ def test_customer_key_is_a_choice(spark):
     assert {r.customer_id: r.frequency for r in rfm.rfm_base(keyed).collect()} == {"ann": 2, "bob": 1}
     assert {(r.customer_id, r.month_number) for r in cohorts.cohort_activity(keyed).collect()} == {("ann", 0), ("ann", 2), ("bob", 0)}
     assert {r.state: r.unique_customers for r in regional.state_revenue(keyed).collect()} == {"SP": 2}
+
+
+def test_sums_of_an_order_never_wrap(spark):
+    """Amounts of 14 digits: 46,000 items of an order pass 64 bits; an error with and without ANSI arithmetic."""
+    from decimal import Decimal
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    from ledgerline.operators.facts import order_totals
+    money = F.lit(Decimal("999999999999.99")).cast("decimal(14,2)")
+    items = lambda n: spark.range(n).select(F.lit("o").alias("order_id"), money.alias("price"), money.alias("freight_value"))
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        for ansi in ("true", "false"):
+            spark.conf.set("spark.sql.ansi.enabled", ansi)
+            with pytest.raises(Exception):
+                order_totals(items(60_000)).collect()
+            assert order_totals(items(1000)).first()["gross"] == Decimal("1999999999999.98") * 1000
+            none = items(2).withColumns({"price": F.lit(None).cast("decimal(14,2)"), "freight_value": F.lit(None).cast("decimal(14,2)")})
+            assert order_totals(none).first()["gross"] is None
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
