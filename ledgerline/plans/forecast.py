@@ -75,6 +75,31 @@ def series_span(model: SalesModel) -> DataFrame:
         midnight(F.max("ds")).alias("last_day"))
 
 
+FILLS = ("zero", "last")
+
+
+def on_calendar(series: DataFrame, fill: str | None = None) -> DataFrame:
+    """The series with a row for every calendar day from its first to its last one: days without a value (none, or null) get 0
+    (``zero``) or the last value before them (``last``), and ``filled`` tells them from the others. Without ``fill`` the series stays as it is."""
+    if fill is None:
+        return series
+    if fill not in FILLS:
+        raise ValueError(f"fill must be one of {FILLS}, not {fill!r}")
+    spine = series.groupBy(F.col("series_key").alias("_key")).agg(F.min("ds").alias("_first"), F.max("ds").alias("_last")).select(
+        "_key", F.explode(F.sequence("_first", "_last")).alias("_day"))
+    days = spine.join(series, F.col("_key").eqNullSafe(F.col("series_key")) & (F.col("_day") == F.col("ds")), "left")
+    if fill == "zero":
+        value = F.coalesce("y", F.lit(0).cast(series.schema["y"].dataType))
+    else:
+        value = F.last("y", ignorenulls=True).over(Window.partitionBy("_key").orderBy("_day"))
+    return days.select(F.col("_key").alias("series_key"), F.col("_day").alias("ds"), value.alias("y"), F.col("y").isNull().alias("filled"))
+
+
+def daily_revenue_filled(model: SalesModel, fill: str = "zero") -> DataFrame:
+    """Revenue of every calendar day, also of days without orders."""
+    return on_calendar(daily_series(model), fill).select(midnight("ds").alias("ds"), F.col("y").cast("double").alias("y"), "filled").orderBy("ds")
+
+
 # ------------------------------------------------------------------ moving-average forecast
 
 def moving_average_from_series(series: DataFrame, periods: int = 90, window: int = 30,
@@ -103,8 +128,9 @@ def moving_average_from_series(series: DataFrame, periods: int = 90, window: int
     return history.unionByName(future, allowMissingColumns=True)
 
 
-def moving_average_forecast(model: SalesModel, periods: int = 90) -> DataFrame:
-    fc = moving_average_from_series(daily_series(model), periods)
+def moving_average_forecast(model: SalesModel, periods: int = 90, fill: str | None = None) -> DataFrame:
+    """``fill``: gaps of the calendar are filled first (:func:`on_calendar`), so the mean is that of the last 30 days instead of rows."""
+    fc = moving_average_from_series(on_calendar(daily_series(model), fill).select("series_key", "ds", "y"), periods)
     return fc.select(midnight("ds").alias("ds"), "yhat", "yhat_lower", "yhat_upper").orderBy("ds")
 
 
@@ -511,8 +537,8 @@ def seasonal_forecast_of(series: DataFrame, periods: int = 90,
     return score_seasonal(fit_seasonal(series, level, prior), periods)
 
 
-def seasonal_forecast(model: SalesModel, periods: int = 90, by: str | None = None) -> DataFrame:
-    return seasonal_forecast_of(daily_series(model, by), periods).drop("is_future")
+def seasonal_forecast(model: SalesModel, periods: int = 90, by: str | None = None, fill: str | None = None) -> DataFrame:
+    return seasonal_forecast_of(on_calendar(daily_series(model, by), fill), periods).drop("is_future")
 
 
 def series_moments(model: SalesModel) -> DataFrame:

@@ -65,6 +65,7 @@ MODEL_JOBS: dict[str, ModelJob] = {
     "feature_variance": clusters.feature_variance,
     # A8 time series and forecast
     "daily_revenue": forecast.daily_revenue,
+    "daily_revenue_filled": forecast.daily_revenue_filled,
     "series_span": forecast.series_span,
     "moving_average_forecast": forecast.moving_average_forecast,
     "forecast_summary": forecast.forecast_summary,

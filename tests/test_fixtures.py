@@ -156,3 +156,27 @@ def test_known_values_sf001(model_check):
         F.col("yhat_lower").isNotNull()).orderBy("ds").first()
     assert str(first_future.ds.date()) == "2001-08-01"
     assert abs(first_future.yhat - 583711.7706666667) < 1e-6
+
+
+def test_calendar_gaps(spark):
+    import datetime as dt
+    from decimal import Decimal
+
+    import pytest
+
+    from ledgerline.plans import forecast
+    day = lambda k: dt.date(2020, 2, 27) + dt.timedelta(days=k)
+    rows = [("a", day(0), Decimal("5.00")), ("a", day(3), Decimal("7.50")), ("a", day(4), None), ("b", day(1), Decimal("1.00")), (None, day(2), Decimal("2.00")),
+            (None, day(4), Decimal("3.00"))]
+    series = spark.createDataFrame(rows, "series_key string, ds date, y decimal(18,2)")
+    show = lambda fill: sorted(((r.series_key or "", (r.ds - day(0)).days, float(r.y), r.filled) for r in forecast.on_calendar(series, fill).collect()))
+    assert show("zero") == [("", 2, 2.0, False), ("", 3, 0.0, True), ("", 4, 3.0, False), ("a", 0, 5.0, False), ("a", 1, 0.0, True), ("a", 2, 0.0, True),
+                            ("a", 3, 7.5, False), ("a", 4, 0.0, True), ("b", 1, 1.0, False)]
+    assert show("last") == [("", 2, 2.0, False), ("", 3, 2.0, True), ("", 4, 3.0, False), ("a", 0, 5.0, False), ("a", 1, 5.0, True), ("a", 2, 5.0, True),
+                            ("a", 3, 7.5, False), ("a", 4, 7.5, True), ("b", 1, 1.0, False)]
+    assert forecast.on_calendar(series) is series
+    with pytest.raises(ValueError):
+        forecast.on_calendar(series, "mean")
+    level = lambda fill: forecast.moving_average_from_series(forecast.on_calendar(series, fill).select("series_key", "ds", "y"), 1, window=3).filter(
+        "is_future and series_key = 'a'").first().yhat
+    assert level(None) is None and level("zero") == 2.5 and abs(level("last") - 20 / 3) < 1e-9
