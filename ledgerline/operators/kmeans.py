@@ -11,7 +11,8 @@ change a bit. A model is a pair (k, start); all of them share every pass over th
 * ``silhouettes``: squared-Euclidean silhouette of several models from their cluster sums, one pass.
 
 Points travel in blocks (one binary row per Arrow batch), written once as a table in the shared folder and kept in memory while passes run; a pass
-sends one row per model and cluster and partition, merged by Spark. The driver holds centres, never points.
+sends one row per model and cluster and partition. Those of few partitions go to the driver as they are (at most ``DRIVER_MERGE`` times the number of
+centres), those of many are merged by Spark first; sums are integers, so both ways agree. The driver holds centres, never points.
 
 Rows with a null feature or a null key are an error. Repeated rows count each. Fewer distinct points than k leave
 clusters empty; an empty table has no centres and is an error.
@@ -36,6 +37,7 @@ EXACT_BITS = 50  # a squared distance fits a double's 53 bits with room for the
 MAX_SHIFT = 20  # binary places of a feature at most
 SILHOUETTE_SHIFT = 30
 ROWS_PER_PARTITION = 250_000
+DRIVER_MERGE = 32  # partitions whose rows the driver merges itself
 MAX_ITER = 300
 TOL = 1e-4
 
@@ -47,6 +49,7 @@ class Points:
     dims: int
     shift: int
     rows: int
+    parts: int = 1 << 30
 
     @property
     def one(self) -> int:
@@ -104,7 +107,7 @@ def fixed_points(df: DataFrame, key: str, features: Sequence[Column]) -> Points:
     parts = max(1, -(-rows // ROWS_PER_PARTITION))
     path = scratch_path(df.sparkSession, "points")
     whole.repartition(parts).mapInArrow(pack, "keys binary, values binary").write.parquet(path)
-    return Points(df.sparkSession.read.schema("keys binary, values binary").parquet(path), dims, shift, rows)
+    return Points(df.sparkSession.read.schema("keys binary, values binary").parquet(path), dims, shift, rows, parts)
 
 
 @contextmanager
@@ -159,9 +162,14 @@ def seeded_centres(points: Points, starts: Sequence[int], k: int) -> dict[int, n
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["start", "race", "key", *names])
 
-        found = points.blocks.mapInArrow(draw, ddl).groupBy("start").agg(F.min(F.struct("race", "key", *names)).alias("w"))
-        for row in found.collect():
-            chosen[row["start"]].append(tuple(row["w"][n] for n in names))
+        found = points.blocks.mapInArrow(draw, ddl)
+        if points.parts > DRIVER_MERGE:
+            found = found.groupBy("start").agg(F.min(F.struct("race", "key", *names)).alias("w")).select("start", "w.*")
+        won: dict[int, tuple] = {}
+        for start, *draw_row in found.collect():
+            won[start] = min(won.get(start, tuple(draw_row)), tuple(draw_row))
+        for start, draw_row in won.items():
+            chosen[start].append(draw_row[2:])
     return {s: np.array(c, np.float64) for s, c in chosen.items()}
 
 
@@ -193,11 +201,13 @@ def cluster_sums(points: Points, models: Sequence[np.ndarray]) -> list[dict[str,
         used = np.flatnonzero(totals[0])
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), *(pa.array(t[used]) for t in totals)], names=["cluster", "n", "cost", "norm", *names])
 
-    merged = points.blocks.mapInArrow(run, ddl).groupBy("cluster").agg(*[F.sum(c).alias(c) for c in ("n", "cost", "norm", *names)])
+    merged = points.blocks.mapInArrow(run, ddl)
+    if points.parts > DRIVER_MERGE:
+        merged = merged.groupBy("cluster").agg(*[F.sum(c).alias(c) for c in ("n", "cost", "norm", *names)])
     found = np.zeros((3 + dims, len(flat)), object)
     found[:] = 0
-    for row in merged.collect():
-        found[:, row["cluster"]] = [row[c] for c in ("n", "cost", "norm", *names)]
+    for cluster, *sums in merged.collect():
+        found[:, cluster] += sums
     return [{"n": found[0, a:b], "cost": found[1, a:b], "norm": found[2, a:b], "sums": found[3:, a:b].T} for a, b in zip(edges, edges[1:])]
 
 

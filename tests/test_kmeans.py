@@ -34,7 +34,7 @@ def test_blobs_are_found_whatever_the_layout(spark):
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
             points = points_of(df.orderBy(F.xxhash64("id")))
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-            points = kmeans.Points(points.blocks.repartition(parts), points.dims, points.shift, points.rows)
+            points = kmeans.Points(points.blocks.repartition(parts), points.dims, points.shift, points.rows, parts)
         fits = kmeans.fit_all(points, [2, 5, 6], range(4))
         best = [kmeans.best_of([m for m in fits if m.k == k]) for k in (2, 5, 6)]
         seen.append([(m.k, m.start, m.inertia, m.centres.tolist(), m.sizes.tolist(), m.passes) for m in fits] + [kmeans.silhouettes(points, best)])
