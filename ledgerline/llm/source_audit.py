@@ -180,7 +180,9 @@ def tree_corrections(paths: DataFrame) -> DataFrame:
     have of f(p, q) - f(p, zero q) - f(zero p, q) + f(zero p, zero q), as sums of parts."""
     ddl = "lang string, a string, b string, value long"
     schema = arrow_schema(paths.sparkSession, ddl)
-    ordered = paths.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path").select("lang", "path", "m")
+    # ranges by a path's first shares: what the planner samples for them stays small; the hash parts paths that begin alike
+    first = [F.get("path", F.lit(k))["p"] for k in range(3)]
+    ordered = paths.repartitionByRange("lang", *first, F.xxhash64("path")).sortWithinPartitions("lang", "path").select("lang", "path", "m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
