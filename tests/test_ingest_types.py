@@ -93,3 +93,17 @@ def test_two_writers_of_one_table(spark, tmp_path):
         t.join()
     assert not errors
     assert {r[0] // 100 for r in tables.open_table(spark, "t", root).collect()} in ({1}, {11})
+
+
+def test_reading_during_a_switch(spark, tmp_path):
+    """Between the renames of a switch, the file in force has the other version's checksum file."""
+    tables.write_table(spark.range(5), "t", str(tmp_path))
+    version, checksum = tables.current_version(spark, "t", str(tmp_path)), tmp_path / "t" / "._current.crc"
+    right = checksum.read_bytes()
+    checksum.write_bytes(right[:-1] + bytes([right[-1] ^ 1]))
+    switched = threading.Timer(0.3, checksum.write_bytes, [right])
+    switched.start()
+    try:
+        assert tables.current_version(spark, "t", str(tmp_path)) == version
+    finally:
+        switched.join()
